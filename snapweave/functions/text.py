@@ -49,5 +49,5 @@ def size_label(size) -> Column:
         lo = float(1024 ** i)
         scaled = s / F.lit(lo)
         cond = (s < F.lit(float(1024 ** (i + 1)))) if i < len(SIZE_UNITS) - 1 else F.lit(True)
-        out = out.when(cond, F.concat(F.format_number(scaled, "0.00"), F.lit(" " + unit)))
+        out = out.when(cond, F.concat(F.call_function("format_number", scaled, F.lit("0.00")), F.lit(" " + unit)))
     return out

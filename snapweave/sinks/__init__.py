@@ -1,0 +1,24 @@
+"""Sinks (S4, S5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def write_snapshot(sections: DataFrame, out_dir: str) -> None:
+    """One document per repository under ``out_dir/repo=<name>/``, its part files in name
+    order forming the document. ``sections`` must come from ``assemble`` (range-partitioned and
+    sorted by ``(repo, section, key)``): the writer's required order (``repo``) is then already
+    met and nothing is re-sorted. Every section ends with a newline and the text writer adds one
+    per row, so one is taken off first. Other repositories' documents under ``out_dir`` stay
+    (dynamic partition overwrite)."""
+    value = F.expr("substring(text, 1, length(text) - 1)")
+    (sections.select("repo", value.alias("value"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("repo").text(out_dir))
+
+
+def write_stats(stats: DataFrame, out_dir: str) -> None:
+    """The statistics row of every repository, as Parquet."""
+    stats.write.mode("overwrite").parquet(out_dir)
