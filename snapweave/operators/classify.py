@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.constants import DENIED_EXTENSIONS, KNOWN_TEXT_NAMES, TEXT_NAME_ENDINGS
 from ..functions.mime import binary_mime, mime_dim, readable_mime, type_extension
-from ..functions.text import read_text, sniff_is_text
+from ..functions.text import sniff_is_text, text_length
 
 
 def with_mime(df: DataFrame, name_col: str = "name") -> DataFrame:
@@ -53,5 +53,5 @@ def file_facts(manifest: DataFrame, with_chars: bool = True) -> DataFrame:
                  is_text(by_name, F.col("content")).alias("is_text"), "content")
     if with_chars:
         m = m.withColumn("text_chars", F.when(F.col("is_text") & F.col("readable"),
-                                              F.length(read_text(F.col("content"))).cast("bigint")))
+                                              text_length(F.col("content"))))
     return m.drop("content")

@@ -33,7 +33,7 @@ from ..functions import paths as P
 from ..functions.constants import (DEFAULT_IGNORE_PATTERNS, GITIGNORE_PATH, REPORT_GITIGNORE,
                                    REPORT_TRACK, TRACK_IGNORE_PATH)
 from ..functions.globs import PatternError, default_rules_regex, is_rule_line, java_regex, translate
-from ..plans.joins import bounded_broadcast
+from ..plans.joins import bounded_broadcast, broadcast_if_bounded
 from ..session import ship_package
 
 DEFAULT_REGEX = default_rules_regex(DEFAULT_IGNORE_PATTERNS)
@@ -175,14 +175,19 @@ def default_hit(path: Column) -> Column:
     return path.rlike(java_regex(DEFAULT_REGEX))
 
 
-def apply_rules(entries: DataFrame, files: DataFrame, *, broadcast_rows: int = 1_000_000,
-                broadcast_bytes: int = 64 << 20) -> DataFrame:
+def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: bool = False,
+                broadcast_bytes: int = 8 << 20) -> DataFrame:
     """P1-P4 + J3: adds ``reserved, gitignore_hit, track_ignore_hit, default_hit, ignored``.
 
-    ``*_hit`` of a custom set is NULL when the repository has no usable rule in it."""
+    ``*_hit`` of a custom set is NULL when the repository has no usable rule in it.
+    ``files_materialized``: ``files`` is a written table, so its measured size bounds the plans
+    (derived from it by aggregation) and decides the broadcast without another write."""
     ship_package(entries.sparkSession)
-    plans = bounded_broadcast(repo_plans(files), F.length("plan") + F.length("repo"),
-                              max_rows=broadcast_rows, max_bytes=broadcast_bytes)
+    plans = repo_plans(files)
+    if files_materialized:
+        plans = broadcast_if_bounded(plans, files, max_bytes=broadcast_bytes)
+    else:
+        plans = bounded_broadcast(plans, max_bytes=broadcast_bytes)
     e = entries.join(plans, "repo", "left")
     v = _eval_plans(F.col("path"), F.col("plan"))
     e = e.withColumn("_v", v)

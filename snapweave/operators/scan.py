@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .classify import file_facts
+from ..session import cut_lineage
 from .rules import apply_rules, rule_files
 
 FACT_COLS = ("size", "readable", "mime", "by_name", "sniff_text", "is_text", "text_chars")
@@ -83,17 +84,26 @@ def disposition_col() -> F.Column:
 
 
 class Scan:
-    """The frames of one scan, built lazily from a manifest."""
+    """The frames of one scan.
 
-    def __init__(self, manifest: DataFrame, *, with_chars: bool = True):
+    Three frames fan out to several consumers: the parsed rule files (rule plans and the pattern
+    report), the rule flags (blocked directories and visibility) and the dispositions (tree, report,
+    decisions and statistics). Each is materialised once with a reliable checkpoint in ``spark.checkpoint.dir``, so the rule UDF
+    and the shuffles before it run once, the plans of the consumers stay small, and a lost
+    executor costs a re-read rather than a recomputation. ``materialize=False`` keeps everything
+    lazy (one plan, which Spark may partly reuse)."""
+
+    def __init__(self, manifest: DataFrame, *, with_chars: bool = True, materialize: bool = True):
+        keep = cut_lineage if materialize else (lambda df: df)
         self.manifest = manifest
         self.facts = file_facts(manifest, with_chars=with_chars)
-        self.rule_files = rule_files(manifest)
+        self.rule_files = keep(rule_files(manifest))
         self.entries = entries(self.facts)
-        self.flagged = apply_rules(self.entries, self.rule_files)
+        self.flagged = keep(apply_rules(self.entries, self.rule_files,
+                                        files_materialized=materialize))
         self.blocked = blocked_dirs(self.flagged)
         self.visible = visible(self.flagged, self.blocked)
-        self.dispositions = self.visible.withColumn("disposition", disposition_col())
+        self.dispositions = keep(self.visible.withColumn("disposition", disposition_col()))
 
 
 def scan(manifest: DataFrame) -> DataFrame:

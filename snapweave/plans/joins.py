@@ -1,8 +1,9 @@
 """Join helpers: broadcast only what has a measured size bound.
 
 A side derived from data (per-repository rule plans, say) has no static size bound: its static
-estimate is the size of the scan it came from. ``bounded_broadcast`` materialises it with a reliable
-checkpoint, measures rows and bytes in one small job, and hints a broadcast only under both limits.
+estimate is the size of the scan it came from. ``bounded_broadcast`` materialises it as a table in
+the checkpoint folder, whose size Catalyst then knows exactly (the files' length), and hints a
+broadcast only under the limit.
 Above them the join stays a shuffle join: AQE then splits skewed partitions of the big side (one hot
 repository), and may still switch to a broadcast from runtime sizes.
 """
@@ -14,18 +15,29 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-DEFAULT_MAX_ROWS = 1_000_000
-DEFAULT_MAX_BYTES = 64 << 20
+# Bytes on disk (compressed Parquet); in memory a table can be several times larger.
+DEFAULT_MAX_BYTES = 8 << 20
 
 
-def bounded_broadcast(df: DataFrame, size_col=None, *, max_rows: int = DEFAULT_MAX_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` (materialised) has at most ``max_rows`` rows and its
-    ``size_col`` (an approximate per-row byte size) sums to at most ``max_bytes``; else ``df``."""
+def measured_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate. For a table just written by :func:`cut_lineage` this is the sum of
+    its file sizes: a measurement, not a guess."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded_broadcast(df: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``F.broadcast(df)`` when ``df``, materialised, measures at most ``max_bytes`` on disk;
+    otherwise ``df`` itself, so the join stays a shuffle join (AQE splits skewed partitions)."""
     mat = cut_lineage(df)
-    size = size_col if size_col is not None else F.lit(64)
-    row = mat.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
-    n, b = row["n"], row["b"] or 0
-    if n <= max_rows and b <= max_bytes:
+    if measured_bytes(mat) <= max_bytes:
         return F.broadcast(mat)
     return mat
+
+
+def broadcast_if_bounded(df: DataFrame, bound_source: DataFrame, *,
+                         max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``F.broadcast(df)`` when ``bound_source`` (a materialised table that ``df`` is derived from
+    by filters, projections and aggregation, so never larger) measures at most ``max_bytes``."""
+    if measured_bytes(bound_source) <= max_bytes:
+        return F.broadcast(df)
+    return df

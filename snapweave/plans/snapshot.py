@@ -75,23 +75,22 @@ def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
 class Snapshot:
     """All frames of a snapshot job; nothing runs until a sink or action.
 
-    ``materialize=True`` checkpoints the dispositions (reliably, in ``spark.checkpoint.dir``)
-    because five branches read them: tree, report, decisions, statistics, header."""
+    ``materialize=True`` (the default) checkpoints, reliably in ``spark.checkpoint.dir``, the frames
+    read by several branches: rule flags, dispositions (tree, report, decisions, statistics) and
+    the metadata sections (statistics and the document)."""
 
     def __init__(self, manifest: DataFrame, timestamp: str = DEFAULT_TIMESTAMP, *,
-                 max_depth: int | None = None, materialize: bool = False,
+                 max_depth: int | None = None, materialize: bool = True,
                  num_partitions: int | None = None):
         self.manifest = manifest
         self.timestamp = timestamp
-        self.scan = Scan(manifest)
-        disp = self.scan.dispositions
-        if materialize:
-            disp = cut_lineage(disp)
-        self.dispositions = disp
+        self.scan = Scan(manifest, materialize=materialize)
+        disp = self.dispositions = self.scan.dispositions
         self.tree_lines = tree_lines(disp, max_depth=max_depth)
-        self.small_rows = (tree_rows(self.tree_lines)
-                           .unionByName(report_rows(disp, self.scan.rule_files))
-                           .unionByName(ignored_item_rows(disp)))
+        small = (tree_rows(self.tree_lines)
+                 .unionByName(report_rows(disp, self.scan.rule_files))
+                 .unionByName(ignored_item_rows(disp)))
+        self.small_rows = cut_lineage(small) if materialize else small
         self.stats = snapshot_stats(disp, self.small_rows, timestamp)
         self.meta_rows = header_rows(self.stats, timestamp).unionByName(self.small_rows)
         self.decisions = content_decisions(disp)

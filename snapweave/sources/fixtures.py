@@ -64,14 +64,17 @@ def _repo_number(repo):
 
 def rule_file_rows(documents: DataFrame) -> DataFrame:
     """The rule files of each repository named in ``documents``."""
-    repos = documents.select(F.col("source").alias("repo")).distinct()
     n = _repo_number(F.col("repo"))
-    git = repos.filter(n.between(*GITIGNORE_REPOS)).select(
-        "repo", F.lit(GITIGNORE_PATH).alias("path"), F.encode(F.lit(GITIGNORE_TEXT), "UTF-8").alias("content"))
-    track = repos.filter(n.between(*TRACK_IGNORE_REPOS)).select(
-        "repo", F.lit(TRACK_IGNORE_PATH).alias("path"),
-        F.encode(F.lit(TRACK_IGNORE_TEXT), "UTF-8").alias("content"))
-    return git.unionByName(track).withColumn("size", F.octet_length("content").cast("bigint"))
+    files = F.array(
+        F.when(n.between(*GITIGNORE_REPOS), F.struct(
+            F.lit(GITIGNORE_PATH).alias("path"), F.lit(GITIGNORE_TEXT).alias("text"))),
+        F.when(n.between(*TRACK_IGNORE_REPOS), F.struct(
+            F.lit(TRACK_IGNORE_PATH).alias("path"), F.lit(TRACK_IGNORE_TEXT).alias("text"))))
+    repos = documents.select(F.col("source").alias("repo")).distinct()
+    rows = repos.select("repo", F.explode(F.filter(files, lambda x: x.isNotNull())).alias("f"))
+    content = F.encode(F.col("f.text"), "UTF-8")
+    return rows.select("repo", F.col("f.path").alias("path"), content.alias("content"),
+                       F.octet_length(content).cast("bigint").alias("size"))
 
 
 def repo_manifest(documents: DataFrame) -> DataFrame:
