@@ -1,0 +1,26 @@
+import glob
+import os
+import tempfile
+
+from conftest import make_manifest
+from snapweave.streaming.incremental import start_snapshot_stream
+
+
+def test_stream_replaces_repo_documents(spark):
+    base = tempfile.mkdtemp(prefix="snapweave-stream-")
+    src, out = f"{base}/in", f"{base}/out"
+    make_manifest(spark, [("a", "x.py", b"1"), ("a", "y.md", b"2")]).write.parquet(f"{src}/b1")
+    q = start_snapshot_stream(spark, f"{src}/*", out, checkpoint_location=f"{base}/ckpt",
+                              available_now=True)
+    q.awaitTermination(300)
+    make_manifest(spark, [("b", "z.py", b"3")]).write.parquet(f"{src}/b2")
+    q = start_snapshot_stream(spark, f"{src}/*", out, checkpoint_location=f"{base}/ckpt",
+                              available_now=True)
+    q.awaitTermination(300)
+    docs = {os.path.basename(d) for d in glob.glob(f"{out}/documents/repo=*")}
+    assert docs == {"repo=a", "repo=b"}
+    text = "".join(open(p, encoding="utf-8").read()
+                   for p in sorted(glob.glob(f"{out}/documents/repo=a/part-*")))
+    assert "/* ===== x.py ===== */\n1\n\n" in text
+    stats = spark.read.parquet(f"{out}/stats")
+    assert {r["repo"]: r["text_files"] for r in stats.collect()} == {"a": 2, "b": 1}
