@@ -39,11 +39,18 @@ def pages_manifest(spark, sf_dir) -> DataFrame:
 # --- paths ---------------------------------------------------------------------------------------
 
 def q_path_parts(spark, sf_dir):
-    m = pages_manifest(spark, sf_dir)
+    """N1-N3 on URL paths; N2 relative to the first segment, from the raw (untrimmed) path."""
+    pages = _table(spark, sf_dir, "pages")
+    raw = F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    m = pages.select(
+        F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("repo"),
+        P.norm_path(raw).alias("path"), raw.alias("url_path"))
     n = P.name(F.col("path"))
+    top = F.element_at(P.parts(F.col("path")), 1)
     return m.select("repo", "path", n.alias("name"), F.lower(n).alias("lname"),
                     P.suffix(n).alias("suffix"), P.parent(F.col("path")).alias("parent"),
-                    P.depth(F.col("path")).cast("int").alias("depth"))
+                    P.depth(F.col("path")).cast("int").alias("depth"),
+                    P.rel_path(F.concat(F.lit("/"), F.col("url_path")), top).alias("rel_to_top"))
 
 
 def q_path_ancestors(spark, sf_dir):

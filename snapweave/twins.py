@@ -319,7 +319,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "path_parts": _with(site, f"SELECT repo, path, {name_expr(p)} AS name, lower({name_expr(p)}) "
                                   f"AS lname, regexp_extract({name_expr(p)}, '^.+(\\.[^.]+)$', 1) AS suffix, "
-                                  f"{parent_expr(p)} AS parent, {depth_expr(p)}::INTEGER AS depth FROM manifest"),
+                                  f"{parent_expr(p)} AS parent, {depth_expr(p)}::INTEGER AS depth, "
+                                  f"CASE WHEN string_split(path, '/')[1] = '' THEN path "
+                                  f"WHEN path = string_split(path, '/')[1] THEN '' "
+                                  f"WHEN starts_with(path, string_split(path, '/')[1] || '/') THEN "
+                                  f"substr(path, length(string_split(path, '/')[1]) + 2) END AS rel_to_top "
+                                  f"FROM manifest"),
         "path_ancestors": _pages(f"SELECT repo, path, {depth_expr(p)}::INTEGER AS depth FROM anc"),
         "rule_lines": _docs("SELECT repo, rule_set, ordinal, pattern, include, regex FROM rules"),
         "rule_match_default": _docs("SELECT repo, path, is_dir, default_hit FROM flags"),
