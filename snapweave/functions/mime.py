@@ -62,9 +62,18 @@ def type_extension(name: Column) -> Column:
         .otherwise(e1))
 
 
-def mime_dim(spark: SparkSession) -> DataFrame:
-    """J4's dimension: one row per known extension (about 150 rows, fixed)."""
-    return spark.createDataFrame(mime_rows(), "mime_ext string, mime string")
+def mime_dim(spark: SparkSession, overrides=()) -> DataFrame:
+    """J4's dimension: one row per known extension (about 150 rows, fixed; ``overrides`` add or
+    replace entries). Built once per session and override set."""
+    key = tuple(sorted((e.lower(), m) for e, m in overrides))
+    cache = getattr(spark, "_snapweave_mime_dims", None)
+    if cache is None:
+        cache = spark._snapweave_mime_dims = {}
+    if key not in cache:
+        rows = dict(mime_rows())
+        rows.update(dict(key))
+        cache[key] = spark.createDataFrame(sorted(rows.items()), "mime_ext string, mime string")
+    return cache[key]
 
 
 def readable_mime(m: Column) -> Column:

@@ -12,14 +12,20 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def sniff_is_text(content) -> Column:
+def sniff_is_text(content, strict_boundary: bool = True) -> Column:
     """Empty -> text; NUL in the first 4096 bytes -> binary; first 4096 bytes valid UTF-8 ->
     text, else binary (a character cut at byte 4096 makes the file binary); NULL (unreadable) ->
-    binary. ``substring`` on BINARY counts bytes."""
+    binary. ``substring`` on BINARY counts bytes. ``strict_boundary=False`` also accepts a head
+    that is valid once up to three bytes at the cut are dropped."""
     b = _c(content)
     head = F.substring(b, 1, SNIFF_BYTES)
     no_nul = ~F.contains(head, F.lit(bytearray(b"\x00")))
     valid = F.call_function("is_valid_utf8", head.cast("string"))
+    if not strict_boundary:
+        cut = F.octet_length(b) > SNIFF_BYTES
+        for k in (1, 2, 3):
+            shorter = F.substring(b, 1, SNIFF_BYTES - k).cast("string")
+            valid = valid | (cut & F.call_function("is_valid_utf8", shorter))
     return (F.when(b.isNull(), F.lit(False))
             .when(F.octet_length(b) == 0, F.lit(True))
             .otherwise(no_nul & valid))
@@ -43,7 +49,9 @@ def text_length(content) -> Column:
     raw = _c(content).cast("string")
     t = F.when(F.call_function("is_valid_utf8", raw), raw).otherwise(
         F.call_function("make_valid_utf8", raw))
-    pairs = (F.length(t) - F.length(F.replace(t, F.lit("\r\n"), F.lit("")))) / 2
+    pairs = F.when(F.contains(t, F.lit("\r")),
+                   (F.length(t) - F.length(F.replace(t, F.lit("\r\n"), F.lit("")))) / 2
+                   ).otherwise(F.lit(0))
     return (F.length(t) - pairs).cast("bigint")
 
 

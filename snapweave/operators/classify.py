@@ -14,11 +14,12 @@ from ..functions import paths as P
 from ..functions.constants import DENIED_EXTENSIONS, KNOWN_TEXT_NAMES, TEXT_NAME_ENDINGS
 from ..functions.mime import binary_mime, mime_dim, readable_mime, type_extension
 from ..functions.text import sniff_is_text, text_length
+from ..options import DEFAULT, Options
 
 
-def with_mime(df: DataFrame, name_col: str = "name") -> DataFrame:
+def with_mime(df: DataFrame, name_col: str = "name", overrides=()) -> DataFrame:
     """Left join to the built-in MIME table (fixed size, so broadcast is safe)."""
-    dim = F.broadcast(mime_dim(df.sparkSession))
+    dim = F.broadcast(mime_dim(df.sparkSession, overrides))
     x = df.withColumn("_type_ext", type_extension(F.col(name_col)))
     return x.join(dim, x["_type_ext"] == dim["mime_ext"], "left").drop("_type_ext", "mime_ext")
 
@@ -36,21 +37,24 @@ def name_verdict(name: Column, mime: Column) -> Column:
             .when(binary_mime(mime), F.lit("binary")))
 
 
-def is_text(by_name: Column, content: Column) -> Column:
+def is_text(by_name: Column, content: Column, strict_boundary: bool = True) -> Column:
     """The name's verdict, else the byte sniff."""
-    return F.when(by_name.isNotNull(), by_name == "text").otherwise(sniff_is_text(content))
+    return F.when(by_name.isNotNull(), by_name == "text").otherwise(
+        sniff_is_text(content, strict_boundary))
 
 
-def file_facts(manifest: DataFrame, with_chars: bool = True) -> DataFrame:
+def file_facts(manifest: DataFrame, with_chars: bool = True, options: Options = DEFAULT
+               ) -> DataFrame:
     """Per file: ``repo, path, size, readable, mime, by_name, sniff_text, is_text`` and, for
     text files, ``text_chars`` (code points after decoding and newline translation)."""
     m = manifest.select("repo", "path", "size", "content").withColumn("name", P.name(F.col("path")))
-    m = with_mime(m)
+    m = with_mime(m, overrides=options.mime_overrides)
     by_name = name_verdict(F.col("name"), F.col("mime"))
+    strict = options.strict_boundary
     m = m.select("repo", "path", "size", F.col("content").isNotNull().alias("readable"), "mime",
                  by_name.alias("by_name"),
-                 F.when(by_name.isNull(), sniff_is_text(F.col("content"))).alias("sniff_text"),
-                 is_text(by_name, F.col("content")).alias("is_text"), "content")
+                 F.when(by_name.isNull(), sniff_is_text(F.col("content"), strict)).alias("sniff_text"),
+                 is_text(by_name, F.col("content"), strict).alias("is_text"), "content")
     if with_chars:
         m = m.withColumn("text_chars", F.when(F.col("is_text") & F.col("readable"),
                                               text_length(F.col("content"))))

@@ -176,10 +176,11 @@ def default_hit(path: Column) -> Column:
 
 
 def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: bool = False,
-                broadcast_bytes: int = 8 << 20) -> DataFrame:
+                broadcast_bytes: int = 8 << 20, prune_folders: bool = False) -> DataFrame:
     """P1-P4 + J3: adds ``reserved, gitignore_hit, track_ignore_hit, default_hit, ignored``.
 
     ``*_hit`` of a custom set is NULL when the repository has no usable rule in it.
+    ``prune_folders``: see :class:`..options.Options`.
     ``files_materialized``: ``files`` is a written table, so its measured size bounds the plans
     (derived from it by aggregation) and decides the broadcast without another write."""
     ship_package(entries.sparkSession)
@@ -189,14 +190,18 @@ def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: boo
     else:
         plans = bounded_broadcast(plans, max_bytes=broadcast_bytes)
     e = entries.join(plans, "repo", "left")
-    v = _eval_plans(F.col("path"), F.col("plan"))
+    # the path the patterns see; with prune_folders a folder is tested as "path/", as git does
+    probe = (F.when(F.col("is_dir"), F.concat(F.col("path"), F.lit("/"))).otherwise(F.col("path"))
+             if prune_folders else F.col("path"))
+    e = e.withColumn("_probe", probe)
+    v = _eval_plans(F.col("_probe"), F.col("plan"))
     e = e.withColumn("_v", v)
     out = e.select(
         *[c for c in entries.columns],
         P.is_reserved(F.col("path")).alias("reserved"),
         F.col("_v.gitignore").alias("gitignore_hit"),
         F.col("_v.track_ignore").alias("track_ignore_hit"),
-        default_hit(F.col("path")).alias("default_hit"),
+        default_hit(F.col("_probe")).alias("default_hit"),
     )
     return out.withColumn("ignored", F.col("reserved") | F.col("default_hit")
                           | F.coalesce(F.col("gitignore_hit"), F.lit(False))

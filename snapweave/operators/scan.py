@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .classify import file_facts
+from ..options import DEFAULT, Options
 from ..session import cut_lineage
 from .rules import apply_rules, rule_files
 
@@ -45,6 +46,7 @@ def entries(facts: DataFrame) -> DataFrame:
         *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in cols])
     agg = (files.unionByName(dirs).groupBy("repo", "path")
            .agg(F.max("is_dir").alias("is_dir"), F.min("is_dir").alias("_has_file_or_only"),
+                F.count_if(~F.col("is_dir")).cast("int").alias("n_files"),
                 *[F.max(c).alias(c) for c in cols]))
     agg = agg.withColumn("conflict", F.col("is_dir") & ~F.col("_has_file_or_only")).drop(
         "_has_file_or_only")
@@ -93,14 +95,22 @@ class Scan:
     executor costs a re-read rather than a recomputation. ``materialize=False`` keeps everything
     lazy (one plan, which Spark may partly reuse)."""
 
-    def __init__(self, manifest: DataFrame, *, with_chars: bool = True, materialize: bool = True):
+    def __init__(self, manifest: DataFrame, *, with_chars: bool = True, materialize: bool = True,
+                 options: Options = DEFAULT, check_unique: bool = False):
         keep = cut_lineage if materialize else (lambda df: df)
         self.manifest = manifest
-        self.facts = file_facts(manifest, with_chars=with_chars)
+        self.options = options
+        self.facts = file_facts(manifest, with_chars=with_chars, options=options)
         self.rule_files = keep(rule_files(manifest))
         self.entries = entries(self.facts)
         self.flagged = keep(apply_rules(self.entries, self.rule_files,
-                                        files_materialized=materialize))
+                                        files_materialized=materialize,
+                                        prune_folders=options.prune_folders))
+        if check_unique:
+            dup = self.flagged.filter(F.col("n_files") > 1).select("repo", "path").take(1)
+            if dup:
+                raise ValueError(f"path listed twice in repository {dup[0]['repo']!r}: "
+                                 f"{dup[0]['path']!r}")
         self.blocked = blocked_dirs(self.flagged)
         self.visible = visible(self.flagged, self.blocked)
         self.dispositions = keep(self.visible.withColumn("disposition", disposition_col()))

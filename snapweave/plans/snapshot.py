@@ -28,6 +28,7 @@ from ..operators.combine import (SEC_CONTENT, content_decisions, file_section, h
 from ..operators.rules import default_hit
 from ..operators.scan import Scan
 from ..operators.tree import tree_lines
+from ..options import DEFAULT, Options
 from ..session import cut_lineage
 
 DEFAULT_TIMESTAMP = "2025-01-01 00:00:00"
@@ -37,17 +38,18 @@ def now_timestamp() -> str:
     return _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
 
 
-def body_candidates(manifest: DataFrame) -> DataFrame:
+def body_candidates(manifest: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Manifest rows that may become a file section, decided map side."""
     m = manifest.select("repo", "path", "content").withColumn("name", P.name(F.col("path")))
-    m = with_mime(m)
-    keep = (is_text(name_verdict(F.col("name"), F.col("mime")), F.col("content"))
+    m = with_mime(m, overrides=options.mime_overrides)
+    verdict = name_verdict(F.col("name"), F.col("mime"))
+    keep = (is_text(verdict, F.col("content"), options.strict_boundary)
             & ~P.is_reserved(F.col("path")) & ~default_hit(F.col("path")))
     return m.filter(keep).select("repo", "path", "content")
 
 
 def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
-             num_partitions: int | None = None) -> DataFrame:
+             num_partitions: int | None = None, options: Options = DEFAULT) -> DataFrame:
     """``(repo, section, key, text, n_chars, counted)`` in document order per partition."""
     spark = manifest.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -57,7 +59,7 @@ def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
     dec = decisions.select("repo", F.lit(SEC_CONTENT).alias("section"), "key",
                            F.lit(0).alias("tag"), nul_s.alias("text"), F.lit(True).alias("counted"),
                            "path", nul_b.alias("content"))
-    body = body_candidates(manifest).select(
+    body = body_candidates(manifest, options).select(
         "repo", F.lit(SEC_CONTENT).alias("section"), P.content_key(F.col("path")).alias("key"),
         F.lit(1).alias("tag"), nul_s.alias("text"), F.lit(True).alias("counted"), "path", "content")
     u = meta.unionByName(dec).unionByName(body).repartitionByRange(n, "repo", "section", "key")
@@ -80,13 +82,16 @@ class Snapshot:
     the metadata sections (statistics and the document)."""
 
     def __init__(self, manifest: DataFrame, timestamp: str = DEFAULT_TIMESTAMP, *,
-                 max_depth: int | None = None, materialize: bool = True,
+                 options: Options = DEFAULT, materialize: bool = True,
                  num_partitions: int | None = None):
         self.manifest = manifest
         self.timestamp = timestamp
-        self.scan = Scan(manifest, materialize=materialize)
+        self.options = options
+        self.scan = Scan(manifest, materialize=materialize, options=options,
+                         check_unique=options.require_unique_paths and materialize)
         disp = self.dispositions = self.scan.dispositions
-        self.tree_lines = tree_lines(disp, max_depth=max_depth)
+        self.tree_lines = tree_lines(disp, max_depth=options.max_depth,
+                                     hide_dunder=options.hide_dunder)
         small = (tree_rows(self.tree_lines)
                  .unionByName(report_rows(disp, self.scan.rule_files))
                  .unionByName(ignored_item_rows(disp)))
@@ -97,4 +102,5 @@ class Snapshot:
         self.num_partitions = num_partitions
 
     def sections(self) -> DataFrame:
-        return assemble(self.meta_rows, self.decisions, self.manifest, self.num_partitions)
+        return assemble(self.meta_rows, self.decisions, self.manifest, self.num_partitions,
+                        self.options)
