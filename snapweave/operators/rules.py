@@ -33,7 +33,7 @@ from ..functions import paths as P
 from ..functions.constants import (DEFAULT_IGNORE_PATTERNS, GITIGNORE_PATH, REPORT_GITIGNORE,
                                    REPORT_TRACK, TRACK_IGNORE_PATH)
 from ..functions.globs import PatternError, default_rules_regex, is_rule_line, java_regex, translate
-from ..plans.joins import bounded_broadcast, broadcast_if_bounded
+from ..plans.joins import bounded_broadcast, measured_bytes
 from ..session import ship_package
 
 DEFAULT_REGEX = default_rules_regex(DEFAULT_IGNORE_PATTERNS)
@@ -185,9 +185,11 @@ def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: boo
     (derived from it by aggregation) and decides the broadcast without another write."""
     ship_package(entries.sparkSession)
     plans = repo_plans(files)
-    if files_materialized:
-        plans = broadcast_if_bounded(plans, files, max_bytes=broadcast_bytes)
+    if files_materialized and measured_bytes(files) <= broadcast_bytes:
+        plans = F.broadcast(plans)  # bounded by the measured table it aggregates
     else:
+        # materialised first: as a plain file scan it feeds the join through a bare shuffle,
+        # which AQE's skew-join rule needs in order to split a hot repository
         plans = bounded_broadcast(plans, max_bytes=broadcast_bytes)
     e = entries.join(plans, "repo", "left")
     # the path the patterns see; with prune_folders a folder is tested as "path/", as git does

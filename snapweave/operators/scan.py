@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from .classify import file_facts
 from ..options import DEFAULT, Options
+from ..plans.joins import DEFAULT_MAX_BYTES, lookup_side
 from ..session import cut_lineage
 from .rules import apply_rules, rule_files
 
@@ -72,9 +73,11 @@ def blocked_dirs(flagged: DataFrame) -> DataFrame:
         F.min_by("anc", F.size(F.split(F.col("anc"), "/"))).alias("outer"))
 
 
-def visible(flagged: DataFrame, blocked: DataFrame) -> DataFrame:
+def visible(flagged: DataFrame, blocked: DataFrame, *, broadcast_bytes: int = DEFAULT_MAX_BYTES,
+            materialize: bool = True) -> DataFrame:
     """J2 + P6: entries whose parent folder is not blocked (the root is never blocked)."""
-    b = blocked.select("repo", F.col("path").alias("parent"))
+    b = lookup_side(blocked.select("repo", F.col("path").alias("parent")), flagged,
+                    max_bytes=broadcast_bytes, materialize=materialize)
     return flagged.join(b, ["repo", "parent"], "left_anti")
 
 
@@ -105,14 +108,16 @@ class Scan:
         self.entries = entries(self.facts)
         self.flagged = keep(apply_rules(self.entries, self.rule_files,
                                         files_materialized=materialize,
-                                        prune_folders=options.prune_folders))
+                                        prune_folders=options.prune_folders,
+                                        broadcast_bytes=options.broadcast_bytes))
         if check_unique:
             dup = self.flagged.filter(F.col("n_files") > 1).select("repo", "path").take(1)
             if dup:
                 raise ValueError(f"path listed twice in repository {dup[0]['repo']!r}: "
                                  f"{dup[0]['path']!r}")
         self.blocked = blocked_dirs(self.flagged)
-        self.visible = visible(self.flagged, self.blocked)
+        self.visible = visible(self.flagged, self.blocked, broadcast_bytes=options.broadcast_bytes,
+                               materialize=materialize)
         self.dispositions = keep(self.visible.withColumn("disposition", disposition_col()))
 
 

@@ -34,10 +34,16 @@ def bounded_broadcast(df: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES) -> D
     return mat
 
 
-def broadcast_if_bounded(df: DataFrame, bound_source: DataFrame, *,
-                         max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` when ``bound_source`` (a materialised table that ``df`` is derived from
-    by filters, projections and aggregation, so never larger) measures at most ``max_bytes``."""
-    if measured_bytes(bound_source) <= max_bytes:
+def lookup_side(df: DataFrame, derived_from: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES,
+                materialize: bool = True) -> DataFrame:
+    """The one-row-per-key side of an equi-join whose other side may hold a hot key.
+
+    Broadcast when ``derived_from`` (a materialised table ``df`` is derived from by filters,
+    projections, joins with itself and aggregation, so never larger) measures at most
+    ``max_bytes``. Otherwise ``df`` is materialised: read back as a plain file scan it reaches the
+    join through a shuffle that the planner inserts, the only kind AQE's skew-join rule splits (an
+    aggregate already partitioned on the join key would be joined without one, and a hot folder
+    would then sit in one task)."""
+    if measured_bytes(derived_from) <= max_bytes:
         return F.broadcast(df)
-    return df
+    return cut_lineage(df) if materialize else df

@@ -91,7 +91,9 @@ class Snapshot:
                          check_unique=options.require_unique_paths and materialize)
         disp = self.dispositions = self.scan.dispositions
         self.tree_lines = tree_lines(disp, max_depth=options.max_depth,
-                                     hide_dunder=options.hide_dunder)
+                                     hide_dunder=options.hide_dunder,
+                                     broadcast_bytes=options.broadcast_bytes,
+                                     materialize=materialize)
         small = (tree_rows(self.tree_lines)
                  .unionByName(report_rows(disp, self.scan.rule_files))
                  .unionByName(ignored_item_rows(disp)))
