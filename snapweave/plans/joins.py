@@ -22,7 +22,10 @@ DEFAULT_MAX_BYTES = 8 << 20
 def measured_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate. For a table just written by :func:`cut_lineage` this is the sum of
     its file sizes: a measurement, not a guess."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # a Spark Connect DataFrame has no JVM handle: assume large
+        return 1 << 62
 
 
 def bounded_broadcast(df: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:

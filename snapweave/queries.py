@@ -18,6 +18,7 @@ from .operators.classify import file_facts
 from .operators.rules import rule_files, rule_lines
 from .operators.scan import Scan, directory_entries, entries
 from .operators.tree import last_siblings, tree_entries, tree_lines
+from .plans.joins import lookup_side
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
 from .sources.fixtures import repo_manifest, site_manifest
 
@@ -89,8 +90,10 @@ def q_ignored_directories(spark, sf_dir):
     s = Scan(docs_manifest(spark, sf_dir), with_chars=False)
     items = s.dispositions.filter(F.col("disposition") == "directory").select("repo", "path", "depth")
     files = s.facts.select("repo", P.parent(F.col("path")).alias("parent"))
-    below = files.join(s.blocked.select("repo", F.col("path").alias("parent"), "outer"),
-                       ["repo", "parent"], "inner").groupBy("repo", F.col("outer").alias("path")).agg(
+    blocked = lookup_side(s.blocked.select("repo", F.col("path").alias("parent"), "outer"),
+                          s.flagged)
+    below = files.join(blocked, ["repo", "parent"], "inner").groupBy(
+        "repo", F.col("outer").alias("path")).agg(
         F.count(F.lit(1)).alias("pruned_files"))
     return items.join(below, ["repo", "path"], "left").select(
         "repo", "path", "depth", F.coalesce("pruned_files", F.lit(0)).cast("bigint").alias("pruned_files"))

@@ -36,17 +36,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints. On a cluster it is ``spark.checkpoint.dir`` (a shared
+    """The folder for materialised tables. On a cluster it is ``spark.checkpoint.dir`` (a shared
     file system); a private scratch folder is made only when that setting is absent (tests)."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None:
+        current = sc._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            return current.get()
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="snapweave-ckpt-", dir=os.environ.get("TMPDIR"))
-    sc.setCheckpointDir(configured)
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc._jsc.sc().getCheckpointDir().get()
+    spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
@@ -65,8 +72,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by Python workers (pandas UDFs refer to it by module path):
     zip it once per SparkContext and ``addPyFile`` it, as ``--py-files`` would on a cluster."""
-    sc = spark.sparkContext
-    if getattr(sc, "_snapweave_shipped", False):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
+    holder = sc if sc is not None else spark
+    if getattr(holder, "_snapweave_shipped", False):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -80,5 +91,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(zpath)
-    sc._snapweave_shipped = True
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
+    holder._snapweave_shipped = True
