@@ -1,11 +1,16 @@
 """Join helpers: broadcast only what has a measured size bound.
 
-A side derived from data (per-repository rule plans, say) has no static size bound: its static
-estimate is the size of the scan it came from. ``bounded_broadcast`` materialises it as a table in
-the checkpoint folder, whose size Catalyst then knows exactly (the files' length), and hints a
-broadcast only under the limit.
-Above them the join stays a shuffle join: AQE then splits skewed partitions of the big side (one hot
-repository), and may still switch to a broadcast from runtime sizes.
+A side derived from data (per-repository rule plans, blocked folders, per-folder tree data) has no
+static size bound: Catalyst's estimate is the size of the scan it came from. Materialised as a table
+in the checkpoint folder, its size is known exactly (the files' length).
+
+* ``bounded_broadcast``: materialise, then hint a broadcast only under the limit.
+* ``lookup_side``: for a one-row-per-key side derived from an already measured table: broadcast
+  under the limit, else materialise it so the join reads it through a planner-inserted shuffle,
+  which AQE's skew-join rule can split when the other side holds a hot key.
+
+Above the limit every such join stays a sort-merge join; AQE may still switch it to a broadcast
+from runtime sizes.
 """
 
 from __future__ import annotations
