@@ -12,7 +12,7 @@ import json
 
 from .options import Options
 from .plans.snapshot import Snapshot, now_timestamp
-from .session import local_session
+from .session import drop_materialized, local_session
 from .sinks import write_snapshot, write_stats
 from .sources.tree_source import manifest_from_tree
 
@@ -33,6 +33,7 @@ def main(argv=None) -> int:
     snap = Snapshot(manifest_from_tree(spark, args.roots), now_timestamp(), options=opts)
     write_snapshot(snap.sections(), f"{args.out}/documents")
     write_stats(snap.stats, f"{args.out}/stats")
+    drop_materialized(spark)
     for row in spark.read.parquet(f"{args.out}/stats").orderBy("repo").toLocalIterator():
         print(json.dumps(row.asDict()))
     return 0

@@ -63,10 +63,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     One job computes and writes it (``Dataset.checkpoint`` would compute it twice: once to count,
     once to write). The result survives executor loss, its lineage is the file scan, and the table
     is columnar, so later readers prune columns and push filters into it."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _written(spark).append(path)
+    return spark.read.parquet(path)
+
+
+def _written(spark: SparkSession) -> list:
+    reg = getattr(spark, "_snapweave_tables", None)
+    if reg is None:
+        reg = spark._snapweave_tables = []
+    return reg
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables :func:`cut_lineage` wrote in this session (call once the outputs that
+    read them are written: frames built on them cannot be evaluated afterwards). Returns how
+    many were removed."""
+    reg = _written(spark)
+    n = 0
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while reg:
+        p = jvm.org.apache.hadoop.fs.Path(reg.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p) and fs.delete(p, True):
+            n += 1
+    return n
 
 
 def ship_package(spark: SparkSession) -> None:

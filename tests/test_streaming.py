@@ -24,3 +24,4 @@ def test_stream_replaces_repo_documents(spark):
     assert "/* ===== x.py ===== */\n1\n\n" in text
     stats = spark.read.parquet(f"{out}/stats")
     assert {r["repo"]: r["text_files"] for r in stats.collect()} == {"a": 2, "b": 1}
+    assert not getattr(spark, "_snapweave_tables", [])  # each batch dropped its tables
