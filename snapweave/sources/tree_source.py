@@ -6,9 +6,10 @@ Why not ``binaryFile``: with recursive lookup it silently drops every name start
 ``.`` and everything inside such folders (``.gitignore``, ``__init__.py``), which a source snapshot
 must keep. Here the walk is ``os.walk`` without following directory links, like the original.
 
-Parallelism: the driver only lists the top level of each root; every top-level folder is its own
-input partition (plus one for the files directly in the root), so executors walk and read in
-parallel. Bytes are read only when they can matter: a path hit by the global default rules or the
+Parallelism: the driver lists only folder names down to ``splitDepth`` levels; every folder at
+that depth is walked by its own input partition, and each shallower folder has one for its direct
+files, so executors walk and read in parallel. ``shards`` splits each partition further by a hash
+of the relative path, for folders too big for one task. Bytes are read only when they can matter: a path hit by the global default rules or the
 reserved folder is ignored or pruned whatever a repository's own rules say (rule sets combine with
 OR), so its content is never used and is left NULL (the two rule files are always read).
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -33,8 +35,9 @@ FORMAT = "snapweave_tree"
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, repo: str, top: str | None):
-        self.root, self.repo, self.top = root, repo, top
+    def __init__(self, root: str, repo: str, rel: str, recursive: bool, shard: int, shards: int):
+        self.root, self.repo, self.rel = root, repo, rel
+        self.recursive, self.shard, self.shards = recursive, shard, shards
 
 
 def _skip_bytes(rel: str, regex) -> bool:
@@ -45,30 +48,54 @@ def _skip_bytes(rel: str, regex) -> bool:
     return regex.match(rel) is not None
 
 
+def _join(rel: str, name: str) -> str:
+    return f"{rel}/{name}" if rel else name
+
+
 class TreeReader(DataSourceReader):
+    """Options: ``paths`` (JSON list of roots), ``repos`` (JSON list of names, default the folder
+    names), ``splitDepth`` (folders at this depth are walked whole by one partition; shallower
+    folders contribute a partition for their direct files; default 1), ``shards`` (each of those
+    partitions is split into this many hash shards of the relative path: every shard lists the
+    folder but reads only its own files, so one huge folder does not become one task; default 1),
+    ``readAllContent``."""
+
     def __init__(self, options):
         self.roots = json.loads(options.get("paths", "[]"))
         names = options.get("repos")
         self.repos = json.loads(names) if names else [
             os.path.basename(os.path.abspath(r).rstrip(os.sep)) for r in self.roots]
         self.read_all = options.get("readAllContent", "false").lower() == "true"
+        self.split_depth = max(1, int(options.get("splitDepth", "1")))
+        self.shards = max(1, int(options.get("shards", "1")))
+
+    def _parts(self, root, repo, rel, recursive):
+        return [_Part(root, repo, rel, recursive, k, self.shards) for k in range(self.shards)]
 
     def partitions(self):
         parts = []
         for root, repo in zip(self.roots, self.repos):
-            parts.append(_Part(root, repo, None))
-            with os.scandir(root) as it:
-                for e in it:
-                    if e.is_dir(follow_symlinks=False):
-                        parts.append(_Part(root, repo, e.name))
+            frontier = [""]
+            for _ in range(self.split_depth):
+                deeper = []
+                for rel in frontier:
+                    parts += self._parts(root, repo, rel, False)
+                    with os.scandir(os.path.join(root, rel)) as it:
+                        deeper += [_join(rel, e.name) for e in it if e.is_dir(follow_symlinks=False)]
+                frontier = deeper
+            for rel in frontier:
+                parts += self._parts(root, repo, rel, True)
         return parts
 
     def read(self, part: _Part):
         regex = re.compile(default_rules_regex(DEFAULT_IGNORE_PATTERNS))
         root = os.path.abspath(part.root)
 
-        def row(full):
-            rel = os.path.relpath(full, root).replace(os.sep, "/")
+        def mine(rel: str) -> bool:
+            return part.shards == 1 or zlib.crc32(rel.encode("utf-8", "surrogateescape")) \
+                % part.shards == part.shard
+
+        def row(full, rel):
             data = None
             if self.read_all or not _skip_bytes(rel, regex):
                 try:
@@ -82,16 +109,21 @@ class TreeReader(DataSourceReader):
                 size = 0
             return (part.repo, rel, data, size)
 
-        if part.top is None:
-            with os.scandir(root) as it:
+        base = os.path.join(root, part.rel)
+        if not part.recursive:
+            with os.scandir(base) as it:
                 for e in sorted(it, key=lambda x: x.name):
-                    if not e.is_dir(follow_symlinks=False):
-                        yield row(e.path)
+                    rel = _join(part.rel, e.name)
+                    if not e.is_dir(follow_symlinks=False) and mine(rel):
+                        yield row(e.path, rel)
             return
-        for dirpath, dirnames, filenames in os.walk(os.path.join(root, part.top)):
+        for dirpath, dirnames, filenames in os.walk(base):
             dirnames.sort()
             for f in sorted(filenames):
-                yield row(os.path.join(dirpath, f))
+                full = os.path.join(dirpath, f)
+                rel = os.path.relpath(full, root).replace(os.sep, "/")
+                if mine(rel):
+                    yield row(full, rel)
 
 
 class TreeDataSource(DataSource):
@@ -106,7 +138,8 @@ class TreeDataSource(DataSource):
         return TreeReader(self.options)
 
 
-def manifest_from_tree(spark, roots, repos=None, read_all_content: bool = False):
+def manifest_from_tree(spark, roots, repos=None, read_all_content: bool = False,
+                       split_depth: int = 1, shards: int = 1):
     """``manifest`` rows for every file below the given roots (one repository per root)."""
     from ..session import ship_package
     ship_package(spark)
@@ -114,4 +147,5 @@ def manifest_from_tree(spark, roots, repos=None, read_all_content: bool = False)
     r = spark.read.format(FORMAT).option("paths", json.dumps([str(x) for x in roots]))
     if repos is not None:
         r = r.option("repos", json.dumps(list(repos)))
-    return r.option("readAllContent", str(read_all_content).lower()).load()
+    return (r.option("readAllContent", str(read_all_content).lower())
+            .option("splitDepth", str(split_depth)).option("shards", str(shards)).load())

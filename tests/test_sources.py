@@ -61,3 +61,18 @@ def test_manifest_from_table_relative(spark):
     m = manifest_from_table(df, repo="r", path="full", content="data", root="root")
     assert sorted(r["path"] for r in m.collect()) == ["src/x.py", "z.md"]
     assert m.filter(F.col("size") != 1).count() == 0
+
+
+def test_tree_source_split_and_shards_keep_every_file(spark):
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    files = _tree(base)
+    for i in range(30):
+        p = os.path.join(base, "src", "big", f"f{i}.py")
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as fh:
+            fh.write(b"%d" % i)
+    want = set(files) | {f"src/big/f{i}.py" for i in range(30)}
+    m = manifest_from_tree(spark, [base], repos=["proj"], split_depth=2, shards=3)
+    got = [r["path"] for r in m.collect()]
+    assert sorted(got) == sorted(want)  # each file exactly once
+    assert m.rdd.getNumPartitions() > 3
