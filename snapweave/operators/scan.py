@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from .classify import file_facts
 from ..options import DEFAULT, Options
-from ..plans.joins import DEFAULT_MAX_BYTES, lookup_side
+from ..plans.joins import DEFAULT_MAX_BYTES, lookup_side, measured_bytes
 from ..session import cut_lineage
 from .rules import apply_rules, rule_files
 
@@ -88,18 +88,37 @@ def disposition_col() -> F.Column:
             .otherwise(F.lit("binary")))
 
 
+# Inputs estimated above this size materialise the scan's fan-out frames (see :class:`Scan`).
+AUTO_MATERIALIZE_BYTES = 256 << 20
+
+
+def check_unique_paths(df: DataFrame) -> None:
+    """T-14: raise when a repository lists the same file path twice (``n_files`` from
+    :func:`entries`)."""
+    dup = df.filter(F.col("n_files") > 1).select("repo", "path").take(1)
+    if dup:
+        raise ValueError(f"path listed twice in repository {dup[0]['repo']!r}: {dup[0]['path']!r}")
+
+
 class Scan:
     """The frames of one scan.
 
     Three frames fan out to several consumers: the parsed rule files (rule plans and the pattern
     report), the rule flags (blocked directories and visibility) and the dispositions (tree, report,
-    decisions and statistics). Each is materialised once with a reliable checkpoint in ``spark.checkpoint.dir``, so the rule UDF
-    and the shuffles before it run once, the plans of the consumers stay small, and a lost
-    executor costs a re-read rather than a recomputation. ``materialize=False`` keeps everything
-    lazy (one plan, which Spark may partly reuse)."""
-
-    def __init__(self, manifest: DataFrame, *, with_chars: bool = True, materialize: bool = True,
+    decisions and statistics). On a large input each is materialised once as a table in
+    ``spark.checkpoint.dir``, so the rule UDF and the shuffles before it run once, the plans of the
+    consumers stay small, and a lost executor costs a re-read rather than a recomputation.
+    ``materialize=None`` decides by the input's size estimate (:data:`AUTO_MATERIALIZE_BYTES`):
+    a small input then runs as one lazy plan. Measured here, that only pays for a single scan
+    consumer; tree and document consumers size their joins against the materialised dispositions,
+    so the default is to materialise. ``materialize_dispositions`` forces the last frame."""
+
+    def __init__(self, manifest: DataFrame, *, with_chars: bool = True,
+                 materialize: bool | None = True, materialize_dispositions: bool = False,
                  options: Options = DEFAULT, check_unique: bool = False):
+        if materialize is None:
+            materialize = measured_bytes(manifest) > AUTO_MATERIALIZE_BYTES
+        self.materialized = materialize
         keep = cut_lineage if materialize else (lambda df: df)
         self.manifest = manifest
         self.options = options
@@ -110,15 +129,13 @@ class Scan:
                                         files_materialized=materialize,
                                         prune_folders=options.prune_folders,
                                         broadcast_bytes=options.broadcast_bytes))
-        if check_unique:
-            dup = self.flagged.filter(F.col("n_files") > 1).select("repo", "path").take(1)
-            if dup:
-                raise ValueError(f"path listed twice in repository {dup[0]['repo']!r}: "
-                                 f"{dup[0]['path']!r}")
         self.blocked = blocked_dirs(self.flagged)
         self.visible = visible(self.flagged, self.blocked, broadcast_bytes=options.broadcast_bytes,
                                materialize=materialize)
-        self.dispositions = keep(self.visible.withColumn("disposition", disposition_col()))
+        disp = self.visible.withColumn("disposition", disposition_col())
+        self.dispositions = cut_lineage(disp) if (materialize or materialize_dispositions) else disp
+        if check_unique:
+            check_unique_paths(self.dispositions)
 
 
 def scan(manifest: DataFrame) -> DataFrame:

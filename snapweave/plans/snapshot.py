@@ -77,27 +77,28 @@ def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
 class Snapshot:
     """All frames of a snapshot job; nothing runs until a sink or action.
 
-    ``materialize=True`` (the default) checkpoints, reliably in ``spark.checkpoint.dir``, the frames
-    read by several branches: rule flags, dispositions (tree, report, decisions, statistics) and
-    the metadata sections (statistics and the document)."""
+    The dispositions (read by tree, report, decisions and statistics) and the metadata sections
+    (read by statistics and the document) are always materialised in ``spark.checkpoint.dir``;
+    the scan's earlier fan-out frames follow ``materialize`` (None: by input size, see
+    :class:`..operators.scan.Scan`)."""
 
     def __init__(self, manifest: DataFrame, timestamp: str = DEFAULT_TIMESTAMP, *,
-                 options: Options = DEFAULT, materialize: bool = True,
+                 options: Options = DEFAULT, materialize: bool | None = True,
                  num_partitions: int | None = None):
         self.manifest = manifest
         self.timestamp = timestamp
         self.options = options
-        self.scan = Scan(manifest, materialize=materialize, options=options,
-                         check_unique=options.require_unique_paths and materialize)
+        self.scan = Scan(manifest, materialize=materialize, materialize_dispositions=True,
+                         options=options, check_unique=options.require_unique_paths)
         disp = self.dispositions = self.scan.dispositions
         self.tree_lines = tree_lines(disp, max_depth=options.max_depth,
                                      hide_dunder=options.hide_dunder,
                                      broadcast_bytes=options.broadcast_bytes,
-                                     materialize=materialize)
+                                     materialize=self.scan.materialized)
         small = (tree_rows(self.tree_lines)
                  .unionByName(report_rows(disp, self.scan.rule_files))
                  .unionByName(ignored_item_rows(disp)))
-        self.small_rows = cut_lineage(small) if materialize else small
+        self.small_rows = cut_lineage(small)
         self.stats = snapshot_stats(disp, self.small_rows, timestamp)
         self.meta_rows = header_rows(self.stats, timestamp).unionByName(self.small_rows)
         self.decisions = content_decisions(disp)

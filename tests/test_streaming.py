@@ -7,6 +7,7 @@ from snapweave.streaming.incremental import start_snapshot_stream
 
 
 def test_stream_replaces_repo_documents(spark):
+    before = len(getattr(spark, "_snapweave_tables", []))
     base = tempfile.mkdtemp(prefix="snapweave-stream-")
     src, out = f"{base}/in", f"{base}/out"
     make_manifest(spark, [("a", "x.py", b"1"), ("a", "y.md", b"2")]).write.parquet(f"{src}/b1")
@@ -24,4 +25,5 @@ def test_stream_replaces_repo_documents(spark):
     assert "/* ===== x.py ===== */\n1\n\n" in text
     stats = spark.read.parquet(f"{out}/stats")
     assert {r["repo"]: r["text_files"] for r in stats.collect()} == {"a": 2, "b": 1}
-    assert not getattr(spark, "_snapweave_tables", [])  # each batch dropped its tables
+    # each batch dropped the tables it wrote
+    assert len(getattr(spark, "_snapweave_tables", [])) <= before
