@@ -78,15 +78,20 @@ def _written(spark: SparkSession) -> list:
     return reg
 
 
-def drop_materialized(spark: SparkSession) -> int:
-    """Delete the tables :func:`cut_lineage` wrote in this session (call once the outputs that
-    read them are written: frames built on them cannot be evaluated afterwards). Returns how
-    many were removed."""
+def materialized_mark(spark: SparkSession) -> int:
+    """A position in the session's list of written tables, for :func:`drop_materialized`."""
+    return len(_written(spark))
+
+
+def drop_materialized(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables :func:`cut_lineage` wrote in this session after position ``since``
+    (call once the outputs that read them are written: frames built on them cannot be evaluated
+    afterwards). Returns how many were removed."""
     reg = _written(spark)
     n = 0
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while reg:
+    while len(reg) > since:
         p = jvm.org.apache.hadoop.fs.Path(reg.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p) and fs.delete(p, True):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.snapshot import Snapshot, now_timestamp
-from ..session import drop_materialized, ensure_checkpoint_dir
+from ..session import drop_materialized, ensure_checkpoint_dir, materialized_mark
 from ..sinks import write_snapshot
 
 MANIFEST_SCHEMA = "repo string, path string, content binary, size bigint"
@@ -28,10 +28,11 @@ def _write_stats(stats: DataFrame, out_dir: str) -> None:
 def snapshot_batch(batch: DataFrame, out_dir: str, timestamp: str | None = None) -> None:
     """One micro-batch: snapshot, write both outputs, then drop the batch's materialised tables
     so a long-running stream does not accumulate them."""
+    mark = materialized_mark(batch.sparkSession)
     snap = Snapshot(batch, timestamp or now_timestamp())
     write_snapshot(snap.sections(), f"{out_dir}/documents")
     _write_stats(snap.stats, f"{out_dir}/stats")
-    drop_materialized(batch.sparkSession)
+    drop_materialized(batch.sparkSession, since=mark)
 
 
 def start_snapshot_stream(spark: SparkSession, manifest_dir: str, out_dir: str, *,
