@@ -90,3 +90,17 @@ def test_entry_smoke(spark):
     assert set(df.columns) == {"repo", "text_files", "binary_files", "ignored_items", "total_files",
                                "total_chars", "errors"}
     assert set(e.queries()) == set(e.oracle_sql())
+
+
+def test_empty_and_rules_only_manifests(spark):
+    empty = spark.createDataFrame(
+        [], "repo string, path string, content binary, size bigint")
+    snap = Snapshot(empty)
+    assert snap.stats.count() == 0 and snap.sections().count() == 0
+    only_rules = make_manifest(spark, [(".gitignore", b"*.log\n")])
+    snap = Snapshot(only_rules)
+    st = snap.stats.first()
+    assert (st["text_files"], st["ignored_items"]) == (1, 0)
+    texts = [r["text"] for r in snap.sections().orderBy("section", "key").collect()]
+    assert texts[0].startswith("/* ====") and "└── .gitignore" in "".join(texts)
+    assert not any("IGNORED FILES" in t for t in texts)  # no report without ignored items
