@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,8 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for materialised tables. On a cluster it is ``spark.checkpoint.dir`` (a shared
-    file system); a private scratch folder is made only when that setting is absent (tests)."""
+    """The folder for materialised tables: ``spark.checkpoint.dir``, a file system that the driver
+    and all executors share. A private scratch folder is made only when that setting is absent and
+    the session is a single local process (tests); anywhere else an unset folder raises."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current.get()
         configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None or not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="snapweave-ckpt-", dir=os.environ.get("TMPDIR"))
     if sc is not None:
         sc.setCheckpointDir(configured)
@@ -64,13 +69,54 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     once to write). The result survives executor loss, its lineage is the file scan, and the table
     is columnar, so later readers prune columns and push filters into it."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    _written(spark).append(path)
+    path = scratch_path(spark)
+    with freed_shuffles(spark):
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, known to :func:`drop_materialized`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _written(spark).append(path)
+    return path
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the queries inside are removed as each one ends: their results are tables
+    in the shared folder, so nothing reads those files again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`cut_lineage` returned, once all that reads it
+    has been written elsewhere."""
+    spark, reg = df.sparkSession, _written(df.sparkSession)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        known = next((p for p in reg if path.rstrip("/").endswith(p.rsplit("/", 1)[1])), None)
+        if known:
+            reg.remove(known)
+            _delete(spark, known)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
 def _written(spark: SparkSession) -> list:
     reg = getattr(spark, "_snapweave_tables", None)
     if reg is None:
@@ -89,13 +135,8 @@ def drop_materialized(spark: SparkSession, since: int = 0) -> int:
     afterwards). Returns how many were removed."""
     reg = _written(spark)
     n = 0
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while len(reg) > since:
-        p = jvm.org.apache.hadoop.fs.Path(reg.pop())
-        fs = p.getFileSystem(conf)
-        if fs.exists(p) and fs.delete(p, True):
-            n += 1
+        n += _delete(spark, reg.pop())
     return n
 
 
