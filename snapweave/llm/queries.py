@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, secret_scan
 
 QUERIES = {
+    "op3_secret_scan": secret_scan.query,
     "op5_quality_rules": quality_rules.query,
     "op6_exact_dedup": exact_dedup.query,
 }
@@ -12,6 +13,7 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_secret_scan": secret_scan.sql(),
         "op5_quality_rules": quality_rules.sql(),
         "op6_exact_dedup": exact_dedup.SQL,
     }
