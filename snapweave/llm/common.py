@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..session import ship_package
 
 #: White space of all word rules here: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,3 +38,15 @@ def rows_of(docs: DataFrame, **derived: Column) -> DataFrame:
     clash; ``select("row.*")`` restores the frame."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        *[c.alias(n) for n, c in derived.items()])
+
+
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` (Arrow record batch to a dict of columns) over every batch of ``df``."""
+    ship_package(df.sparkSession)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict(fn(b), schema=out)
+
+    return df.mapInArrow(run, schema)
