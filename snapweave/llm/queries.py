@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, pii_scan, quality_rules, secret_scan
+from . import exact_dedup, html_text, packing, pii_scan, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op2_html_text": html_text.query,
     "op3_secret_scan": secret_scan.query,
+    "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_simhash": simhash.query,
     "op8_pii_scan": pii_scan.query,
 }
 
