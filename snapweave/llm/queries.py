@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, pii_scan, quality_rules, secret_scan, simhash
+from . import exact_dedup, html_text, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
 
 QUERIES = {
     "op2_html_text": html_text.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_simhash": simhash.query,
     "op8_pii_scan": pii_scan.query,
+    "op9_warc_index": warc_index.query,
 }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_secret_scan": secret_scan.sql(),
         "op5_quality_rules": quality_rules.sql(),
         "op6_exact_dedup": exact_dedup.SQL,
+        "op9_warc_index": warc_index.SQL,
     }
