@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
+from . import exact_dedup, html_text, mixing, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
 
 QUERIES = {
+    "op1_temperature_mix": mixing.query,
     "op2_html_text": html_text.query,
     "op3_secret_scan": secret_scan.query,
     "op4_best_fit_packing": packing.query,
@@ -18,6 +19,7 @@ QUERIES = {
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_temperature_mix": mixing.sql(),
         "op3_secret_scan": secret_scan.sql(),
         "op5_quality_rules": quality_rules.sql(),
         "op6_exact_dedup": exact_dedup.SQL,
