@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
+from . import exact_dedup, html_text, lm_score, mixing, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
 
 QUERIES = {
     "op1_temperature_mix": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_pii_scan": pii_scan.query,
     "op9_warc_index": warc_index.query,
+    "op10_lm_score": lm_score.query,
 }
 
 
