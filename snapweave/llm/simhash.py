@@ -37,7 +37,9 @@ from ..session import cut_lineage, drop_table, ship_package
 from .common import map_batches, rows_of, table
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
-SHARD, LEAF, BLOCK = 32_768, 1_024, 4_096
+#: Points of a shard (a few seconds of one task, a few MB), and the least number of shards.
+SHARD, LEAST_SHARDS = 131_072, 16
+LEAF, BLOCK = 1_024, 4_096
 SAMPLE_PER_SHARD, MAX_SHARDS = 32, 1 << 15
 
 
@@ -204,11 +206,10 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD) -> Da
     ``max_bits``. ``points``: a written table of the distinct ``fp``."""
     ship_package(points.sparkSession)
     n = points.count()
-    shards = min(MAX_SHARDS, -(-n // shard))
     tree = Tree(np.empty(0, np.uint64), 1, max_bits)
-    if shards > 1:
+    if n > LEAF:
         # Boundary points are copied, so that a tree of this many shards holds more than n points.
-        shards = min(MAX_SHARDS, int(shards ** 1.6) + 1)
+        shards = min(MAX_SHARDS, max(LEAST_SHARDS, int((n / shard) ** 1.6) + 1))
         wanted = SAMPLE_PER_SHARD * shards
         # Hash order over distinct fingerprints: a uniform sample, the same on every run.
         share = min(1.0, 1.5 * wanted / n)
