@@ -21,13 +21,14 @@ The tree over near-uniform 64-bit fingerprints keeps about 0.65 of the points on
 node, so its work grows as points to the power 1.6, and copies at boundaries as the power 0.6.
 
 Defined cases: null or empty text has no shingle and fingerprint zero; fewer words than the shingle
-length are one shingle; rows that repeat an id belong to the component of each of their texts; null
+length are one shingle; rows that repeat an id are in the component of their own text each; null
 ids lose against any other id; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -247,24 +248,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row: id, ``fp`` and ``component_id`` (the least id of its component)."""
+    """Per row: id, ``fp``, ``root`` (names its component) and ``component_id`` (its least id)."""
     marked = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     points = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(points, max_bits))
     named = points.join(roots, points["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("id", "fp", "component_id")
+    of_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return marked.join(of_fp, "fp").select("id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its least id (a repeated id may
-    keep several rows), all columns."""
+    """The rows of ``docs`` that stay, one of each component, all columns: the one with the least id,
+    of a repeated id the one with the least fingerprint, of a repeated text the least row as JSON."""
     found = cut_lineage(near_groups(docs, id_col, text_col, shingle, max_bits))
-    lost = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    rows = rows_of(docs, id=F.col(id_col))
-    return rows.join(lost, rows["id"].eqNullSafe(lost["id"]), "left_anti").select("row.*")
+    again = cut_lineage(found.groupBy("id").count().filter("count > 1").select(F.col("id").alias("again_id")))
+    rows = rows_of(docs, id=F.col(id_col), text=F.col(text_col).cast("binary"))
+    lost = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("lost_id")).distinct()
+    if again.isEmpty():
+        return rows.join(lost, rows["id"].eqNullSafe(lost["lost_id"]), "left_anti").select("row.*")
+    # Ids that several rows have do not tell rows apart; those rows go by id and fingerprint.
+    hit = rows["id"].eqNullSafe(again["again_id"])
+    single = rows.join(again, hit, "left_anti")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("best"))
+    best = best.select("root", F.col("best.id").alias("best_id"), F.col("best.fp").alias("best_fp"))
+    several = rows.join(again, hit, "left_semi").withColumn("fp", fingerprint_udf(shingle)("text"))
+    several = several.join(best, several["id"].eqNullSafe(best["best_id"]) & (several["fp"] == best["best_fp"]))
+    once = several.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.join(lost, single["id"].eqNullSafe(lost["lost_id"]), "left_anti").select("row") \
+        .unionByName(once.select("row")).select("row.*")
+
+
+def fingerprint_udf(shingle: int):
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    return F.pandas_udf(run, "bigint")
 
 
 def query(spark, sf_dir):
