@@ -32,6 +32,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,8 +44,8 @@ from .common import map_batches, table, text_or_empty
 
 CAPACITY, END_ID = 2048, 0
 CACHE = 1_000_000
-GROUP = 50_000
-ROUNDS, STEP = 400, 0.05
+GROUP = 2_048
+ROUNDS, STEP = 200, 0.05
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -55,16 +56,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A full stop or comma that ends a word of ASCII letters is a token of its own, so it may be split
-#: off beforehand; that halves the number of different words.
+#: A full stop or comma between an ASCII letter and the end of a word is a token of its own, so it may
+#: be split off beforehand; that halves the number of different words.
 TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
-def words_of(text: str) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """The white-space separated words, ASCII letters lower-cased as the tokenizer would; a text
     that may hold one of the tokenizer's special strings keeps its case."""
-    raw = text.encode()
-    return raw.split() if b"<|" in raw else TAIL.sub(rb" \1", raw.lower()).split()
+    return text.split() if b"<|" in text else TAIL.sub(rb" \1", text.lower()).split()
 
 
 class WordIds:
@@ -75,18 +75,22 @@ class WordIds:
         self.encode = tokenizer(path).encode_batch_fast
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text."""
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = list({w for t in texts for w in t if w not in known})
+        words = list(chain.from_iterable(texts))
+        ids = list(map(self.known.get, words))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        new = list({words[i] for i in unknown})
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             encoded = self.encode([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded)))
-
-    def of(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded)))
+        for i in unknown:
+            ids[i] = self.known[words[i]]
+        parts = iter(ids)
+        return [b"".join(islice(parts, len(t))) for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -111,9 +115,8 @@ def piece_batch(path: str, capacity: int):
         # Documents in small groups: new words are encoded together, memory stays bounded.
         for i in range(0, len(ids), 256):
             texts = [words_of(t) for t in batch.column(1).slice(i, 256).to_pylist()]
-            table.learn(texts)
-            for doc, words in zip(ids[i:i + 256], texts):
-                for row in cut(table.of(words) + end, capacity):
+            for doc, tokens in zip(ids[i:i + 256], table.of(texts)):
+                for row in cut(tokens + end, capacity):
                     for n, v in zip(cols, (doc, *row)):
                         cols[n].append(v)
         return cols
@@ -125,7 +128,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
            capacity: int = CAPACITY) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")),
+    return map_batches(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("t")),
                        piece_batch(path, capacity),
                        f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
