@@ -38,7 +38,7 @@ from ..session import cut_lineage, drop_table, ship_package
 from .common import table, text_or_empty
 
 #: Characters of a split, and the least number of splits.
-SPLIT_CHARS, LEAST_SPLITS = 16_000_000, 12
+SPLIT_CHARS, LEAST_SPLITS = 8_000_000, 12
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 BUCKETS, OCTAVE_PARTS, SPAN = 32, 4, 64
 CELLS = BUCKETS * (OCTAVE_PARTS * SPAN) ** 2
@@ -109,16 +109,30 @@ class Tokens:
         del parts
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         hashes[0] = END
+        del numbers
         self.words, place = np.unique(hashes, return_inverse=True)
+        place = place.astype(np.int32)
         self.ends = np.cumsum(np.array(sizes, np.int64))
         self.word = place[token]
+        del token
         end = place[0]
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
         self.context[:1] = end  # the start context is counted by the end token
-        before = np.where(self.context == end, START, self.words[self.context])
-        keys = spread(before * np.uint64(0x9FB21C651E98DF25) + self.words[self.word])
-        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+        keys = np.where(self.context == end, START, self.words[self.context])
+        keys *= np.uint64(0x9FB21C651E98DF25)
+        keys += self.words[self.word]
+        keys = spread(keys)
+        # Sorted by hand: np.unique would hold several arrays of 64-bit places at once.
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.empty(len(keys), bool)
+        new[:1] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        self.pairs = keys[new]
+        del keys
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
 
     def tokens_of(self, documents: np.ndarray) -> np.ndarray:
         """A flag per token: does it belong to a flagged document?"""
