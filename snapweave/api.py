@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .operators.classify import file_facts
-from .operators.rules import apply_rules, rule_files, rule_lines
-from .operators.scan import Scan, blocked_dirs, entries, visible
+from .operators.rules import rule_files, rule_lines, rule_summary
+from .operators.scan import Scan, blocked_dirs, visible
 from .operators.tree import tree_lines
 from .options import DEFAULT, Options
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
 from .sinks import write_snapshot, write_stats
-from .sources.manifest import manifest_from_table
+from .sources.manifest import manifest_from_table, manifest_rejects
 from .sources.tree_source import manifest_from_tree
 
 __all__ = [
-    "manifest_from_table", "manifest_from_tree", "path_parts", "ancestors", "parse_rules",
+    "manifest_from_table", "manifest_from_tree", "manifest_rejects", "path_parts", "ancestors", "parse_rules", "rules_found",
     "is_ignored", "prune", "is_text", "disposition", "scan", "tree", "combine", "snapshot",
     "stats", "write_snapshot", "write_stats", "Options",
 ]
@@ -42,17 +42,19 @@ def parse_rules(manifest: DataFrame) -> DataFrame:
     return rule_lines(rule_files(manifest))
 
 
+def rules_found(manifest: DataFrame) -> DataFrame:
+    """A10: the three rule sets of every repository, whether each was found, and its patterns."""
+    return rule_summary(manifest, rule_files(manifest))
+
+
 def is_ignored(manifest: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """P1-P5 on every entry (files and the folders they imply), before pruning."""
-    e = entries(file_facts(manifest, with_chars=False, options=options))
-    return apply_rules(e, rule_files(manifest), prune_folders=options.prune_folders,
-                       broadcast_bytes=options.broadcast_bytes)
+    return Scan(manifest, with_chars=False, options=options).flags
 
 
-def prune(flagged: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def prune(flagged: DataFrame) -> DataFrame:
     """P6 + J1 + J2: the entries still visible after pruning ignored folders."""
-    return visible(flagged, blocked_dirs(flagged), broadcast_bytes=options.broadcast_bytes,
-                   materialize=False)
+    return visible(flagged, blocked_dirs(flagged))
 
 
 def is_text(manifest: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -71,8 +73,7 @@ disposition = scan
 def tree(dispositions: DataFrame, max_depth: int | None = None,
          options: Options = DEFAULT) -> DataFrame:
     """``(repo, key, line)``; sort by ``(repo, key)`` to draw."""
-    return tree_lines(dispositions, max_depth=max_depth, hide_dunder=options.hide_dunder,
-                      broadcast_bytes=options.broadcast_bytes)
+    return tree_lines(dispositions, max_depth=max_depth, hide_dunder=options.hide_dunder)
 
 
 def snapshot(manifest: DataFrame, timestamp: str = DEFAULT_TIMESTAMP,

@@ -1,9 +1,16 @@
 """gitignore-style patterns ("gitwildmatch") to anchored regular expressions.
 
-The translation runs once per *rule line* (a small table), never per path. Every regex emitted uses
-only non-capturing groups, character classes and backslash-escaped punctuation, so Java (Spark's
-``rlike``), Python ``re`` and RE2 (DuckDB) read it the same way. Java needs ``(?d)`` in front so that
-``.`` stops only at ``\\n``, as in Python; :func:`java_regex` adds it.
+A rule line goes through three small steps, once per line (a small table), never per path:
+
+1. :func:`parse` reads the line into a :class:`Rule`: a polarity, a list of :class:`Step` (one per path
+   segment, each with its tokens and whether any number of folders may come before it) and what the
+   pattern covers below its last step.
+2. :func:`emit` writes one regex fragment per token kind (``FRAGMENTS``) and per step.
+3. :func:`translate` compiles the result, so that a line that is no valid pattern is known here.
+
+Every regex uses only non-capturing groups, character classes and backslash-escaped punctuation, so
+Java (Spark's ``rlike``), Python ``re`` and RE2 (DuckDB) read it the same way. Java needs ``(?d)``
+in front so that ``.`` stops only at ``\\n``; :func:`java_regex` adds it.
 
 Grammar (a path is relative, ``/``-separated, with no leading or trailing slash):
 
@@ -19,6 +26,7 @@ pattern               regex
 ``a/**/b``            ``^a(?:/.+)?/b(?:/.*)?$``
 ``a/**``              ``^a/.*$``
 ``**/a``              same as ``a``
+``**``                ``^[^/]+(?:/.*)?$``
 ``?`` ``[ab]`` ``[!ab]``  ``[^/]`` ``[ab]`` ``[^ab]``
 ``!p``                regex of ``p`` with include = False
 blank, ``#...``, ``/``    no rule
@@ -28,73 +36,64 @@ blank, ``#...``, ``/``    no rule
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
-_META = set(".^$*+?()[]{}|\\/-&~#")
+ANY_DEPTH = "**"
+PUNCTUATION = frozenset(".^$*+?()[]{}|\\/-&~#")
+
+#: A token of a segment: an escape, a run of stars, one character, a set, or a literal.
+TOKEN = re.compile(r"\\(?P<escaped>.)|(?P<dangling>\\\Z)|(?P<star>\*)|(?P<any>\?)"
+                   r"|\[(?P<set>[!^]?+\]?+[^\]]*)\]|(?P<literal>.)", re.S)
 
 
 class PatternError(ValueError):
     """A rule line that cannot be compiled; it disables its whole rule file."""
 
 
-def _lit(ch: str) -> str:
-    return "\\" + ch if ch in _META else ch
-
-
-def _bracket(body: str) -> str:
-    """Body of a ``[...]`` expression (without the brackets) to a portable class."""
-    out = ["["]
-    rest = body
-    if rest[:1] == "!":
-        out.append("^")
-        rest = rest[1:]
-    elif rest[:1] == "^":  # '^' first is a literal in glob syntax
-        out.append("\\^")
-        rest = rest[1:]
-    for ch in rest:
-        out.append("\\" + ch if ch in "[]\\&^" else ch)
-    out.append("]")
-    return "".join(out)
-
-
-def _segment(seg: str) -> str:
-    """One path segment with glob syntax to regex; ``/`` never matches a wildcard."""
-    out: list[str] = []
-    i, n = 0, len(seg)
-    while i < n:
-        ch = seg[i]
-        i += 1
-        if ch == "\\":
-            if i >= n:
-                raise PatternError(f"dangling escape in {seg!r}")
-            out.append(_lit(seg[i]))
-            i += 1
-        elif ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        elif ch == "[":
-            j = i
-            if j < n and seg[j] in "!^":
-                j += 1
-            if j < n and seg[j] == "]":
-                j += 1
-            while j < n and seg[j] != "]":
-                j += 1
-            if j < n:
-                out.append(_bracket(seg[i:j]))
-                i = j + 1
-            else:
-                out.append("\\[")
-        else:
-            out.append(_lit(ch))
-    return "".join(out)
+@dataclass
+class Step:
+    """One path segment; ``deep``: any number of folders may come before it."""
+
+    segment: str
+    deep: bool = False
+
+
+@dataclass
+class Rule:
+    include: bool
+    steps: list[Step] = field(default_factory=list)
+    below_only: bool = False  # the pattern covers what is below its last step, not the step itself
+
+
+def quoted(text: str, special=PUNCTUATION) -> str:
+    return "".join("\\" + c if c in special else c for c in text)
+
+
+FRAGMENTS = {
+    "escaped": quoted,
+    "star": lambda _: "[^/]*",
+    "any": lambda _: "[^/]",
+    "literal": quoted,
+}
+
+
+def fragment(token: re.Match) -> str:
+    if token["set"] is not None:
+        members = token["set"].removeprefix("!")
+        return "[" + ("^" if members != token["set"] else "") + quoted(members, "[]\\&^") + "]"
+    if token["dangling"]:
+        raise PatternError("dangling escape")
+    return FRAGMENTS[token.lastgroup](token[token.lastgroup])
+
+
+def segment_regex(segment: str) -> str:
+    """A lone star is a name of one character or more; elsewhere a star may be empty."""
+    return "[^/]+" if segment == "*" else "".join(map(fragment, TOKEN.finditer(segment)))
 
 
 def clean_line(line: str) -> str:
     """Whitespace handling of a rule line: both ends, unless it ends with an escaped space."""
-    if line.endswith("\\ "):
-        return line.lstrip()
-    return line.strip()
+    return line.lstrip() if line.endswith("\\ ") else line.strip()
 
 
 def is_rule_line(line: str) -> bool:
@@ -103,60 +102,54 @@ def is_rule_line(line: str) -> bool:
     return bool(s) and not s.startswith("#")
 
 
-def translate(line: str) -> tuple[str | None, bool | None]:
-    """Return ``(regex, include)`` for one rule line, or ``(None, None)`` when it is no rule.
-
-    Raises :class:`PatternError` for a line that cannot be compiled.
-    """
+def parse(line: str) -> Rule | None:
+    """The rule of a line, None when it is no rule."""
     text = clean_line(line)
-    if not text or text.startswith("#") or text == "/":
-        return None, None
-    include = True
-    if text.startswith("!"):
-        include, text = False, text[1:]
-
-    raw = text.split("/")
-    segs: list[str] = []
-    for s in raw:  # a run of '**' is one '**'
-        if s == "**" and segs and segs[-1] == "**":
+    if text == "/" or not is_rule_line(text):
+        return None
+    rule = Rule(include=not text.startswith("!"))
+    text = text.removeprefix("!")
+    if not text:
+        raise PatternError(f"empty pattern {line!r}")
+    below = text.endswith("/") and len(text) > 1
+    body = text[:-1] if below else text
+    anchored = "/" in body
+    deep = not anchored
+    for segment in body.removeprefix("/").split("/"):
+        if segment == ANY_DEPTH:
+            deep = True
             continue
-        segs.append(s)
+        rule.steps.append(Step(segment, deep))
+        deep = False
+    if not rule.steps:  # nothing but "**"; "/**/" asks for an empty name, which no path has
+        rule.steps.append(Step("" if below and body.startswith("/") else "*", deep=below))
+    elif deep:  # a "**" at the end: below the last step
+        below = True
+    rule.below_only = below
+    return rule
 
-    if segs == ["**", ""]:
-        return "^.+/.*$", include
 
-    if segs[0] == "":
-        segs = segs[1:]  # leading slash: anchored at the root
-    elif len(segs) == 1 or (len(segs) == 2 and segs[1] == ""):
-        if segs[0] != "**":
-            segs = ["**"] + segs  # a bare name matches at any depth
-    if not segs:
-        raise PatternError(f"empty pattern {line!r}")
-    if len(segs) > 1 and segs[-1] == "":
-        segs[-1] = "**"  # 'dir/' means everything below dir
-
-    last = len(segs) - 1
-    parts = ["^"]
-    slash = False
-    for k, seg in enumerate(segs):
-        if seg == "**":
-            if k == 0:
-                parts.append("[^/]+(?:/.*)?" if last == 0 else "(?:.+/)?")
-                slash = False
-            elif k == last:
-                parts.append("/.*")
-            else:
-                parts.append("(?:/.+)?")
-                slash = True
-            continue
-        if slash:
-            parts.append("/")
-        parts.append("[^/]+" if seg == "*" else _segment(seg))
-        if k == last:
-            parts.append("(?:/.*)?")
-        slash = True
-    parts.append("$")
-    return "".join(parts), include
+def emit(rule: Rule) -> str:
+    out = "^"
+    for i, step in enumerate(rule.steps):
+        lead = ("(?:.+/)?" if step.deep else "") if i == 0 else ("(?:/.+)?/" if step.deep else "/")
+        out += lead + segment_regex(step.segment)
+    return out + ("/.*" if rule.below_only else "(?:/.*)?") + "$"
+
+
+def translate(line: str) -> tuple[str | None, bool | None]:
+    """``(regex, include)`` of one rule line, ``(None, None)`` when it is no rule.
+
+    Raises :class:`PatternError` for a line that cannot be compiled."""
+    rule = parse(line)
+    if rule is None:
+        return None, None
+    regex = emit(rule)
+    try:
+        re.compile(regex)
+    except re.error as e:
+        raise PatternError(f"{line!r}: {e}") from e
+    return regex, rule.include
 
 
 def java_regex(regex: str) -> str:
@@ -166,13 +159,4 @@ def java_regex(regex: str) -> str:
 
 def default_rules_regex(patterns) -> str:
     """All default patterns as one alternation (none of them negates, so OR is exact)."""
-    bodies = []
-    for p in patterns:
-        rx, inc = translate(p)
-        assert inc is True
-        bodies.append(rx[1:-1])
-    return "^(?:" + "|".join(bodies) + ")$"
-
-
-def compiled(regex: str) -> re.Pattern:
-    return re.compile(regex)
+    return "^(?:" + "|".join(translate(p)[0][1:-1] for p in patterns) + ")$"

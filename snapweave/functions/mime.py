@@ -1,48 +1,32 @@
 """MIME type by file name (P10).
 
-The lookup table is the interpreter's *built-in* ``mimetypes`` table (strict types only), read from
-a fresh ``MimeTypes()`` instance, which ignores the host's ``/etc/mime.types``. The host file differs
-between machines (on this one ``.ts`` is ``text/vnd.trolltech.linguist``; the built-in table has no
-``.ts``), so it is never consulted. The table is tiny and of fixed size, so it is broadcast.
+The lookup table is pinned in :mod:`.constants`, so neither the host's MIME files nor the Python
+version change a result. It has a fixed size, so it is broadcast.
 """
 
 from __future__ import annotations
 
-import functools
-import mimetypes
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import BINARY_MIME_PREFIXES, READABLE_MIME_PREFIXES
+from .constants import (BINARY_MIME_PREFIXES, MIME_ALIASES, MIME_ENCODINGS, MIME_TYPES,
+                        READABLE_MIME_PREFIXES)
 
 # ``os.path.splitext`` on a base name: leading dots are not an extension.
 _SPLITEXT = r"(?s)^\.*[^.].*(\.[^.]*)$"
 
 
-@functools.lru_cache(maxsize=1)
-def _builtin() -> mimetypes.MimeTypes:
-    return mimetypes.MimeTypes(filenames=())
-
-
 def mime_rows() -> list[tuple[str, str]]:
-    """``(extension with dot, lower case; MIME type)`` of the built-in strict table."""
-    return sorted(_builtin().types_map[True].items())
+    """``(extension with dot, lower case; MIME type)``."""
+    return list(MIME_TYPES)
 
 
 def encodings() -> list[str]:
-    """Compression endings that are skipped before the type lookup (case-sensitive)."""
-    return sorted(_builtin().encodings_map)
+    return list(MIME_ENCODINGS)
 
 
 def suffix_aliases() -> dict[str, str]:
-    """Alias endings (``.tgz``) to the extension whose type they carry (``.tar``)."""
-    out = {}
-    enc = _builtin().encodings_map
-    for alias, target in _builtin().suffix_map.items():
-        stem, last = target[: target.rindex(".")], target[target.rindex("."):]
-        out[alias] = stem.lower() if last in enc else target.lower()
-    return out
+    return dict(MIME_ALIASES)
 
 
 def splitext_ext(c: Column) -> Column:

@@ -14,14 +14,16 @@ def _c(c) -> Column:
 
 
 def norm_path(c) -> Column:
-    """Backslashes to slashes, then strip every leading and trailing slash."""
-    return F.regexp_replace(F.regexp_replace(_c(c), r"\\", "/"), r"^/+|/+$", "")
+    """Backslashes to slashes; empty segments (leading, trailing and doubled slashes) and ``.``
+    segments are dropped."""
+    segments = F.split(F.translate(_c(c), "\\", "/"), "/")
+    return F.array_join(F.filter(segments, lambda s: (s != "") & (s != ".")), "/")
 
 
 def rel_path(path, root) -> Column:
     """``path`` relative to ``root``: '' for the root itself, NULL when outside it."""
     p, r = norm_path(path), norm_path(root)
-    below = p.substr(F.length(r) + 2, F.lit(1 << 30))
+    below = F.substr(p, F.length(r) + 2)
     return (F.when(r == "", p)
             .when(p == r, F.lit(""))
             .when(p.startswith(F.concat(r, F.lit("/"))), below))

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.constants import DENIED_EXTENSIONS, KNOWN_TEXT_NAMES, TEXT_NAME_ENDINGS
+from ..functions.constants import (DENIED_EXTENSIONS, GITIGNORE_PATH, KNOWN_TEXT_NAMES,
+                                   TEXT_NAME_ENDINGS, TRACK_IGNORE_PATH)
 from ..functions.mime import binary_mime, mime_dim, readable_mime, type_extension
 from ..functions.text import sniff_is_text, text_length
 from ..options import DEFAULT, Options
+from .rules import default_hit
 
 
 def with_mime(df: DataFrame, name_col: str = "name", overrides=()) -> DataFrame:
@@ -29,7 +31,7 @@ def name_verdict(name: Column, mime: Column) -> Column:
     ends = F.lit(False)
     for e in TEXT_NAME_ENDINGS:
         ends = ends | name.endswith(e)
-    ext = F.lower(F.substring(P.suffix(name), 2, 1 << 20))
+    ext = F.lower(F.substr(P.suffix(name), F.lit(2)))
     return (F.when(F.lower(name).isin(list(KNOWN_TEXT_NAMES)), F.lit("text"))
             .when(ends, F.lit("text"))
             .when(ext.isin(list(DENIED_EXTENSIONS)), F.lit("binary"))
@@ -45,8 +47,10 @@ def is_text(by_name: Column, content: Column, strict_boundary: bool = True) -> C
 
 def file_facts(manifest: DataFrame, with_chars: bool = True, options: Options = DEFAULT
                ) -> DataFrame:
-    """Per file: ``repo, path, size, readable, mime, by_name, sniff_text, is_text`` and, for
-    text files, ``text_chars`` (code points after decoding and newline translation)."""
+    """Per file: ``repo, path, size, readable, mime, by_name, sniff_text, is_text``, the bytes of the
+    two rule files as ``rule_bytes`` (NULL for all others) and, for text files that neither the
+    reserved folder nor a default rule drops, ``text_chars`` (code points after decoding and newline
+    translation). The one pass over ``content`` besides the bodies themselves."""
     m = manifest.select("repo", "path", "size", "content").withColumn("name", P.name(F.col("path")))
     m = with_mime(m, overrides=options.mime_overrides)
     by_name = name_verdict(F.col("name"), F.col("mime"))
@@ -54,8 +58,10 @@ def file_facts(manifest: DataFrame, with_chars: bool = True, options: Options =
     m = m.select("repo", "path", "size", F.col("content").isNotNull().alias("readable"), "mime",
                  by_name.alias("by_name"),
                  F.when(by_name.isNull(), sniff_is_text(F.col("content"), strict)).alias("sniff_text"),
-                 is_text(by_name, F.col("content"), strict).alias("is_text"), "content")
+                 is_text(by_name, F.col("content"), strict).alias("is_text"),
+                 F.when(F.col("path").isin(GITIGNORE_PATH, TRACK_IGNORE_PATH), F.col("content")).alias("rule_bytes"),
+                 "content")
     if with_chars:
-        m = m.withColumn("text_chars", F.when(F.col("is_text") & F.col("readable"),
-                                              text_length(F.col("content"))))
+        counts = F.col("is_text") & F.col("readable") & ~P.is_reserved(F.col("path")) & ~default_hit(F.col("path"))
+        m = m.withColumn("text_chars", F.when(counts, text_length(F.col("content"))))
     return m.drop("content")

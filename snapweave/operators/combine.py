@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.constants import (ERROR_SECTION_OPEN, FILE_SECTION_CLOSE, FILE_SECTION_OPEN,
-                                   FILE_SECTION_TAIL, HEADER_RULE, HEADING_BINARY, HEADING_DIRS,
-                                   HEADING_FILES, REPORT_TITLE, TREE_INDENT, TREE_RULE, TREE_TITLE,
+                                   FILE_SECTION_TAIL, HEADER_IGNORED, HEADER_PROJECT, HEADER_RULE,
+                                   HEADER_TEXT_FILES, HEADER_TITLE, HEADING_BINARY, HEADING_DIRS,
+                                   HEADING_FILES, ITEM_CLOSE, ITEM_OPEN, REPORT_TITLE, TREE_INDENT, TREE_RULE, TREE_TITLE,
                                    UNREADABLE_REASON)
 from ..functions.text import read_text
 from .rules import pattern_report_rows
@@ -93,9 +94,9 @@ def ignored_item_rows(disp: DataFrame) -> DataFrame:
     items = disp.filter(F.col("disposition").isin(*IGNORED_KINDS))
     sec = F.when(F.col("disposition") == "directory", F.lit(SEC_DIRS)).when(
         F.col("disposition") == "file", F.lit(SEC_FILES)).otherwise(F.lit(SEC_BINARY))
-    text = F.concat(F.lit("/* "), F.col("path"),
+    text = F.concat(F.lit(ITEM_OPEN), F.col("path"),
                     F.when(F.col("disposition") == "directory", F.lit("/")).otherwise(F.lit("")),
-                    F.lit(" */\n"))
+                    F.lit(ITEM_CLOSE))
     lines = _rows(items, sec, F.col("path"), text)
     kinds = items.select("repo", sec.alias("section")).distinct()
     heading = F.when(F.col("section") == SEC_DIRS, F.lit(HEADING_DIRS)).when(
@@ -117,9 +118,9 @@ def report_rows(disp: DataFrame, files: DataFrame) -> DataFrame:
 def header_text(repo: Column, timestamp: str, text_files: Column, ignored: Column) -> Column:
     """X4."""
     return F.concat(
-        F.lit("/* " + HEADER_RULE + "\n   CODEBASE SNAPSHOT - " + timestamp + "\n   Project: "), repo,
-        F.lit("\n   Text Files Included: "), text_files.cast("string"),
-        F.lit("\n   Items Ignored: "), ignored.cast("string"),
+        F.lit("/* " + HEADER_RULE + "\n   " + HEADER_TITLE + timestamp + HEADER_PROJECT), repo,
+        F.lit(HEADER_TEXT_FILES), text_files.cast("string"),
+        F.lit(HEADER_IGNORED), ignored.cast("string"),
         F.lit("\n   " + HEADER_RULE + " */\n\n"))
 
 
@@ -150,6 +151,9 @@ def snapshot_stats(disp: DataFrame, small_rows: DataFrame, timestamp: str) -> Da
         F.col("e").alias("errors"))
 
 
-def header_rows(stats: DataFrame, timestamp: str) -> DataFrame:
-    return _rows(stats, SEC_HEADER, F.lit(""),
-                 header_text(F.col("repo"), timestamp, F.col("text_files"), F.col("ignored_items")))
+def header_rows(disp: DataFrame, timestamp: str) -> DataFrame:
+    """X4 from the dispositions alone: the header shows two counts and needs neither tree nor report."""
+    d = F.col("disposition")
+    counts = disp.groupBy("repo").agg(F.count_if(d == "text").alias("t"),
+                                      F.count_if(d.isin(*IGNORED_KINDS)).alias("i"))
+    return _rows(counts, SEC_HEADER, F.lit(""), header_text(F.col("repo"), timestamp, F.col("t"), F.col("i")))

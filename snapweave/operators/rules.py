@@ -10,17 +10,21 @@ Three rule sets decide whether a path is ignored; the sets combine with OR, and
 The reserved ``.codebase`` folder is ignored before any rule.
 
 Plan shape. Rule files are a tiny table next to the manifest. Each file is parsed once, by a
-vectorised Python helper (rule lines -> regexes). Per repository the rules become a *plan string*:
-consecutive rules of the same polarity merge into one alternation, so a path needs one regex test
-per block rather than per rule. Paths meet their repository's plan through an equi-join on ``repo``
-(broadcast under a measured bound, else a shuffle join that AQE can split when one repository is
-hot), and a pandas UDF evaluates plans with compiled patterns cached per executor. The default set
-has no join at all: it is one literal regex, compiled once by ``rlike``.
+vectorised Python helper (rule lines -> compiled, valid regexes; a line that does not compile costs
+its own file and nothing else). Per repository the rules become a *plan*: an array of
+``(rule_set, include, regex)`` in which consecutive rules of the same polarity are one alternation,
+so a path needs one regex test per block rather than per rule. Plans of up to
+``Options.broadcast_bytes`` of text in all, measured, are sent to the executors once and rows carry
+only their repository; beyond that, rows meet their plan through a shuffle join that AQE can
+split when one repository is hot. A pandas UDF evaluates plans with compiled patterns cached per
+executor. The default set has no join at all: it is one literal regex, compiled once by ``rlike``.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 
 import numpy as np
@@ -31,18 +35,22 @@ from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions.constants import (DEFAULT_IGNORE_PATTERNS, GITIGNORE_PATH, REPORT_GITIGNORE,
-                                   REPORT_TRACK, TRACK_IGNORE_PATH)
+                                   REPORT_TRACK, RULE_SETS, TRACK_IGNORE_PATH)
 from ..functions.globs import PatternError, default_rules_regex, is_rule_line, java_regex, translate
-from ..plans.joins import bounded_broadcast, measured_bytes
+from ..plans.joins import lookup_side
 from ..session import ship_package
 
 DEFAULT_REGEX = default_rules_regex(DEFAULT_IGNORE_PATTERNS)
 
-_SET_SEP, _NAME_SEP, _BLOCK_SEP = "\x1e", "\x1f", "\x1d"
+BLOCK_TYPE = T.StructType([
+    T.StructField("rule_set", T.StringType()),
+    T.StructField("include", T.BooleanType()),
+    T.StructField("regex", T.StringType()),
+])
 
 RULE_FILE_TYPE = T.StructType([
     T.StructField("found", T.BooleanType()),
-    T.StructField("plan", T.StringType()),
+    T.StructField("plan", T.ArrayType(BLOCK_TYPE)),
     T.StructField("lines", T.ArrayType(T.StructType([
         T.StructField("ordinal", T.IntegerType()),
         T.StructField("pattern", T.StringType()),
@@ -70,20 +78,13 @@ def _read_lines(rule_set: str, content) -> list[str] | None:
     return [ln for ln in stripped if ln and not ln.startswith("#")]
 
 
-def _set_plan(rule_set: str, rules: list[dict]) -> str | None:
-    blocks: list[tuple[bool, list[str]]] = []
-    for r in rules:
-        if r["regex"] is None:
-            continue
-        if blocks and blocks[-1][0] == r["include"]:
-            blocks[-1][1].append(r["regex"])
-        else:
-            blocks.append((r["include"], [r["regex"]]))
-    if not blocks:
-        return None
-    body = _BLOCK_SEP.join(("+" if inc else "-") + "|".join(f"(?:{x})" for x in rx)
-                           for inc, rx in blocks)
-    return rule_set + _NAME_SEP + body
+def _set_plan(rule_set: str, rules: list[dict]) -> list[dict] | None:
+    """The blocks of a rule file: runs of rules of one polarity, each as one alternation."""
+    usable = [r for r in rules if r["regex"] is not None]
+    blocks = [{"rule_set": rule_set, "include": include,
+               "regex": "|".join(f"(?:{r['regex']})" for r in run)}
+              for include, run in itertools.groupby(usable, key=lambda r: r["include"])]
+    return blocks or None
 
 
 def parse_rule_file(rule_set: str, content) -> dict:
@@ -113,11 +114,12 @@ def rule_set_of(path: Column) -> Column:
             .when(path == TRACK_IGNORE_PATH, F.lit("track_ignore")))
 
 
-def rule_files(manifest: DataFrame) -> DataFrame:
-    """S3 + X12: ``(repo, rule_set, found, plan, lines)``, one row per rule file present."""
+def rule_files(manifest: DataFrame, content: str = "content") -> DataFrame:
+    """S3 + X12: ``(repo, rule_set, found, plan, lines)``, one row per rule file present.
+    ``content`` names the column with the bytes (the facts carry those of rule files alone)."""
     ship_package(manifest.sparkSession)
     f = manifest.filter(F.col("path").isin(GITIGNORE_PATH, TRACK_IGNORE_PATH))
-    f = f.select("repo", rule_set_of(F.col("path")).alias("rule_set"), "content")
+    f = f.select("repo", rule_set_of(F.col("path")).alias("rule_set"), F.col(content).alias("content"))
     p = _parse_files(F.col("rule_set"), F.col("content"))
     return f.select("repo", "rule_set", p.alias("p")).select(
         "repo", "rule_set", "p.found", "p.plan", "p.lines")
@@ -131,43 +133,36 @@ def rule_lines(files: DataFrame) -> DataFrame:
 
 
 def repo_plans(files: DataFrame) -> DataFrame:
-    """``(repo, plan)``: every usable rule set of a repository in one string (at most two)."""
+    """``(repo, plan)``: the blocks of a repository's usable rule sets (at most two) as JSON."""
     return (files.filter(F.col("plan").isNotNull()).groupBy("repo")
-            .agg(F.array_join(F.array_sort(F.collect_list("plan")), _SET_SEP).alias("plan")))
+            .agg(F.to_json(F.flatten(F.array_sort(F.collect_list("plan")))).alias("plan")))
 
 
 @functools.lru_cache(maxsize=4096)
-def _compile_plan(plan: str):
-    out = []
-    for part in plan.split(_SET_SEP):
-        name, body = part.split(_NAME_SEP, 1)
-        blocks = [(b[0] == "+", re.compile(b[1:])) for b in body.split(_BLOCK_SEP)]
-        out.append((name, blocks[::-1]))  # last block first: the last match wins
-    return out
-
-
-@F.pandas_udf(VERDICT_TYPE)
-def _eval_plans(path: pd.Series, plan: pd.Series) -> pd.DataFrame:
-    n = len(path)
-    res = {"gitignore": np.full(n, None, dtype=object), "track_ignore": np.full(n, None, dtype=object)}
-    codes, uniques = pd.factorize(plan)
-    if len(uniques):
-        order = np.argsort(codes, kind="stable")
-        bounds = np.searchsorted(codes[order], np.arange(len(uniques) + 1))
-        values = path.to_numpy(dtype=object)
-        for k, p in enumerate(uniques):
-            idx = order[bounds[k]:bounds[k + 1]]
-            for name, blocks in _compile_plan(p):
-                col = res[name]
-                for i in idx:
-                    s = values[i]
-                    hit = False
-                    for inc, rx in blocks:
-                        if rx.match(s):
-                            hit = inc
-                            break
-                    col[i] = hit
-    return pd.DataFrame(res)
+def _compile_plan(plan: str) -> list[tuple[str, list[tuple[bool, re.Pattern]]]]:
+    """Per rule set its blocks, last one first: the last match wins."""
+    blocks = json.loads(plan)
+    return [(name, [(b["include"], re.compile(b["regex"])) for b in run][::-1])
+            for name, run in itertools.groupby(blocks, key=lambda b: b["rule_set"])]
+
+
+def _verdict(blocks: list[tuple[bool, re.Pattern]], path: str) -> bool:
+    return next((include for include, regex in blocks if regex.match(path)), False)
+
+
+def _eval_plans(plans=None):
+    """UDF ``(path, key)`` to the verdict of each custom set, NULL where the repository has no usable
+    rule in it. ``key`` is the repository, looked up in the broadcast ``plans``, or, without
+    them, the plan itself."""
+    def run(path: pd.Series, key: pd.Series) -> pd.DataFrame:
+        res = {n: np.full(len(path), None, dtype=object) for n in VERDICT_TYPE.names}
+        for k, rows in path.groupby(key):
+            plan = k if plans is None else plans.value.get(k)
+            for name, blocks in _compile_plan(plan) if plan else ():
+                res[name][rows.index] = [_verdict(blocks, p) for p in rows]
+        return pd.DataFrame(res)
+
+    return F.pandas_udf(run, VERDICT_TYPE)
 
 
 def default_hit(path: Column) -> Column:
@@ -175,29 +170,26 @@ def default_hit(path: Column) -> Column:
     return path.rlike(java_regex(DEFAULT_REGEX))
 
 
-def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: bool = False,
-                broadcast_bytes: int = 8 << 20, prune_folders: bool = False) -> DataFrame:
+def apply_rules(entries: DataFrame, files: DataFrame, *, broadcast_bytes: int = 8 << 20,
+                prune_folders: bool = False) -> DataFrame:
     """P1-P4 + J3: adds ``reserved, gitignore_hit, track_ignore_hit, default_hit, ignored``.
 
     ``*_hit`` of a custom set is NULL when the repository has no usable rule in it.
-    ``prune_folders``: see :class:`..options.Options`.
-    ``files_materialized``: ``files`` is a written table, so its measured size bounds the plans
-    (derived from it by aggregation) and decides the broadcast without another write."""
-    ship_package(entries.sparkSession)
+    ``files``: the parsed rule files, written. ``prune_folders``: see :class:`..options.Options`."""
+    spark = entries.sparkSession
+    ship_package(spark)
     plans = repo_plans(files)
-    if files_materialized and measured_bytes(files) <= broadcast_bytes:
-        plans = F.broadcast(plans)  # bounded by the measured table it aggregates
+    size = plans.agg(F.sum(F.octet_length("plan") + F.octet_length("repo"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        sent = spark.sparkContext.broadcast({r["repo"]: r["plan"] for r in plans.collect()})
+        e, evaluate, key = entries, _eval_plans(sent), F.col("repo")
     else:
-        # materialised first: as a plain file scan it feeds the join through a bare shuffle,
-        # which AQE's skew-join rule needs in order to split a hot repository
-        plans = bounded_broadcast(plans, max_bytes=broadcast_bytes)
-    e = entries.join(plans, "repo", "left")
+        e, evaluate, key = entries.join(lookup_side(plans), "repo", "left"), _eval_plans(), F.col("plan")
     # the path the patterns see; with prune_folders a folder is tested as "path/", as git does
     probe = (F.when(F.col("is_dir"), F.concat(F.col("path"), F.lit("/"))).otherwise(F.col("path"))
              if prune_folders else F.col("path"))
     e = e.withColumn("_probe", probe)
-    v = _eval_plans(F.col("_probe"), F.col("plan"))
-    e = e.withColumn("_v", v)
+    e = e.withColumn("_v", evaluate(F.col("_probe"), key))
     out = e.select(
         *[c for c in entries.columns],
         P.is_reserved(F.col("path")).alias("reserved"),
@@ -210,6 +202,20 @@ def apply_rules(entries: DataFrame, files: DataFrame, *, files_materialized: boo
                           | F.coalesce(F.col("track_ignore_hit"), F.lit(False)))
 
 
+def rule_summary(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """``(repo, rule_set, found, patterns)`` for every repository of ``repos`` and each of the three
+    rule sets: the default set is always found, a file set when its file could be read; patterns in
+    file order. An unusable or absent file has none."""
+    sets = F.explode(F.array(*[F.lit(s) for s in RULE_SETS])).alias("rule_set")
+    every = repos.select("repo").distinct().select("repo", sets)
+    read = files.filter("found").select("repo", "rule_set", F.transform("lines", lambda x: x["pattern"]).alias("p"))
+    default = F.array(*[F.lit(p) for p in DEFAULT_IGNORE_PATTERNS])
+    is_default = F.col("rule_set") == "default"
+    return every.join(read, ["repo", "rule_set"], "left").select(
+        "repo", "rule_set", (is_default | F.col("p").isNotNull()).alias("found"),
+        F.when(is_default, default).otherwise(F.coalesce("p", F.array().cast("array<string>"))).alias("patterns"))
+
+
 def pattern_report_rows(files: DataFrame) -> DataFrame:
     """X8 + A10: ``(repo, key, text)`` rows of the report header block, per repository with rule
     files: the ``.gitignore`` block whenever the file was read (even without patterns), the custom

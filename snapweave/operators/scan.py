@@ -4,7 +4,8 @@ Everything here runs on metadata (``repo, path`` and a few small facts); ``conte
 map side, by :func:`..operators.classify.file_facts`.
 
 * **Entries** (U1, A6, A7): files plus every directory their paths imply, one row per
-  ``(repo, path)``. Directories come from exploding ancestors; the partial aggregate collapses the
+  ``(repo, path, is_dir)``: a path that is a file and also the folder of other paths is both, and
+  keeps its section as well as its place in the tree. Directories come from exploding ancestors; the partial aggregate collapses the
   many copies map side before the shuffle.
 * **Pruning** (P6, J1, J2, A8): a directory is *blocked* when it or an ancestor is ignored; an entry
   is visible when its parent is not blocked. The ancestor test is an equi-join on
@@ -16,14 +17,16 @@ map side, by :func:`..operators.classify.file_facts`.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .classify import file_facts
 from ..options import DEFAULT, Options
-from ..plans.joins import DEFAULT_MAX_BYTES, lookup_side, measured_bytes
+from ..plans.joins import lookup_side
 from ..session import cut_lineage
+from .classify import file_facts
 from .rules import apply_rules, rule_files
 
 FACT_COLS = ("size", "readable", "mime", "by_name", "sniff_text", "is_text", "text_chars")
@@ -35,22 +38,30 @@ def with_path_parts(df: DataFrame) -> DataFrame:
                      P.depth(p).cast("int").alias("depth"))
 
 
-def entries(facts: DataFrame) -> DataFrame:
-    """U1 + A6: ``(repo, path, is_dir, conflict, name, parent, depth, <file facts>)``.
+def files_of(manifest: DataFrame) -> DataFrame:
+    """The manifest's files. A manifest may also list folders (``is_dir``), as a directory tree does for
+    empty and linked ones."""
+    return manifest.filter(~F.col("is_dir")) if "is_dir" in manifest.columns else manifest
+
 
-    ``conflict`` marks a path that is a file in the manifest and also the folder of other paths;
-    it is treated as a directory."""
+def folders_of(manifest: DataFrame) -> DataFrame | None:
+    return manifest.filter("is_dir").select("repo", "path") if "is_dir" in manifest.columns else None
+
+
+def entries(facts: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """U1 + A6: ``(repo, path, is_dir, n_files, name, parent, depth, <file facts>)``. ``folders``: listed
+    ones, beside those that file paths imply."""
     cols = [c for c in FACT_COLS if c in facts.columns]
     files = facts.select("repo", "path", F.lit(False).alias("is_dir"), *cols)
-    dirs = facts.select("repo", F.explode(P.ancestors(F.col("path"))).alias("path")).select(
+    implied = facts.select("repo", F.explode(P.ancestors(F.col("path"))).alias("path"))
+    if folders is not None:
+        implied = implied.unionByName(folders)
+    dirs = implied.select(
         "repo", "path", F.lit(True).alias("is_dir"),
         *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in cols])
-    agg = (files.unionByName(dirs).groupBy("repo", "path")
-           .agg(F.max("is_dir").alias("is_dir"), F.min("is_dir").alias("_has_file_or_only"),
-                F.count_if(~F.col("is_dir")).cast("int").alias("n_files"),
+    agg = (files.unionByName(dirs).groupBy("repo", "path", "is_dir")
+           .agg(F.count_if(~F.col("is_dir")).cast("int").alias("n_files"),
                 *[F.max(c).alias(c) for c in cols]))
-    agg = agg.withColumn("conflict", F.col("is_dir") & ~F.col("_has_file_or_only")).drop(
-        "_has_file_or_only")
     return with_path_parts(agg)
 
 
@@ -73,11 +84,9 @@ def blocked_dirs(flagged: DataFrame) -> DataFrame:
         F.min_by("anc", F.size(F.split(F.col("anc"), "/"))).alias("outer"))
 
 
-def visible(flagged: DataFrame, blocked: DataFrame, *, broadcast_bytes: int = DEFAULT_MAX_BYTES,
-            materialize: bool = True) -> DataFrame:
+def visible(flagged: DataFrame, blocked: DataFrame) -> DataFrame:
     """J2 + P6: entries whose parent folder is not blocked (the root is never blocked)."""
-    b = lookup_side(blocked.select("repo", F.col("path").alias("parent")), flagged,
-                    max_bytes=broadcast_bytes, materialize=materialize)
+    b = lookup_side(blocked.select("repo", F.col("path").alias("parent")))
     return flagged.join(b, ["repo", "parent"], "left_anti")
 
 
@@ -88,10 +97,6 @@ def disposition_col() -> F.Column:
             .otherwise(F.lit("binary")))
 
 
-# Inputs estimated above this size materialise the scan's fan-out frames (see :class:`Scan`).
-AUTO_MATERIALIZE_BYTES = 256 << 20
-
-
 def check_unique_paths(df: DataFrame) -> None:
     """T-14: raise when a repository lists the same file path twice (``n_files`` from
     :func:`entries`)."""
@@ -101,41 +106,55 @@ def check_unique_paths(df: DataFrame) -> None:
 
 
 class Scan:
-    """The frames of one scan.
-
-    Three frames fan out to several consumers: the parsed rule files (rule plans and the pattern
-    report), the rule flags (blocked directories and visibility) and the dispositions (tree, report,
-    decisions and statistics). On a large input each is materialised once as a table in
-    ``spark.checkpoint.dir``, so the rule UDF and the shuffles before it run once, the plans of the
-    consumers stay small, and a lost executor costs a re-read rather than a recomputation.
-    ``materialize=None`` decides by the input's size estimate (:data:`AUTO_MATERIALIZE_BYTES`):
-    a small input then runs as one lazy plan. Measured here, that only pays for a single scan
-    consumer; tree and document consumers size their joins against the materialised dispositions,
-    so the default is to materialise. ``materialize_dispositions`` forces the last frame."""
-
-    def __init__(self, manifest: DataFrame, *, with_chars: bool = True,
-                 materialize: bool | None = True, materialize_dispositions: bool = False,
-                 options: Options = DEFAULT, check_unique: bool = False):
-        if materialize is None:
-            materialize = measured_bytes(manifest) > AUTO_MATERIALIZE_BYTES
-        self.materialized = materialize
-        keep = cut_lineage if materialize else (lambda df: df)
-        self.manifest = manifest
-        self.options = options
-        self.facts = file_facts(manifest, with_chars=with_chars, options=options)
-        self.rule_files = keep(rule_files(manifest))
-        self.entries = entries(self.facts)
-        self.flagged = keep(apply_rules(self.entries, self.rule_files,
-                                        files_materialized=materialize,
-                                        prune_folders=options.prune_folders,
-                                        broadcast_bytes=options.broadcast_bytes))
-        self.blocked = blocked_dirs(self.flagged)
-        self.visible = visible(self.flagged, self.blocked, broadcast_bytes=options.broadcast_bytes,
-                               materialize=materialize)
-        disp = self.visible.withColumn("disposition", disposition_col())
-        self.dispositions = cut_lineage(disp) if (materialize or materialize_dispositions) else disp
-        if check_unique:
-            check_unique_paths(self.dispositions)
+    """The frames of one scan, each made when first asked for.
+
+    Frames with several readers are tables in the shared folder, written once: the facts (entries,
+    rule files), the parsed rule files (plans, pattern report), the rule flags (blocked directories,
+    visibility) and the dispositions (tree, report, decisions, statistics). So the rule UDF and the
+    shuffles before it run once, the plans of the readers stay small, and a lost executor costs a
+    re-read rather than a recomputation."""
+
+    def __init__(self, manifest: DataFrame, *, with_chars: bool = True, options: Options = DEFAULT,
+                 check_unique: bool = False):
+        self.manifest, self.with_chars = manifest, with_chars
+        self.options, self.check_unique = options, check_unique
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut_lineage(file_facts(files_of(self.manifest), with_chars=self.with_chars, options=self.options))
+
+    @cached_property
+    def rule_files(self) -> DataFrame:
+        return cut_lineage(rule_files(self.facts, content="rule_bytes"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return entries(self.facts, folders_of(self.manifest))
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return cut_lineage(self.flags)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        """The rule flags of every entry, not written: for a single reader."""
+        return apply_rules(self.entries, self.rule_files, prune_folders=self.options.prune_folders,
+                           broadcast_bytes=self.options.broadcast_bytes)
+
+    @cached_property
+    def blocked(self) -> DataFrame:
+        return blocked_dirs(self.flagged)
+
+    @cached_property
+    def visible(self) -> DataFrame:
+        return visible(self.flagged, self.blocked)
+
+    @cached_property
+    def dispositions(self) -> DataFrame:
+        disp = cut_lineage(self.visible.withColumn("disposition", disposition_col()))
+        if self.check_unique:
+            check_unique_paths(disp)
+        return disp
 
 
 def scan(manifest: DataFrame) -> DataFrame:

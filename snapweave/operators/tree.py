@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions.constants import (RESERVED_DIR, TREE_BRANCH, TREE_LAST, TREE_ROOT, TREE_SPACE,
                                    TREE_TEE)
-from ..plans.joins import DEFAULT_MAX_BYTES, lookup_side
+from ..plans.joins import lookup_side
 
 
 def tree_entries(visible: DataFrame, hide_dunder: bool = True) -> DataFrame:
@@ -46,8 +46,7 @@ def last_siblings(te: DataFrame) -> DataFrame:
 
 
 def child_prefixes(te: DataFrame, last: DataFrame) -> DataFrame:
-    """J5 + X9: ``(repo, path, child_prefix)`` for every directory of the tree. ``last`` should
-    come through :func:`..plans.joins.lookup_side` (a folder may have many subfolders)."""
+    """J5 + X9: ``(repo, path, child_prefix)`` for every directory of the tree. """
     dirs = te.filter(F.col("is_dir"))
     flags = dirs.join(last.select("repo", "parent", "last"), ["repo", "parent"], "inner").select(
         "repo", F.col("path").alias("anc"), (_order_struct() == F.col("last")).alias("anc_last"),
@@ -62,19 +61,14 @@ def child_prefixes(te: DataFrame, last: DataFrame) -> DataFrame:
         .alias("child_prefix"))
 
 
-def tree_lines(visible: DataFrame, max_depth: int | None = None, hide_dunder: bool = True, *,
-               broadcast_bytes: int = DEFAULT_MAX_BYTES, materialize: bool = True) -> DataFrame:
+def tree_lines(visible: DataFrame, max_depth: int | None = None, hide_dunder: bool = True) -> DataFrame:
     """``(repo, key, line)``, one row per line including the root line ``.`` (key '').
     Sorting by ``(repo, key)`` gives the drawing order. ``max_depth=k`` keeps depths 0..k (P15).
-    Per-folder sides of the joins with entries are sized against ``visible``: broadcast when it is
-    small, else materialised so AQE can split a hot folder."""
+    The per-folder side of the join with entries is a table, so AQE can split a hot folder."""
     te = tree_entries(visible, hide_dunder)
-    last = lookup_side(last_siblings(te), visible, max_bytes=broadcast_bytes,
-                       materialize=materialize)
+    last = last_siblings(te)
     prefixes = child_prefixes(te, last)
-    folders = lookup_side(
-        last.join(prefixes.withColumnRenamed("path", "parent"), ["repo", "parent"], "left"),
-        visible, max_bytes=broadcast_bytes, materialize=materialize)
+    folders = lookup_side(last.join(prefixes.withColumnRenamed("path", "parent"), ["repo", "parent"], "left"))
     shown = te if max_depth is None else te.filter(F.col("depth") <= max_depth)
     j = shown.join(folders, ["repo", "parent"], "inner")
     symbol = F.when(_order_struct() == F.col("last"), F.lit(TREE_LAST)).otherwise(F.lit(TREE_TEE))

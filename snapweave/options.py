@@ -23,9 +23,8 @@ class Options:
     require_unique_paths: bool = True
     # Keep tree depths 0..max_depth (None: all).
     max_depth: int | None = None
-    # Largest measured size (bytes on disk) of a data-derived join side that is broadcast (rule
-    # plans, blocked folders, per-folder tree data); above it the join is a shuffle join whose hot
-    # partitions AQE splits.
+    # Largest text, in bytes, of all repositories' rule plans that is sent to every executor; beyond
+    # it they are joined by a shuffle whose hot partitions AQE splits.
     broadcast_bytes: int = 8 << 20
 
 

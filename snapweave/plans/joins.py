@@ -1,57 +1,18 @@
-"""Join helpers: broadcast only what has a measured size bound.
-
-A side derived from data (per-repository rule plans, blocked folders, per-folder tree data) has no
-static size bound: Catalyst's estimate is the size of the scan it came from. Materialised as a table
-in the checkpoint folder, its size is known exactly (the files' length).
-
-* ``bounded_broadcast``: materialise, then hint a broadcast only under the limit.
-* ``lookup_side``: for a one-row-per-key side derived from an already measured table: broadcast
-  under the limit, else materialise it so the join reads it through a planner-inserted shuffle,
-  which AQE's skew-join rule can split when the other side holds a hot key.
-
-Above the limit every such join stays a sort-merge join; AQE may still switch it to a broadcast
-from runtime sizes.
-"""
+"""The lookup side of an equi-join whose other side may hold a hot key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Bytes on disk (compressed Parquet); in memory a table can be several times larger.
-DEFAULT_MAX_BYTES = 8 << 20
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate. For a table just written by :func:`cut_lineage` this is the sum of
-    its file sizes: a measurement, not a guess."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:  # a Spark Connect DataFrame has no JVM handle: assume large
-        return 1 << 62
-
-
-def bounded_broadcast(df: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` when ``df``, materialised, measures at most ``max_bytes`` on disk;
-    otherwise ``df`` itself, so the join stays a shuffle join (AQE splits skewed partitions)."""
-    mat = cut_lineage(df)
-    if measured_bytes(mat) <= max_bytes:
-        return F.broadcast(mat)
-    return mat
-
 
-def lookup_side(df: DataFrame, derived_from: DataFrame, *, max_bytes: int = DEFAULT_MAX_BYTES,
-                materialize: bool = True) -> DataFrame:
-    """The one-row-per-key side of an equi-join whose other side may hold a hot key.
+def lookup_side(df: DataFrame) -> DataFrame:
+    """``df`` (one row per key, an aggregate) as a written table.
 
-    Broadcast when ``derived_from`` (a materialised table ``df`` is derived from by filters,
-    projections, joins with itself and aggregation, so never larger) measures at most
-    ``max_bytes``. Otherwise ``df`` is materialised: read back as a plain file scan it reaches the
-    join through a shuffle that the planner inserts, the only kind AQE's skew-join rule splits (an
-    aggregate already partitioned on the join key would be joined without one, and a hot folder
-    would then sit in one task)."""
-    if measured_bytes(derived_from) <= max_bytes:
-        return F.broadcast(df)
-    return cut_lineage(df) if materialize else df
+    Read back as a plain scan it has a measured size, so Spark decides about a broadcast by its own
+    threshold (``spark.sql.autoBroadcastJoinThreshold``, at run time AQE's) without a hint. Above it the side
+    reaches the join through a shuffle that the planner inserts, the only kind AQE's skew-join rule
+    splits (an aggregate already partitioned on the join key would be joined without one, and a
+    hot folder would then sit in one task)."""
+    return cut_lineage(df)

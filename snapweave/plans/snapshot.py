@@ -17,6 +17,7 @@ Data movement, for a manifest of ``(repo, path, content)`` at any size:
 from __future__ import annotations
 
 import datetime as _dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ from ..operators.classify import is_text, name_verdict, with_mime
 from ..operators.combine import (SEC_CONTENT, content_decisions, file_section, header_rows,
                                  ignored_item_rows, report_rows, snapshot_stats, tree_rows)
 from ..operators.rules import default_hit
-from ..operators.scan import Scan
+from ..operators.scan import Scan, files_of
 from ..operators.tree import tree_lines
 from ..options import DEFAULT, Options
 from ..session import cut_lineage
 
+#: Kept bytes of one partition of the document.
+BODY_PARTITION_BYTES = 128 << 20
+
 DEFAULT_TIMESTAMP = "2025-01-01 00:00:00"
 
 
@@ -40,7 +44,7 @@ def now_timestamp() -> str:
 
 def body_candidates(manifest: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Manifest rows that may become a file section, decided map side."""
-    m = manifest.select("repo", "path", "content").withColumn("name", P.name(F.col("path")))
+    m = files_of(manifest).select("repo", "path", "content").withColumn("name", P.name(F.col("path")))
     m = with_mime(m, overrides=options.mime_overrides)
     verdict = name_verdict(F.col("name"), F.col("mime"))
     keep = (is_text(verdict, F.col("content"), options.strict_boundary)
@@ -70,40 +74,57 @@ def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
             | ((F.col("tag") == 1) & (F.col("_kept") == 1)))
     text = F.when(F.col("section") == SEC_CONTENT,
                   file_section(F.col("path"), F.col("content"))).otherwise(F.col("text"))
-    return u.filter(keep).select("repo", "section", "key", text.alias("text"),
-                                 F.length(text).cast("bigint").alias("n_chars"), "counted")
+    out = u.filter(keep).select("repo", "section", "key", text.alias("text"),
+                                F.length(text).cast("bigint").alias("n_chars"), "counted")
+    out._document_order = True  # for the sink; no derived frame has it
+    return out
 
 
 class Snapshot:
-    """All frames of a snapshot job; nothing runs until a sink or action.
-
-    The dispositions (read by tree, report, decisions and statistics) and the metadata sections
-    (read by statistics and the document) are always materialised in ``spark.checkpoint.dir``;
-    the scan's earlier fan-out frames follow ``materialize`` (None: by input size, see
-    :class:`..operators.scan.Scan`)."""
+    """The frames of a snapshot job, each made when first asked for; those with several readers (the
+    scan's, and the metadata sections, read by statistics and the document) are tables in the
+    shared folder, so asking for them starts the jobs that write them."""
 
     def __init__(self, manifest: DataFrame, timestamp: str = DEFAULT_TIMESTAMP, *,
-                 options: Options = DEFAULT, materialize: bool | None = True,
-                 num_partitions: int | None = None):
-        self.manifest = manifest
-        self.timestamp = timestamp
-        self.options = options
-        self.scan = Scan(manifest, materialize=materialize, materialize_dispositions=True,
-                         options=options, check_unique=options.require_unique_paths)
-        disp = self.dispositions = self.scan.dispositions
-        self.tree_lines = tree_lines(disp, max_depth=options.max_depth,
-                                     hide_dunder=options.hide_dunder,
-                                     broadcast_bytes=options.broadcast_bytes,
-                                     materialize=self.scan.materialized)
-        small = (tree_rows(self.tree_lines)
-                 .unionByName(report_rows(disp, self.scan.rule_files))
-                 .unionByName(ignored_item_rows(disp)))
-        self.small_rows = cut_lineage(small)
-        self.stats = snapshot_stats(disp, self.small_rows, timestamp)
-        self.meta_rows = header_rows(self.stats, timestamp).unionByName(self.small_rows)
-        self.decisions = content_decisions(disp)
-        self.num_partitions = num_partitions
+                 options: Options = DEFAULT, num_partitions: int | None = None):
+        self.manifest, self.timestamp = manifest, timestamp
+        self.options, self.num_partitions = options, num_partitions
+        self.scan = Scan(manifest, options=options, check_unique=options.require_unique_paths)
+
+    @property
+    def dispositions(self) -> DataFrame:
+        return self.scan.dispositions
+
+    @cached_property
+    def tree_lines(self) -> DataFrame:
+        return tree_lines(self.dispositions, max_depth=self.options.max_depth, hide_dunder=self.options.hide_dunder)
+
+    @cached_property
+    def small_rows(self) -> DataFrame:
+        disp = self.dispositions
+        return cut_lineage(tree_rows(self.tree_lines)
+                           .unionByName(report_rows(disp, self.scan.rule_files))
+                           .unionByName(ignored_item_rows(disp)))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return snapshot_stats(self.dispositions, self.small_rows, self.timestamp)
+
+    @cached_property
+    def header(self) -> DataFrame:
+        return header_rows(self.dispositions, self.timestamp)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return content_decisions(self.dispositions)
 
     def sections(self) -> DataFrame:
-        return assemble(self.meta_rows, self.decisions, self.manifest, self.num_partitions,
-                        self.options)
+        """The document's rows; partitioned and sorted in document order."""
+        return assemble(self.header.unionByName(self.small_rows), self.decisions, self.manifest,
+                        self.num_partitions or self.body_partitions(), self.options)
+
+    def body_partitions(self) -> int:
+        """So many that kept bytes come to about ``BODY_PARTITION_BYTES`` a partition."""
+        spark = self.manifest.sparkSession
+        kept = self.dispositions.filter(F.col("disposition") == "text").agg(F.sum("size")).first()[0] or 0
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept // BODY_PARTITION_BYTES))

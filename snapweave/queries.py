@@ -15,12 +15,16 @@ from .functions import paths as P
 from .functions.text import read_text, size_label, sniff_is_text
 from .operators import combine as C
 from .operators.classify import file_facts
-from .operators.rules import rule_files, rule_lines
+from .functions.globs import java_regex, translate
+from .operators.rules import rule_files, rule_lines, rule_summary
 from .operators.scan import Scan, directory_entries, entries
 from .operators.tree import last_siblings, tree_entries, tree_lines
 from .plans.joins import lookup_side
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
-from .sources.fixtures import repo_manifest, site_manifest
+from .session import scratch_path
+from .sinks import write_snapshot, write_stats
+from .sources.fixtures import messy_table, repo_manifest, site_manifest
+from .sources.manifest import manifest_from_table, manifest_rejects
 
 TS = DEFAULT_TIMESTAMP
 
@@ -64,8 +68,23 @@ def q_rule_lines(spark, sf_dir):
     return rule_lines(rule_files(docs_manifest(spark, sf_dir)))
 
 
-def _flagged(spark, sf_dir):
-    return Scan(docs_manifest(spark, sf_dir), with_chars=False).flagged
+def q_rule_summary(spark, sf_dir):
+    """A10: every repository's three rule sets."""
+    m = docs_manifest(spark, sf_dir)
+    return rule_summary(m, rule_files(m)).select("repo", "rule_set", "found",
+                                                 F.array_join("patterns", "\n").alias("patterns"))
+
+
+#: One pattern for each row of the grammar table in :mod:`.functions.globs`.
+GRAMMAR = ("src/", "*.md", "core", "/src", "src/core", "docs/*", "src/**/*.txt", "tests/**", "**/core", "**", "f?1.py",
+           "f[12]*", "f[!12]*.js", "!docs", "\\f1*")
+
+
+def q_rule_match_grammar(spark, sf_dir):
+    """Each pattern of the grammar on every path."""
+    e = entries(file_facts(docs_manifest(spark, sf_dir), with_chars=False))
+    hits = [F.col("path").rlike(java_regex(translate(p)[0])).alias(f"hit_{i:02d}") for i, p in enumerate(GRAMMAR)]
+    return e.select("repo", "path", "is_dir", *hits)
 
 
 def q_rule_match_default(spark, sf_dir):
@@ -75,8 +94,8 @@ def q_rule_match_default(spark, sf_dir):
 
 
 def q_rule_match_last_wins(spark, sf_dir):
-    return _flagged(spark, sf_dir).select("repo", "path", "is_dir", "gitignore_hit",
-                                          "track_ignore_hit", "ignored")
+    flags = Scan(docs_manifest(spark, sf_dir), with_chars=False).flags
+    return flags.select("repo", "path", "is_dir", "gitignore_hit", "track_ignore_hit", "ignored")
 
 
 def q_reserved_filter(spark, sf_dir):
@@ -90,8 +109,7 @@ def q_ignored_directories(spark, sf_dir):
     s = Scan(docs_manifest(spark, sf_dir), with_chars=False)
     items = s.dispositions.filter(F.col("disposition") == "directory").select("repo", "path", "depth")
     files = s.facts.select("repo", P.parent(F.col("path")).alias("parent"))
-    blocked = lookup_side(s.blocked.select("repo", F.col("path").alias("parent"), "outer"),
-                          s.flagged)
+    blocked = lookup_side(s.blocked.select("repo", F.col("path").alias("parent"), "outer"))
     below = files.join(blocked, ["repo", "parent"], "inner").groupBy(
         "repo", F.col("outer").alias("path")).agg(
         F.count(F.lit(1)).alias("pruned_files"))
@@ -149,6 +167,46 @@ def q_tree_ignored_closed(spark, sf_dir):
     return tree_lines(Scan(docs_manifest(spark, sf_dir), with_chars=False).dispositions)
 
 
+# --- sources and sinks ----------------------------------------------------------------------------
+
+def _messy(spark, sf_dir, **how):
+    t = messy_table(_table(spark, sf_dir, "documents"))
+    return t, manifest_from_table(t, repo="source", path="full", content="bytes", root="root", **how)
+
+
+def q_manifest_table(spark, sf_dir):
+    """Normalised relative paths, bytes decoded with replacement."""
+    _, m = _messy(spark, sf_dir, rejects="apart")
+    return m.select("repo", "path", "size", read_text(F.col("content")).alias("text"))
+
+
+def q_manifest_rejects(spark, sf_dir):
+    t, _ = _messy(spark, sf_dir, rejects="apart")
+    return manifest_rejects(t, repo="source", path="full", root="root")
+
+
+def q_manifest_clashes(spark, sf_dir):
+    """Paths that are a file and a folder are both."""
+    _, m = _messy(spark, sf_dir, rejects="apart")
+    return Scan(m, with_chars=False).dispositions.select("repo", "path", "is_dir", "disposition")
+
+
+def q_stats_sink(spark, sf_dir):
+    """S5, written and read back."""
+    out = scratch_path(spark)
+    write_stats(_snapshot(spark, sf_dir).stats, out)
+    return spark.read.parquet(out)
+
+
+def q_snapshot_sink(spark, sf_dir):
+    """S4, written and read back: lines and characters of each document."""
+    out = scratch_path(spark)
+    write_snapshot(_snapshot(spark, sf_dir).sections(), out)
+    lines = spark.read.text(out)
+    return lines.groupBy("repo").agg(F.count(F.lit(1)).alias("n_lines"),
+                                     F.sum(F.length("value") + 1).alias("n_chars"))
+
+
 # --- content and document ------------------------------------------------------------------------
 
 def q_content_text(spark, sf_dir):
@@ -177,8 +235,8 @@ def q_pattern_report(spark, sf_dir):
 
 
 def q_header_section(spark, sf_dir):
-    snap = _snapshot(spark, sf_dir)
-    return C.header_rows(snap.stats, TS).select("repo", "text")
+    disp = Scan(docs_manifest(spark, sf_dir), with_chars=False).dispositions
+    return C.header_rows(disp, TS).select("repo", "text")
 
 
 def q_snapshot_sections(spark, sf_dir):
@@ -198,6 +256,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "path_parts": q_path_parts,
     "path_ancestors": q_path_ancestors,
     "rule_lines": q_rule_lines,
+    "rule_summary": q_rule_summary,
+    "rule_match_grammar": q_rule_match_grammar,
+    "manifest_table": q_manifest_table,
+    "manifest_rejects": q_manifest_rejects,
+    "manifest_clashes": q_manifest_clashes,
+    "stats_sink": q_stats_sink,
+    "snapshot_sink": q_snapshot_sink,
     "rule_match_default": q_rule_match_default,
     "rule_match_last_wins": q_rule_match_last_wins,
     "reserved_filter": q_reserved_filter,

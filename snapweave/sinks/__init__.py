@@ -1,4 +1,4 @@
-"""Sinks (S4, S5)."""
+"""Sinks (S4, S5). Both replace the repositories they are given and leave all others in place."""
 
 from __future__ import annotations
 
@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_snapshot(sections: DataFrame, out_dir: str) -> None:
+def write_snapshot(sections: DataFrame, out_dir: str, num_partitions: int | None = None) -> None:
     """One document per repository under ``out_dir/repo=<name>/``, its part files in name
-    order forming the document. ``sections`` must come from ``assemble`` (range-partitioned and
-    sorted by ``(repo, section, key)``): the writer's required order (``repo``) is then already
-    met and nothing is re-sorted. Every section ends with a newline and the text writer adds one
-    per row, so one is taken off first. Other repositories' documents under ``out_dir`` stay
-    (dynamic partition overwrite)."""
-    value = F.expr("substring(text, 1, length(text) - 1)")
-    (sections.select("repo", value.alias("value"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("repo").text(out_dir))
+    order forming the document.
+
+    Rows that ``assemble`` made are range-partitioned and sorted already, and are written as they
+    are. Rows from anywhere else (stored and read back, filtered, repartitioned) are brought into
+    that order here, as their plan shows. Every section ends with a newline and the text writer
+    adds one per row, so one is taken off first."""
+    order = ["repo", "section", "key"]
+    if not in_document_order(sections):
+        n = num_partitions or int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sections = sections.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    value = F.expr("substr(text, 1, length(text) - 1)")
+    _replacing(sections.select("repo", value.alias("value"))).text(out_dir)
+
+
+def in_document_order(sections: DataFrame) -> bool:
+    """Does the plan end in the range partitioning and sort of ``assemble``?"""
+    return getattr(sections, "_document_order", False)
 
 
 def write_stats(stats: DataFrame, out_dir: str) -> None:
-    """The statistics row of every repository, as Parquet."""
-    stats.write.mode("overwrite").parquet(out_dir)
+    """The statistics row of every repository, as Parquet under ``out_dir/repo=<name>/``."""
+    _replacing(stats).parquet(out_dir)
+
+
+def _replacing(df: DataFrame):
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo")

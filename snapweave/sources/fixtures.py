@@ -63,11 +63,13 @@ def _repo_number(repo):
 
 
 def rule_file_rows(documents: DataFrame) -> DataFrame:
-    """The rule files of each repository named in ``documents``."""
+    """The rule files of each repository named in ``documents``. The ``.gitignore`` of each differs:
+    its last line names files by the repository's own number."""
     n = _repo_number(F.col("repo"))
+    own = F.concat(F.lit(GITIGNORE_TEXT), F.lit("f"), n.cast("string"), F.lit("?*.py\n"))
     files = F.array(
         F.when(n.between(*GITIGNORE_REPOS), F.struct(
-            F.lit(GITIGNORE_PATH).alias("path"), F.lit(GITIGNORE_TEXT).alias("text"))),
+            F.lit(GITIGNORE_PATH).alias("path"), own.alias("text"))),
         F.when(n.between(*TRACK_IGNORE_REPOS), F.struct(
             F.lit(TRACK_IGNORE_PATH).alias("path"), F.lit(TRACK_IGNORE_TEXT).alias("text"))))
     repos = documents.select(F.col("source").alias("repo")).distinct()
@@ -90,3 +92,22 @@ def site_manifest(pages: DataFrame) -> DataFrame:
     content = F.encode(F.col("html"), "UTF-8")
     return pages.select(host.alias("repo"), norm_path(raw).alias("path"), content.alias("content"),
                         F.octet_length(content).cast("bigint").alias("size"))
+
+
+def messy_table(documents: DataFrame) -> DataFrame:
+    """A table that is no clean manifest: ``(source, full, root, bytes)`` with absolute paths that hold
+    backslashes, doubled slashes and ``.`` segments, files that are also folders of other files, and
+    rows without a usable path. Bytes hold sequences that are no UTF-8."""
+    d = F.col("doc_id")
+    sid = d.cast("string")
+    full = (F.when(F.pmod(d, F.lit(6)) == 0, F.concat(F.lit("/data/"), F.col("source"), F.lit("//x/a"), sid))
+            .when(F.pmod(d, F.lit(6)) == 1, F.concat(F.lit("/data/"), F.col("source"), F.lit("/./x/a"),
+                                                     (d - 1).cast("string"), F.lit("/b.py")))
+            .when(F.pmod(d, F.lit(6)) == 2, F.concat(F.lit("\\data\\"), F.col("source"), F.lit("\\y\\.\\c"), sid, F.lit(".md/")))
+            .when(F.pmod(d, F.lit(6)) == 3, F.concat(F.lit("/data/"), F.col("source"), F.lit("/")))
+            .when(F.pmod(d, F.lit(6)) == 4, F.concat(F.lit("/other/"), sid)))
+    head, tail = F.substring("text", 1, 40), F.substr(F.col("text"), F.lit(41))
+    bad = F.when(F.pmod(d, F.lit(2)) == 0, F.lit(bytearray(b"\xff"))).otherwise(F.lit(bytearray(b"\xe2\x82")))
+    return documents.select(
+        "source", full.alias("full"), F.concat(F.lit("/data/"), F.col("source")).alias("root"),
+        F.concat(F.encode(head, "UTF-8"), bad, F.encode(tail, "UTF-8")).alias("bytes"))

@@ -4,17 +4,22 @@
 
 Why not ``binaryFile``: with recursive lookup it silently drops every name starting with ``_`` or
 ``.`` and everything inside such folders (``.gitignore``, ``__init__.py``), which a source snapshot
-must keep. Here the walk is ``os.walk`` without following directory links, like the original.
-
-Parallelism: the driver lists only folder names down to ``splitDepth`` levels; every folder at
-that depth is walked by its own input partition, and each shallower folder has one for its direct
-files, so executors walk and read in parallel. ``shards`` splits each partition further by a hash
-of the relative path, for folders too big for one task. Bytes are read only when they can matter: a path hit by the global default rules or the
-reserved folder is ignored or pruned whatever a repository's own rules say (rule sets combine with
-OR), so its content is never used and is left NULL (the two rule files are always read).
-
-Roots must be visible to the executors (a shared file system). Empty folders hold no file, so
-they have no row; the original showed them in its tree.
+must keep. Here every folder has a row of its own (``is_dir``), so empty folders and links to
+folders show; links to folders are not followed; a folder that cannot be listed is shown without
+its contents.
+
+Parallelism: the driver lists folders, shallowest first, until there are ``targetPartitions`` input
+partitions; what is left is walked whole, one partition per folder. A listed folder with many files
+is split by a hash of the name, about ``filesPerPartition`` files each. So one large folder in an
+otherwise small tree is opened up without any setting.
+
+Bytes are read only when they can matter. None are read for paths that a default rule or the
+reserved folder drops whatever a repository's own rules say, nor for files that are binary by name;
+of a file that its name does not decide, the first ``SNIFF_BYTES`` are read, and the rest only
+if they look like text. The two rule files are always read. A file beyond ``MAX_BYTES`` (Spark's
+limit for one cell) counts as unreadable.
+
+Roots must be visible to the executors (a shared file system).
 """
 
 from __future__ import annotations
@@ -23,41 +28,93 @@ import json
 import os
 import re
 import zlib
+from collections import deque
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.constants import GITIGNORE_PATH, TRACK_IGNORE_PATH
+from ..functions.constants import (BINARY_MIME_PREFIXES, DEFAULT_IGNORE_PATTERNS, DENIED_EXTENSIONS,
+                                   GITIGNORE_PATH, KNOWN_TEXT_NAMES, MIME_ALIASES, MIME_ENCODINGS,
+                                   MIME_TYPES, READABLE_MIME_PREFIXES, RESERVED_DIR, SNIFF_BYTES,
+                                   TEXT_NAME_ENDINGS, TRACK_IGNORE_PATH)
 from ..functions.globs import default_rules_regex
-from ..functions.constants import DEFAULT_IGNORE_PATTERNS, RESERVED_DIR
 
-SCHEMA = "repo string, path string, content binary, size bigint"
+SCHEMA = "repo string, path string, content binary, size bigint, is_dir boolean"
 FORMAT = "snapweave_tree"
+MAX_BYTES = (1 << 31) - (1 << 20)
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, repo: str, rel: str, recursive: bool, shard: int, shards: int):
-        self.root, self.repo, self.rel = root, repo, rel
-        self.recursive, self.shard, self.shards = recursive, shard, shards
+    """Entries of one folder: those of a hash shard, or (``whole``) everything below it."""
 
-
-def _skip_bytes(rel: str, regex) -> bool:
-    if rel in (GITIGNORE_PATH, TRACK_IGNORE_PATH):
-        return False
-    if rel == RESERVED_DIR or rel.startswith(RESERVED_DIR + "/"):
-        return True
-    return regex.match(rel) is not None
+    def __init__(self, root: str, repo: str, rel: str, whole: bool, shard: int = 0, shards: int = 1):
+        self.root, self.repo, self.rel = root, repo, rel
+        self.whole, self.shard, self.shards = whole, shard, shards
 
 
 def _join(rel: str, name: str) -> str:
     return f"{rel}/{name}" if rel else name
 
 
+def _listed(folder: str) -> list[os.DirEntry]:
+    """Entries by name; none if the folder cannot be listed."""
+    try:
+        with os.scandir(folder) as it:
+            return sorted(it, key=lambda e: e.name)
+    except OSError:
+        return []
+
+
+def says_name(name: str) -> str | None:
+    """``text`` or ``binary`` where the name decides, as :func:`..operators.classify.name_verdict`."""
+    low = name.lower()
+    if low in KNOWN_TEXT_NAMES or name.endswith(TEXT_NAME_ENDINGS):
+        return "text"
+    suffix = re.match(r"(?s).+\.([^.]+)$", name)
+    if suffix and suffix[1].lower() in DENIED_EXTENSIONS:
+        return "binary"
+    stem, ext = os.path.splitext(name)
+    aliases = dict(MIME_ALIASES)
+    if ext.lower() in aliases:
+        ext = aliases[ext.lower()]
+    elif ext in MIME_ENCODINGS:
+        ext = os.path.splitext(stem)[1]
+    mime = _MIME.get(ext.lower(), "")
+    if mime.startswith(READABLE_MIME_PREFIXES):
+        return "text"
+    return "binary" if mime.startswith(BINARY_MIME_PREFIXES) else None
+
+
+_MIME = dict(MIME_TYPES)
+
+
+def looks_like_text(head: bytes) -> bool:
+    try:
+        head.decode()
+    except UnicodeDecodeError:
+        return False
+    return b"\0" not in head
+
+
+def read_bytes(full: str, rel: str, dropped: re.Pattern | None) -> bytes | None:
+    """What the manifest needs of a file; ``dropped``: paths of no use (None: read all)."""
+    verdict = "text" if dropped is None or rel in (GITIGNORE_PATH, TRACK_IGNORE_PATH) \
+        else says_name(rel.rsplit("/", 1)[-1])
+    if dropped is not None and rel not in (GITIGNORE_PATH, TRACK_IGNORE_PATH) and (
+            verdict == "binary" or rel.startswith(RESERVED_DIR + "/") or dropped.match(rel)):
+        return None
+    try:
+        if os.path.getsize(full) > MAX_BYTES:
+            return None
+        with open(full, "rb") as f:
+            head = f.read(SNIFF_BYTES)
+            return head + f.read() if verdict == "text" or looks_like_text(head) else head
+    except OSError:
+        return None
+
+
 class TreeReader(DataSourceReader):
     """Options: ``paths`` (JSON list of roots), ``repos`` (JSON list of names, default the folder
-    names), ``splitDepth`` (folders at this depth are walked whole by one partition; shallower
-    folders contribute a partition for their direct files; default 1), ``shards`` (each of those
-    partitions is split into this many hash shards of the relative path: every shard lists the
-    folder but reads only its own files, so one huge folder does not become one task; default 1),
+    names), ``targetPartitions`` (default 256), ``filesPerPartition`` (default 5,000),
     ``readAllContent``."""
 
     def __init__(self, options):
@@ -66,64 +123,39 @@ class TreeReader(DataSourceReader):
         self.repos = json.loads(names) if names else [
             os.path.basename(os.path.abspath(r).rstrip(os.sep)) for r in self.roots]
         self.read_all = options.get("readAllContent", "false").lower() == "true"
-        self.split_depth = max(1, int(options.get("splitDepth", "1")))
-        self.shards = max(1, int(options.get("shards", "1")))
-
-    def _parts(self, root, repo, rel, recursive):
-        return [_Part(root, repo, rel, recursive, k, self.shards) for k in range(self.shards)]
+        self.target = max(1, int(options.get("targetPartitions", "256")))
+        self.files = max(1, int(options.get("filesPerPartition", "5000")))
 
     def partitions(self):
-        parts = []
-        for root, repo in zip(self.roots, self.repos):
-            frontier = [""]
-            for _ in range(self.split_depth):
-                deeper = []
-                for rel in frontier:
-                    parts += self._parts(root, repo, rel, False)
-                    with os.scandir(os.path.join(root, rel)) as it:
-                        deeper += [_join(rel, e.name) for e in it if e.is_dir(follow_symlinks=False)]
-                frontier = deeper
-            for rel in frontier:
-                parts += self._parts(root, repo, rel, True)
-        return parts
+        parts: list[_Part] = []
+        todo = deque((os.path.abspath(root), repo, "") for root, repo in zip(self.roots, self.repos))
+        while todo and len(parts) + len(todo) < self.target:
+            root, repo, rel = todo.popleft()
+            here = _listed(os.path.join(root, rel))
+            todo += [(root, repo, _join(rel, e.name)) for e in here if e.is_dir(follow_symlinks=False)]
+            shards = -(-len(here) // self.files)
+            parts += [_Part(root, repo, rel, False, k, shards) for k in range(shards)]
+        return parts + [_Part(*t, True) for t in todo]
 
     def read(self, part: _Part):
-        regex = re.compile(default_rules_regex(DEFAULT_IGNORE_PATTERNS))
-        root = os.path.abspath(part.root)
-
-        def mine(rel: str) -> bool:
-            return part.shards == 1 or zlib.crc32(rel.encode("utf-8", "surrogateescape")) \
-                % part.shards == part.shard
-
-        def row(full, rel):
-            data = None
-            if self.read_all or not _skip_bytes(rel, regex):
+        dropped = None if self.read_all else re.compile(default_rules_regex(DEFAULT_IGNORE_PATTERNS))
+        todo = [part.rel]
+        while todo:
+            folder = todo.pop()
+            for e in _listed(os.path.join(part.root, folder)):
+                rel = _join(folder, e.name)
+                if part.shards > 1 and zlib.crc32(rel.encode("utf-8", "surrogateescape")) % part.shards != part.shard:
+                    continue
+                if e.is_dir():
+                    yield (part.repo, rel, None, 0, True)
+                    if part.whole and not e.is_symlink():
+                        todo.append(rel)
+                    continue
                 try:
-                    with open(full, "rb") as fh:
-                        data = fh.read()
+                    size = e.stat().st_size
                 except OSError:
-                    data = None
-            try:
-                size = os.path.getsize(full)
-            except OSError:
-                size = 0
-            return (part.repo, rel, data, size)
-
-        base = os.path.join(root, part.rel)
-        if not part.recursive:
-            with os.scandir(base) as it:
-                for e in sorted(it, key=lambda x: x.name):
-                    rel = _join(part.rel, e.name)
-                    if not e.is_dir(follow_symlinks=False) and mine(rel):
-                        yield row(e.path, rel)
-            return
-        for dirpath, dirnames, filenames in os.walk(base):
-            dirnames.sort()
-            for f in sorted(filenames):
-                full = os.path.join(dirpath, f)
-                rel = os.path.relpath(full, root).replace(os.sep, "/")
-                if mine(rel):
-                    yield row(full, rel)
+                    size = 0
+                yield (part.repo, rel, read_bytes(e.path, rel, dropped), size, False)
 
 
 class TreeDataSource(DataSource):
@@ -139,8 +171,9 @@ class TreeDataSource(DataSource):
 
 
 def manifest_from_tree(spark, roots, repos=None, read_all_content: bool = False,
-                       split_depth: int = 1, shards: int = 1):
-    """``manifest`` rows for every file below the given roots (one repository per root)."""
+                       target_partitions: int = 256, files_per_partition: int = 5000):
+    """``manifest`` rows for every file and folder below the given roots (one repository per
+    root)."""
     from ..session import ship_package
     ship_package(spark)
     spark.dataSource.register(TreeDataSource)
@@ -148,4 +181,5 @@ def manifest_from_tree(spark, roots, repos=None, read_all_content: bool = False,
     if repos is not None:
         r = r.option("repos", json.dumps(list(repos)))
     return (r.option("readAllContent", str(read_all_content).lower())
-            .option("splitDepth", str(split_depth)).option("shards", str(shards)).load())
+            .option("targetPartitions", str(target_partitions))
+            .option("filesPerPartition", str(files_per_partition)).load())

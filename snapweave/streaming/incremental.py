@@ -1,38 +1,45 @@
 """Incremental snapshots with Structured Streaming.
 
-New manifest files (Parquet, ``repo, path, content, size``) arriving in a folder are picked up as
-micro-batches; each batch is snapshotted with the same operators as the batch job and written with
-dynamic partition overwrite, so a repository's document and statistics are replaced when its
-manifest is delivered again, and other repositories' outputs stay. A batch must carry whole
-repositories (one manifest file per repository and delivery). Progress and the source's file log
-live in ``checkpointLocation`` (under ``spark.checkpoint.dir`` when not given), so a restarted query
-resumes where it stopped.
+Manifest files (Parquet, ``repo, path, content, size``) that arrive in a folder are picked up as
+micro-batches. A batch may hold any part of a repository: it is first stored under
+``out_dir/manifest/epoch=<n>`` (overwritten if the batch is replayed), and then every repository it
+touches is snapshotted as a whole from all that was stored for it, the latest delivery of each path
+winning. Documents and statistics of those repositories are replaced, others stay. Progress and the
+source's file log live in ``checkpointLocation`` (under ``spark.checkpoint.dir`` when not given), so
+a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.snapshot import Snapshot, now_timestamp
 from ..session import drop_materialized, ensure_checkpoint_dir, materialized_mark
-from ..sinks import write_snapshot
+from ..sinks import write_snapshot, write_stats
 
 MANIFEST_SCHEMA = "repo string, path string, content binary, size bigint"
 
 
-def _write_stats(stats: DataFrame, out_dir: str) -> None:
-    (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("repo").parquet(out_dir))
+def whole_repositories(stored: DataFrame, repos: DataFrame) -> DataFrame:
+    """The latest row of each path of ``repos``; only names and epochs are grouped, not contents."""
+    mine = stored.join(repos, "repo", "left_semi")
+    last = mine.groupBy("repo", "path").agg(F.max("epoch").alias("epoch"))
+    return mine.join(last, ["repo", "path", "epoch"]).select("repo", "path", "content", "size")
 
 
-def snapshot_batch(batch: DataFrame, out_dir: str, timestamp: str | None = None) -> None:
-    """One micro-batch: snapshot, write both outputs, then drop the batch's materialised tables
-    so a long-running stream does not accumulate them."""
-    mark = materialized_mark(batch.sparkSession)
-    snap = Snapshot(batch, timestamp or now_timestamp())
+def snapshot_batch(batch: DataFrame, epoch: int, out_dir: str, timestamp: str | None = None) -> None:
+    """One micro-batch; its materialised tables are dropped at the end, so that a long-running
+    stream does not accumulate them."""
+    spark = batch.sparkSession
+    mark = materialized_mark(spark)
+    batch.write.mode("overwrite").parquet(f"{out_dir}/manifest/epoch={epoch}")
+    repos = spark.read.parquet(f"{out_dir}/manifest/epoch={epoch}").select("repo").distinct()
+    stored = spark.read.schema(MANIFEST_SCHEMA + ", epoch bigint").parquet(f"{out_dir}/manifest")
+    snap = Snapshot(whole_repositories(stored, repos), timestamp or now_timestamp())
     write_snapshot(snap.sections(), f"{out_dir}/documents")
-    _write_stats(snap.stats, f"{out_dir}/stats")
-    drop_materialized(batch.sparkSession, since=mark)
+    write_stats(snap.stats, f"{out_dir}/stats")
+    drop_materialized(spark, since=mark)
 
 
 def start_snapshot_stream(spark: SparkSession, manifest_dir: str, out_dir: str, *,
@@ -46,9 +53,9 @@ def start_snapshot_stream(spark: SparkSession, manifest_dir: str, out_dir: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(manifest_dir)
 
-    def each(batch: DataFrame, _epoch: int) -> None:
+    def each(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            snapshot_batch(batch, out_dir, timestamp)
+            snapshot_batch(batch, epoch, out_dir, timestamp)
 
     w = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

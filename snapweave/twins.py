@@ -3,14 +3,13 @@
 They read the shared tables (views ``documents``, ``pages``) and derive the same manifests as
 :mod:`.sources.fixtures`, then recompute every step with SQL's own means: prefix tests with
 ``NOT EXISTS`` instead of ancestor joins, window ranks instead of struct maxima, hand-expanded
-regexes instead of the translator. Only literals (rule texts, fixed lists, the MIME table) are
-shared with the Spark side.
+regexes (the default rules' too) instead of the translator. Only literals (rule texts, fixed lists,
+the pinned MIME table) are shared with the Spark side.
 """
 
 from __future__ import annotations
 
 from .functions import constants as K
-from .functions.globs import default_rules_regex
 from .functions.mime import encodings, mime_rows, suffix_aliases
 from .plans.snapshot import DEFAULT_TIMESTAMP
 from .sources import fixtures as FX
@@ -38,7 +37,18 @@ def in_list(values) -> str:
     return "(" + ", ".join(lit(v) for v in values) + ")"
 
 
-DEFAULT_RX = default_rules_regex(K.DEFAULT_IGNORE_PATTERNS)
+# The default rules by hand: folder rules cover what is below them, file rules the file and below.
+DEFAULT_RX = (r"^(?:.+/)?(?:\.git|node_modules|vendor|bower_components|storage|build|dist|out|target|\.svn|\.hg|\.bzr"
+              r"|\.idea|\.vscode|\.project|\.settings|__pycache__|\.pytest_cache|\.mypy_cache|\.ruff_cache|coverage"
+              r"|logs|tmp|temp)/.*$|^(?:.+/)?[^/]*\.(?:lockb|log|tmp|bak|swp|DS_Store)(?:/.*)?$")
+
+# The grammar's patterns (queries.GRAMMAR) by hand.
+GRAMMAR_RX = (
+    r"^(?:.+/)?src/.*$", r"^(?:.+/)?[^/]*\.md(?:/.*)?$", r"^(?:.+/)?core(?:/.*)?$", r"^src(?:/.*)?$",
+    r"^src/core(?:/.*)?$", r"^docs/[^/]+(?:/.*)?$", r"^src(?:/.+)?/[^/]*\.txt(?:/.*)?$", r"^tests/.*$",
+    r"^(?:.+/)?core(?:/.*)?$", r"^[^/]+(?:/.*)?$", r"^(?:.+/)?f[^/]1\.py(?:/.*)?$", r"^(?:.+/)?f[12][^/]*(?:/.*)?$",
+    r"^(?:.+/)?f[^12][^/]*\.js(?:/.*)?$", r"^(?:.+/)?docs(?:/.*)?$", r"^(?:.+/)?f1[^/]*(?:/.*)?$",
+)
 
 # Hand-expanded regexes of the fixture's rule lines (FIXTURES.md section 3).
 FIXTURE_REGEX = {
@@ -75,7 +85,8 @@ def docs_manifest_ctes() -> list[str]:
         "repo_files AS (SELECT repo, path, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE body END "
         "AS content, octet_length(body)::BIGINT AS size FROM rf)",
         "repos AS (SELECT DISTINCT source AS repo FROM documents)",
-        f"rule_rows AS (SELECT repo, '.gitignore' AS path, encode({lit(FX.GITIGNORE_TEXT)}) AS content "
+        f"rule_rows AS (SELECT repo, '.gitignore' AS path, encode({lit(FX.GITIGNORE_TEXT)} || 'f' || "
+        f"{num}::VARCHAR || '?*.py' || chr(10)) AS content "
         f"FROM repos WHERE {num} BETWEEN {g0} AND {g1} UNION ALL "
         f"SELECT repo, '.codebase/track_ignore.txt' AS path, encode({lit(FX.TRACK_IGNORE_TEXT)}) "
         f"AS content FROM repos WHERE {num} BETWEEN {t0} AND {t1})",
@@ -87,11 +98,36 @@ def docs_manifest_ctes() -> list[str]:
 def pages_manifest_ctes() -> list[str]:
     host = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
     raw = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-    path = f"regexp_replace(replace({raw}, '\\', '/'), '^/+|/+$', '', 'g')"
+    path = clean_path(raw)
     return [f"manifest AS (SELECT {host} AS repo, {path} AS path, encode(html) AS content, "
             f"octet_length(encode(html))::BIGINT AS size FROM pages)"]
 
 
+def clean_path(raw: str) -> str:
+    """Without empty and ``.`` segments, by replacement: each one goes with the slash after it."""
+    slashed = f"'/' || replace({raw}, '\\', '/') || '/'"
+    return f"regexp_replace(regexp_replace({slashed}, '(/\\.)*/+(\\./+)*', '/', 'g'), '^/|/$', '', 'g')"
+
+
+def messy_ctes() -> list[str]:
+    full = ("(CASE doc_id % 6 WHEN 0 THEN '/data/' || source || '//x/a' || doc_id "
+            "WHEN 1 THEN '/data/' || source || '/./x/a' || (doc_id - 1) || '/b.py' "
+            "WHEN 2 THEN '\\data\\' || source || '\\y\\.\\c' || doc_id || '.md/' "
+            "WHEN 3 THEN '/data/' || source || '/' WHEN 4 THEN '/other/' || doc_id END)")
+    bad = "(CASE WHEN doc_id % 2 = 0 THEN '\\xFF'::BLOB ELSE '\\xE2\\x82'::BLOB END)"
+    return [
+        f"t0 AS (SELECT source AS repo, {full} AS given, doc_id, text, "
+        f"encode(substr(text, 1, 40)) || {bad} || encode(substr(text, 41)) AS content, "
+        f"substr(text, 1, 40) || chr(65533) || substr(text, 41) AS shown FROM documents)",
+        f"t1 AS (SELECT *, {clean_path('given')} AS p FROM t0)",
+        "t2 AS (SELECT *, CASE WHEN p = 'data/' || repo THEN '' WHEN starts_with(p, 'data/' || repo || '/') "
+        "THEN substr(p, length(repo) + 7) END AS path, octet_length(content)::BIGINT AS size FROM t1)",
+        "t3 AS (SELECT *, CASE WHEN given IS NULL THEN 'no path' WHEN path IS NULL THEN 'path outside its root' "
+        "WHEN path = '' THEN 'empty path' END AS reason FROM t2)",
+        "manifest AS (SELECT repo, path, content, size, shown FROM t3 WHERE reason IS NULL)",
+    ]
+
+
 def name_expr(p: str) -> str:
     return f"string_split({p}, '/')[-1]"
 
@@ -164,8 +200,8 @@ def scan_ctes() -> list[str]:
         "fl AS (SELECT repo, path, string_split(path, '/') AS parts FROM manifest)",
         "anc0 AS (SELECT repo, parts, unnest(generate_series(1, len(parts) - 1)) AS i FROM fl)",
         "anc AS (SELECT DISTINCT repo, array_to_string(list_slice(parts, 1, i), '/') AS path FROM anc0)",
-        "ent0 AS (SELECT repo, path, bool_or(is_dir) AS is_dir FROM (SELECT repo, path, false AS is_dir "
-        "FROM fl UNION ALL SELECT repo, path, true FROM anc) GROUP BY repo, path)",
+        "ent0 AS (SELECT DISTINCT repo, path, is_dir FROM (SELECT repo, path, false AS is_dir "
+        "FROM fl UNION ALL SELECT repo, path, true FROM anc))",
         f"ent AS (SELECT repo, path, is_dir, {name_expr('path')} AS name, {parent_expr('path')} "
         f"AS parent, {depth_expr('path')}::INTEGER AS depth FROM ent0)",
         # rule files: lines, ordinals, hand-expanded regexes
@@ -179,7 +215,9 @@ def scan_ctes() -> list[str]:
         "AS pattern, clean FROM rl1 WHERE clean <> '' AND NOT starts_with(clean, '#'))",
         f"rules AS (SELECT r.repo, r.rule_set, (row_number() OVER (PARTITION BY r.repo, r.rule_set "
         f"ORDER BY r.lno))::INTEGER AS ordinal, r.pattern, NOT starts_with(r.clean, '!') AS include, "
-        f"m.rx AS regex FROM rl2 r LEFT JOIN {fx} AS m(pat, rx) ON m.pat = ltrim(r.clean, '!'))",
+        f"CASE WHEN ends_with(r.clean, '?*.py') THEN '^(?:.+/)?' || left(r.clean, length(r.clean) - 5) || "
+        f"'[^/][^/]*\\.py(?:/.*)?$' ELSE m.rx END AS regex "
+        f"FROM rl2 r LEFT JOIN {fx} AS m(pat, rx) ON m.pat = ltrim(r.clean, '!'))",
         "rfound AS (SELECT repo, rule_set, count(*) AS n FROM rules GROUP BY repo, rule_set)",
         "rhit AS (SELECT e.repo, e.path, r.rule_set, arg_max(r.include, r.ordinal) AS hit FROM ent e "
         "JOIN rules r ON r.repo = e.repo AND regexp_matches(e.path, r.regex) "
@@ -327,6 +365,23 @@ def oracle_sql() -> dict[str, str]:
                                   f"FROM manifest"),
         "path_ancestors": _pages(f"SELECT repo, path, {depth_expr(p)}::INTEGER AS depth FROM anc"),
         "rule_lines": _docs("SELECT repo, rule_set, ordinal, pattern, include, regex FROM rules"),
+        "rule_summary": _docs(
+            "SELECT r.repo, s.rule_set, s.rule_set = 'default' OR f.repo IS NOT NULL AS found, "
+            f"CASE WHEN s.rule_set = 'default' THEN {lit(chr(10).join(K.DEFAULT_IGNORE_PATTERNS))} "
+            "ELSE coalesce((SELECT string_agg(u.pattern, chr(10) ORDER BY u.ordinal) FROM rules u WHERE u.repo = r.repo "
+            "AND u.rule_set = s.rule_set), '') END AS patterns FROM (SELECT DISTINCT repo FROM manifest) r, "
+            "(VALUES ('gitignore'), ('track_ignore'), ('default')) s(rule_set) LEFT JOIN rfile f "
+            "ON f.repo = r.repo AND f.rule_set = s.rule_set"),
+        "rule_match_grammar": _docs("SELECT repo, path, is_dir, " + ", ".join(
+            f"regexp_matches(path, {lit(rx)}) AS hit_{i:02d}" for i, rx in enumerate(GRAMMAR_RX)) + " FROM ent"),
+        "manifest_table": _with(messy_ctes(), "SELECT repo, path, size, replace(replace(shown, chr(13) || chr(10), chr(10)), "
+                                              "chr(13), chr(10)) AS text FROM manifest"),
+        "manifest_rejects": _with(messy_ctes(), "SELECT repo, given AS path, reason FROM t3 WHERE reason IS NOT NULL"),
+        "manifest_clashes": _with(messy_ctes() + scan_ctes(), "SELECT repo, path, is_dir, disposition FROM disp"),
+        "stats_sink": _docs("SELECT repo, text_files, binary_files, ignored_items, total_files, total_chars, errors "
+                            "FROM stats", all_tree),
+        "snapshot_sink": _docs("SELECT repo, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_lines, "
+                               "sum(length(text))::BIGINT AS n_chars FROM sections GROUP BY repo", all_tree),
         "rule_match_default": _docs("SELECT repo, path, is_dir, default_hit FROM flags"),
         "rule_match_last_wins": _docs("SELECT repo, path, is_dir, gitignore_hit, track_ignore_hit, "
                                       "ignored FROM flags"),

@@ -38,6 +38,17 @@ def test_invalid():
         translate("!")
     with pytest.raises(PatternError):
         translate("abc\\")
+    with pytest.raises(PatternError):
+        translate("[z-a]")
+
+
+@pytest.mark.parametrize("line,regex", [
+    ("**", r"^[^/]+(?:/.*)?$"), ("a/**/**/b", r"^a(?:/.+)?/b(?:/.*)?$"), ("[]a]x", r"^(?:.+/)?[\]a]x(?:/.*)?$"),
+    ("[ab", r"^(?:.+/)?\[ab(?:/.*)?$"), ("[]", r"^(?:.+/)?\[\](?:/.*)?$"), ("[^a]", r"^(?:.+/)?[\^a](?:/.*)?$"),
+    ("a\\*b", r"^(?:.+/)?a\*b(?:/.*)?$"), ("/a/", r"^a/.*$"), ("a/**/", r"^a/.*$"), ("a**b", r"^(?:.+/)?a[^/]*[^/]*b(?:/.*)?$"),
+])
+def test_corners(line, regex):
+    assert translate(line) == (regex, True)
 
 
 @pytest.mark.parametrize("path,hit", [

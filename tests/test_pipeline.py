@@ -67,11 +67,66 @@ def test_sink_round_trip(spark):
     assert "CODEBASE SNAPSHOT" in expected["r"] and "/* ===== a.py ===== */" in expected["r"]
 
 
-def test_plans_have_no_nested_loop_or_cartesian(spark):
+def test_sink_orders_sections_from_anywhere(spark):
+    snap = Snapshot(docs_manifest(spark, SF))
+    sec = snap.sections()
+    straight, stored = tempfile.mkdtemp(prefix="snapweave-sink-"), tempfile.mkdtemp(prefix="snapweave-sink-")
+    write_snapshot(sec, straight)
+    sec.repartition(5, "text").write.parquet(f"{stored}/rows")
+    write_snapshot(spark.read.parquet(f"{stored}/rows"), f"{stored}/out")
+
+    def documents(out):
+        return {d: "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{out}/{d}/part-*")))
+                for d in os.listdir(out) if d.startswith("repo=")}
+
+    assert documents(straight) == documents(f"{stored}/out")
+
+
+def test_stats_sink_keeps_other_repositories(spark):
+    from snapweave.sinks import write_stats
+    out = tempfile.mkdtemp(prefix="snapweave-sink-")
+    for repo in ("a", "b"):
+        write_stats(Snapshot(make_manifest(spark, [(repo, "x.py", b"1")])).stats, f"{out}/stats")
+    assert sorted(r["repo"] for r in spark.read.parquet(f"{out}/stats").collect()) == ["a", "b"]
+
+
+def test_no_plan_has_a_nested_loop_or_cartesian(spark, monkeypatch):
+    """Every frame that is written on the way, as it ran, and the final one."""
+    from snapweave import session
+    seen = []
+    real = session.cut_lineage
+
+    def watched(df):
+        out = real(df)
+        seen.append(_plan(df))
+        return out
+
+    import snapweave.operators.scan as scan
+    import snapweave.plans.joins as joins
+    import snapweave.plans.snapshot as snapshot
+    for module in (scan, joins, snapshot):
+        monkeypatch.setattr(module, "cut_lineage", watched)
     for name in ("prune_files", "ignored_directories", "tree_lines", "snapshot_sections"):
-        plan = _plan(QUERIES[name](spark, SF))
-        assert "BroadcastNestedLoopJoin" not in plan, name
-        assert "CartesianProduct" not in plan, name
+        df = QUERIES[name](spark, SF)
+        df.collect()
+        seen.append(_plan(df))
+    assert len(seen) > 15
+    for plan in seen:
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, plan
+
+
+def test_frames_are_made_when_asked_for(spark, monkeypatch):
+    import snapweave.operators.scan as scan
+    import snapweave.plans.snapshot as snapshot
+    from snapweave.operators.scan import Scan
+    snap = Snapshot(docs_manifest(spark, SF))
+    assert not {"facts", "flagged", "dispositions"} & set(vars(snap.scan))
+    s = Scan(docs_manifest(spark, SF), with_chars=False)
+    s.visible
+    assert "dispositions" not in vars(s)
+    monkeypatch.setattr(snapshot, "tree_lines", None)
+    assert QUERIES["header_section"](spark, SF).count() > 0  # no tree is built
+    assert scan.Scan is Scan
 
 
 def test_sections_single_content_exchange(spark):
@@ -89,7 +144,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert set(df.columns) == {"repo", "text_files", "binary_files", "ignored_items", "total_files",
                                "total_chars", "errors"}
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(QUERIES) <= set(e.queries()) and set(QUERIES) <= set(e.oracle_sql()) <= set(e.queries())
 
 
 def test_empty_and_rules_only_manifests(spark):

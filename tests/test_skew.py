@@ -36,7 +36,7 @@ def test_rule_join_splits_hot_repository(spark):
         m = _manifest(spark)
         files = cut_lineage(rule_files(m))
         e = cut_lineage(entries(file_facts(m, with_chars=False)))
-        flagged = apply_rules(e, files, files_materialized=True, broadcast_bytes=0)
+        flagged = apply_rules(e, files, broadcast_bytes=0)
         rows = flagged.collect()
         n_ignored = sum(1 for r in rows if r["ignored"])
         plan = flagged._jdf.queryExecution().executedPlan().toString()
@@ -96,9 +96,9 @@ def test_hot_folder_joins_are_split(spark):
 
     def run():
         s = Scan(_hot_folder(spark), options=Options(broadcast_bytes=0))
-        vis = visible(s.flagged, blocked_dirs(s.flagged), broadcast_bytes=0)
+        vis = visible(s.flagged, blocked_dirs(s.flagged))
         assert "skew=true" in _final_plan(vis)
-        lines = tree_lines(s.dispositions, broadcast_bytes=0)
+        lines = tree_lines(s.dispositions)
         assert "skew=true" in _final_plan(lines)
         return lines.count()
 

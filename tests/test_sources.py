@@ -4,7 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from snapweave.plans.snapshot import Snapshot
-from snapweave.sources.manifest import manifest_from_table
+from snapweave.sources.manifest import manifest_from_table, manifest_rejects
 from snapweave.sources.tree_source import manifest_from_tree
 
 
@@ -31,13 +31,75 @@ def test_tree_source_keeps_hidden_names(spark):
     base = tempfile.mkdtemp(prefix="snapweave-tree-")
     files = _tree(base)
     m = manifest_from_tree(spark, [base], repos=["proj"])
-    rows = {r["path"]: r for r in m.collect()}
+    rows = {r["path"]: r for r in m.filter("NOT is_dir").collect()}
     assert set(rows) == set(files)
     assert rows["src/a.py"]["content"] == bytearray(b"print(1)\n")
-    # default-ignored and reserved paths keep their row but skip the bytes; rule files are read
-    assert rows["node_modules/pkg/i.js"]["content"] is None
+    # default-ignored, reserved and binary paths keep their row but skip the bytes; rule files are read
+    assert rows["node_modules/pkg/i.js"]["content"] is None and rows["img.png"]["content"] is None
     assert rows[".codebase/track_ignore.txt"]["content"] is not None
     assert {r["repo"] for r in rows.values()} == {"proj"}
+    folders = {r["path"] for r in m.filter("is_dir").collect()}
+    assert folders == {"src", "src/.hidden", "node_modules", "node_modules/pkg", "logs", ".codebase"}
+
+
+def test_tree_source_empty_linked_and_closed_folders(spark):
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    _tree(base)
+    os.makedirs(os.path.join(base, "empty"))
+    os.symlink(os.path.join(base, "src"), os.path.join(base, "link_top"))
+    os.symlink(os.path.join(base, "logs"), os.path.join(base, "src", "link_below"))
+    os.symlink(os.path.join(base, "nowhere"), os.path.join(base, "broken"))
+    for target in (1, 256):
+        m = manifest_from_tree(spark, [base], repos=["proj"], target_partitions=target)
+        snap = Snapshot(m)
+        disp = {r["path"]: (r["is_dir"], r["disposition"]) for r in snap.dispositions.collect()}
+        assert disp["empty"] == (True, None) and disp["link_top"] == (True, None)
+        assert disp["src/link_below"] == (True, None) and not any(p.startswith("link_top/") for p in disp)
+        assert disp["broken"] == (False, "binary")
+        lines = [r["line"] for r in snap.tree_lines.orderBy("key").collect()]
+        assert "├── empty/" in lines and "├── link_top/" in lines
+
+
+def test_unlistable_folders_have_no_entries(monkeypatch):
+    from snapweave.sources import tree_source as T
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    _tree(base)
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("src"):
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(T.os, "scandir", scandir)
+    reader = T.TreeReader({"paths": f'["{base}"]', "repos": '["p"]'})
+    rows = {r[1] for part in reader.partitions() for r in reader.read(part)}
+    assert "src" in rows and "src/a.py" not in rows and "logs/x.log" in rows
+
+
+def test_bounded_reads():
+    from snapweave.sources import tree_source as T
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    import re
+    dropped = re.compile("^never$")
+    for name, data, want in (("a.zzz", b"\0" * 9000, 4096), ("b.zzz", b"text " * 2000, 10_000), ("c.mp4", b"x" * 9000, None),
+                             ("d.txt", b"\0" * 9000, 9000), ("e.zzz", b"\xff" + b"a" * 8000, 4096)):
+        full = os.path.join(base, name)
+        with open(full, "wb") as f:
+            f.write(data)
+        got = T.read_bytes(full, name, dropped)
+        assert (None if got is None else len(got)) == want, name
+    assert T.read_bytes(os.path.join(base, "missing"), "missing", dropped) is None
+
+
+def test_names_are_judged_as_in_the_table(spark):
+    from conftest import make_manifest
+    from snapweave.operators.classify import file_facts
+    from snapweave.sources.tree_source import says_name
+    names = ["a.py", "x.PNG", "Makefile", "deps.lock", "x.tgz", "x.txt.gz", "x.txt.br", ".bashrc", "n.zzz", "a.svg", "b.mp3",
+             "..a", "a.", ".gz", "x.JSON", "noext"]
+    facts = file_facts(make_manifest(spark, [(n, b"") for n in names]), with_chars=False)
+    assert {r["path"]: r["by_name"] for r in facts.collect()} == {n: says_name(n) for n in names}
 
 
 def test_tree_source_snapshot(spark):
@@ -53,17 +115,45 @@ def test_tree_source_snapshot(spark):
     assert disp[".codebase"] == "directory"
 
 
+def _absolute(spark):
+    return spark.createDataFrame([("p", "/home/u/p/src/x.py", "/home/u/p", b"1"),
+                                  ("p", "/elsewhere/y.py", "/home/u/p", b"2"),
+                                  ("p", "\\home\\u\\p\\.\\\\z.md", "/home/u/p", b"3"),
+                                  ("p", None, "/home/u/p", b"4"), ("p", "/home/u/p/", "/home/u/p", b"5")],
+                                 "r string, full string, root string, data binary")
+
+
 def test_manifest_from_table_relative(spark):
-    df = spark.createDataFrame([("p", "/home/u/p/src/x.py", "/home/u/p", b"1"),
-                                ("p", "/elsewhere/y.py", "/home/u/p", b"2"),
-                                ("p", "\\home\\u\\p\\z.md", "/home/u/p", b"3")],
-                               "r string, full string, root string, data binary")
-    m = manifest_from_table(df, repo="r", path="full", content="data", root="root")
+    df = _absolute(spark)
+    m = manifest_from_table(df, repo="r", path="full", content="data", root="root", rejects="apart")
     assert sorted(r["path"] for r in m.collect()) == ["src/x.py", "z.md"]
     assert m.filter(F.col("size") != 1).count() == 0
+    bad = manifest_rejects(df, repo="r", path="full", root="root")
+    assert sorted((str(r["path"]), r["reason"]) for r in bad.collect()) == [
+        ("/elsewhere/y.py", "path outside its root"), ("/home/u/p/", "empty path"), ("None", "no path")]
+
+
+def test_unusable_rows_fail_the_job(spark):
+    import pytest
+    m = manifest_from_table(_absolute(spark), repo="r", path="full", content="data", root="root")
+    with pytest.raises(Exception, match="manifest row rejected"):
+        m.select("path").collect()
+    with pytest.raises(Exception, match="manifest row rejected"):
+        Snapshot(m).stats
+
+
+def test_a_file_that_is_also_a_folder(spark):
+    from conftest import make_manifest
+    snap = Snapshot(make_manifest(spark, [("a", b"one\n"), ("a/b.py", b"two\n")]))
+    assert sorted((r["path"], r["is_dir"], r["disposition"]) for r in snap.dispositions.collect()) == [
+        ("a", False, "text"), ("a", True, None), ("a/b.py", False, "text")]
+    st = snap.stats.first()
+    assert (st["text_files"], st["errors"]) == (2, 0)
+    assert snap.sections().filter("section = 2").count() == 2
+    assert [r["line"] for r in snap.tree_lines.orderBy("key").collect()] == [".", "├── a/", "│   └── b.py", "└── a"]
 
 
-def test_tree_source_split_and_shards_keep_every_file(spark):
+def test_tree_source_splits_large_folders(spark):
     base = tempfile.mkdtemp(prefix="snapweave-tree-")
     files = _tree(base)
     for i in range(30):
@@ -72,7 +162,8 @@ def test_tree_source_split_and_shards_keep_every_file(spark):
         with open(p, "wb") as fh:
             fh.write(b"%d" % i)
     want = set(files) | {f"src/big/f{i}.py" for i in range(30)}
-    m = manifest_from_tree(spark, [base], repos=["proj"], split_depth=2, shards=3)
-    got = [r["path"] for r in m.collect()]
-    assert sorted(got) == sorted(want)  # each file exactly once
-    assert m.rdd.getNumPartitions() > 3
+    for target, per, least in ((1, 5000, 1), (4, 7, 3), (256, 7, 10)):
+        m = manifest_from_tree(spark, [base], repos=["proj"], target_partitions=target, files_per_partition=per)
+        got = [r["path"] for r in m.filter("NOT is_dir").collect()]
+        assert sorted(got) == sorted(want)  # each file exactly once
+        assert m.rdd.getNumPartitions() >= least

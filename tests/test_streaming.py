@@ -25,5 +25,15 @@ def test_stream_replaces_repo_documents(spark):
     assert "/* ===== x.py ===== */\n1\n\n" in text
     stats = spark.read.parquet(f"{out}/stats")
     assert {r["repo"]: r["text_files"] for r in stats.collect()} == {"a": 2, "b": 1}
+    # a repository that arrives in parts, one file per batch, is whole after each; the last delivery wins
+    make_manifest(spark, [("a", "x.py", b"9")]).write.parquet(f"{src}/b3")
+    make_manifest(spark, [("a", "w.py", b"4"), ("b", "z2.py", b"5")]).write.parquet(f"{src}/b4")
+    q = start_snapshot_stream(spark, f"{src}/*", out, checkpoint_location=f"{base}/ckpt", available_now=True,
+                              max_files_per_trigger=1)
+    q.awaitTermination(300)
+    text = "".join(open(p, encoding="utf-8").read()
+                   for p in sorted(glob.glob(f"{out}/documents/repo=a/part-*")))
+    assert all(x in text for x in ("x.py ===== */\n9\n", "y.md ===== */\n2\n", "w.py ===== */\n4\n"))
+    assert {r["repo"]: r["text_files"] for r in spark.read.parquet(f"{out}/stats").collect()} == {"a": 3, "b": 2}
     # each batch dropped the tables it wrote
     assert len(getattr(spark, "_snapweave_tables", [])) <= before
