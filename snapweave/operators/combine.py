@@ -71,9 +71,9 @@ def file_section_chars(path: Column, readable: Column, text_chars: Column) -> Co
 
 
 def content_decisions(disp: DataFrame) -> DataFrame:
-    """Kept text files: ``(repo, key, path, readable, text_chars)`` with the O3 key."""
+    """Kept text files: ``(repo, key, path, size, readable, text_chars)`` with the O3 key."""
     return disp.filter(F.col("disposition") == "text").select(
-        "repo", P.content_key(F.col("path")).alias("key"), "path", "readable", "text_chars")
+        "repo", P.content_key(F.col("path")).alias("key"), "path", "size", "readable", "text_chars")
 
 
 # --- metadata sections ---------------------------------------------------------------------------

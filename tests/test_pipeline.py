@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -129,13 +130,27 @@ def test_frames_are_made_when_asked_for(spark, monkeypatch):
     assert scan.Scan is Scan
 
 
-def test_sections_single_content_exchange(spark):
-    """Bodies meet their decisions without a join: one range exchange, no sort-merge join."""
+def test_bodies_are_read_and_shuffled_once(spark):
+    """Bodies meet their decisions without a join: one exchange, one scan with ``text``, no sampling."""
     sec = Snapshot(docs_manifest(spark, SF)).sections()
     sec.collect()
     plan = _plan(sec)
-    assert "rangepartitioning" in plan
-    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    final = plan[:plan.index("== Initial Plan ==")]
+    assert "shufflepartitionidpassthrough" in final and "rangepartitioning" not in final
+    assert "SortMergeJoin" not in final and "ShuffledHashJoin" not in final
+    assert len(re.findall(r"FileScan parquet \[[^\]]*text#[^\]]*\][^\n]*documents", final)) == 1
+
+
+def test_ranges_follow_the_weights(spark):
+    from snapweave.plans.snapshot import boundaries
+    rows = [("a", 2, f"k{i:05d}", 10) for i in range(2000)] + [("b", 2, "big", 30_000)] + [("c", 2, f"k{i:05d}", 10) for i in range(1000)]
+    bounds = boundaries(spark.createDataFrame(rows, "repo string, section int, key string, weight bigint"), 6)
+    assert bounds == sorted(bounds) and 3 <= len(bounds) <= 5
+    sizes = [0] * (len(bounds) + 1)
+    import bisect
+    for r in rows:
+        sizes[bisect.bisect_right(bounds, r[:3])] += r[3]
+    assert max(sizes) <= 30_000 + 15_000
 
 
 def test_entry_smoke(spark):
