@@ -8,11 +8,12 @@
    rows, whatever the input.
 3. Linear program. A configuration is a multiset of lengths that fits one sequence. Multiplicative
    weights price the lengths by how far they are still uncovered; a knapsack dynamic program over
-   the capacity finds the configuration of the highest price; it takes its share of the demand;
-   repeat. The shares, scaled to the demand, are the fractional solution.
-4. Rounding. Each configuration is used as many whole times as the fraction says and the demand
-   allows; what remains (bounded by the number of configurations, not by the input) is packed
-   best-fit decreasing.
+   the capacity finds the configurations of the highest price; each takes its share of the demand;
+   repeat until every length is covered. That is at most about one configuration per length, whatever
+   the input.
+4. Rounding. Each configuration is used as many whole times as its share says; what remains (a few
+   pieces per configuration, so bounded by the capacity, not by the input) is packed best-fit
+   decreasing.
 5. Assignment. The plan says for each length which ranks go to which sequences at which offset. Pieces
    are ranked within their length in two levels (salted groups of about ``GROUP``, and running sums
    over groups), so that a length that a third of the pieces have is never one task's, and each
@@ -28,6 +29,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -45,7 +47,7 @@ from .common import map_batches, table, text_or_empty
 CAPACITY, END_ID = 2048, 0
 CACHE = 1_000_000
 GROUP = 2_048
-ROUNDS, STEP = 200, 0.05
+ANCHORS, RATE = 16, 1.0
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -67,14 +69,43 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else TAIL.sub(rb" \1", text.lower()).split()
 
 
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones stand for
+    themselves, the others follow from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + i) for i in range(256))
+    return [chr(b) if b in plain else next(rest) for b in range(256)]
+
+
+def is_plain(word: str) -> bool:
+    """Lower-case letters in composed form: the tokenizer's normaliser leaves such a word as it is
+    and its pre-tokenizer keeps it whole, so that its merges alone give the ids."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 class WordIds:
-    """The ids of words as little-endian bytes; new words are encoded many at a time."""
+    """The ids of words as little-endian bytes; new words are encoded many at a time, plain ones by
+    the tokenizer's model alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.encode = tokenizer(path).encode_batch_fast
+        self.encode, self.model = tokenizer(path).encode_batch_fast, tokenizer(path).model
+        self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
 
+    def learn(self, new: list[bytes]) -> None:
+        merge, letter = self.model.tokenize, self.alphabet.__getitem__
+        other = []
+        for w in new:
+            word = w.decode()
+            if is_plain(word):
+                merged = merge(word if word.isascii() else "".join(map(letter, w)))
+                self.known[w] = array("I", [t.id for t in merged]).tobytes()
+            else:
+                other.append(w)
+        encoded = self.encode([w.decode() for w in other], add_special_tokens=False)
+        self.known.update(zip(other, (array("I", e.ids).tobytes() for e in encoded)))
+
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text."""
         if len(self.known) > CACHE:
@@ -82,11 +113,7 @@ class WordIds:
         words = list(chain.from_iterable(texts))
         ids = list(map(self.known.get, words))
         unknown = [i for i, x in enumerate(ids) if x is None]
-        new = list({words[i] for i in unknown})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            encoded = self.encode([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in encoded)))
+        self.learn(list({words[i] for i in unknown}))
         for i in unknown:
             ids[i] = self.known[words[i]]
         parts = iter(ids)
@@ -135,53 +162,75 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 # --- the linear program ----------------------------------------------------------------------------
 
-def best_configuration(lengths: np.ndarray, price: np.ndarray, room: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths (numbers into ``lengths``) of the highest price that fits. ``room``:
-    how often each may occur; used to drop what is used up, and to trim the solution."""
-    usable = np.flatnonzero(room > 0)
-    size, value = lengths[usable], price[usable]
+def priced(size: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack dynamic program over the capacity: for each room the number of the length that the
+    best filling of that room takes last, -1 where it is the filling of one token less. Of equal
+    fillings it takes the longest length."""
     best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
+    took = np.full(capacity + 1, -1, np.int64)
+    ends = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        n = np.searchsorted(size, c, side="right")
+        n = ends[c]
         best[c] = best[c - 1]
         if n:
             gain = best[c - size[:n]] + value[:n]
-            j = n - 1 - int(gain[::-1].argmax())  # of equals the longest
+            j = n - 1 - int(gain[::-1].argmax())
             if gain[j] > best[c]:
                 best[c], took[c] = gain[j], j
-    config: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        j = int(usable[took[c]])
-        c -= int(lengths[j])
-        config[j] += 1
-    return {j: min(k, int(room[j])) for j, k in config.items()}
+    return took
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int,
-               rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how many times each is used, covering ``demand`` up to rounding, by
-    multiplicative weights: a length costs its size, weighted by ``exp`` of its uncovered share."""
-    left = demand.astype(float).copy()
+def filling(took: np.ndarray, size: np.ndarray, room: int) -> Counter:
+    """The best filling of a room: how often it takes each length (numbers into ``size``)."""
+    out: Counter = Counter()
+    while room > 0:
+        j = int(took[room])
+        if j < 0:
+            room -= 1
+            continue
+        out[j] += 1
+        room -= int(size[j])
+    return out
+
+
+def configuration(first: int, took: np.ndarray, open_: np.ndarray, lengths: np.ndarray, left: np.ndarray,
+                  capacity: int) -> dict[int, int]:
+    """The best configuration with the open length ``first``, within what is left of each length; room
+    that this frees goes to the longest lengths that fit."""
+    size = lengths[open_]
+    wanted = filling(took, size, capacity - int(size[first]))
+    wanted[first] += 1
+    config = {int(open_[j]): n for j, k in wanted.items() if (n := min(k, int(left[open_[j]])))}
+    room = capacity - sum(int(lengths[j]) * k for j, k in config.items())
+    while True:
+        fits = np.flatnonzero(left[:np.searchsorted(lengths, room, side="right")] >= 1)[::-1]
+        j = next((int(j) for j in fits if left[j] - config.get(int(j), 0) >= 1), None)
+        if j is None:
+            return config
+        config[j] = config.get(j, 0) + 1
+        room -= int(lengths[j])
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, anchors: int = ANCHORS,
+               rate: float = RATE) -> list[tuple[dict[int, int], float]]:
+    """Configurations and how many times each is used, covering ``demand`` up to less than one piece
+    of each length. A length's price is its size times a weight that falls exponentially with its covered
+    share. One knapsack table per round gives the best configurations through the ``anchors`` longest
+    uncovered lengths; each is used until one of its lengths is covered, so there are at most about
+    as many configurations as lengths."""
+    left = demand.astype(float)
     used: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        if not (left >= 1).any():
-            break
-        share = left / demand
-        price = np.where(left >= 1, lengths * np.exp((share - share.max()) / step * 0.5), 0.0)
-        config = best_configuration(lengths, price, np.floor(left).astype(int), capacity)
-        if not config:
-            break
-        # As much as brings the most strained length down by one step, never beyond its demand.
-        times = min(left[j] / k for j, k in config.items())
-        amount = max(1.0, min(times, max(step * demand[j] / k for j, k in config.items())))
-        used[tuple(sorted(config.items()))] += min(amount, times)
-        for j, k in config.items():
-            left[j] -= k * min(amount, times)
+    while (left >= 1).any():
+        open_ = np.flatnonzero(left >= 1)
+        size = lengths[open_]
+        took = priced(size, size * np.exp(rate * (left[open_] / demand[open_] - 1)), capacity)
+        for first in range(len(open_) - 1, max(-1, len(open_) - 1 - anchors), -1):
+            if left[open_[first]] >= 1:
+                config = configuration(first, took, open_, lengths, left, capacity)
+                times = min(left[j] / k for j, k in config.items())
+                used[tuple(sorted(config.items()))] += times
+                for j, k in config.items():
+                    left[j] -= k * times
     return [(dict(c), x) for c, x in used.items()]
 
 
@@ -204,7 +253,7 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """``(lengths in one sequence, number of such sequences)`` that use up the histogram."""
     out = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
     rest = {n: c for n, c in sorted(histogram.items()) if n != capacity and c > 0}
@@ -212,7 +261,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
         return out
     lengths, demand = np.array(list(rest)), np.array(list(rest.values()))
     left = demand.copy()
-    for config, x in sorted(fractional(lengths, demand, capacity, rounds), key=lambda c: -c[1]):
+    for config, x in sorted(fractional(lengths, demand, capacity), key=lambda c: -c[1]):
         times = min([int(x + 1e-9)] + [int(left[j] // k) for j, k in config.items()])
         if times > 0:
             out.append(([int(lengths[j]) for j, k in sorted(config.items(), reverse=True) for _ in range(k)], times))
@@ -271,11 +320,11 @@ def place_batch(places: dict[int, np.ndarray]):
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+         capacity: int = CAPACITY) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     found = cut_lineage(pieces(docs, path, id_col, text_col, capacity))
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
-    places = slots(plan(histogram, capacity, rounds))
+    places = slots(plan(histogram, capacity))
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(ranked(found, histogram), place_batch(places),
                        f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
