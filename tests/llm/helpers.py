@@ -12,6 +12,8 @@ def duck(sf_dir):
     con.execute("SET threads TO 4")
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(p):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if os.path.isdir(p) else ''}')")
     return con
 
