@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table
 from .common import SPACE, hex_of, rows_of, text_or_empty
 
 #: A digest is heavy from this share of the rows on, so that there are at most as many heavy ones.
@@ -62,6 +62,8 @@ def classes(docs: DataFrame, ids: DataFrame, salts: int) -> tuple[DataFrame, Dat
     combined = winners.filter("heavy").groupBy("digest", "norm").agg(
         F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     found = cut_lineage(whole.unionByName(combined.drop("norm")))
+    drop_table(winners)
+    drop_table(heavy)
     mixed = cut_lineage(found.groupBy("digest").count().filter("count > 1").select("digest"))
     return found.filter("group_size > 1"), mixed
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table
 from .common import rows_of, table, text_or_empty, words
 
 TARGET_ENTROPY, MAX_EPOCHS, SEED = 0.95, 2.0, 17
@@ -122,9 +122,11 @@ def quotas(tokens: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs
                         F.col("tokens") * F.lit(float(max_epochs)))
     out = sources.withColumn("quota", F.floor(quota + 0.5).cast("bigint")).filter("quota > 0") \
         .withColumn("epochs", F.ceil(F.col("quota") / F.col("tokens")).cast("int"))
-    return cut_lineage(out.select(
+    written = cut_lineage(out.select(
         "source", "tokens", "quota", "epochs", (F.col("quota") - (F.col("epochs") - 1) * F.col("tokens")).alias("last"),
         F.ceil(F.col("rows") / F.lit(BLOCK)).cast("bigint").alias("blocks")))
+    drop_table(sources)
+    return written
 
 
 def placed(rows: DataFrame) -> DataFrame:
