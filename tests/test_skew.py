@@ -16,6 +16,9 @@ SKEW_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    # several map tasks on any number of cores: a skewed partition is split by its map outputs
+    "spark.sql.files.maxPartitionBytes": "8KB",
+    "spark.sql.files.openCostInBytes": "1KB",
 }
 
 
