@@ -215,7 +215,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD) -> Da
         # Hash order over distinct fingerprints: a uniform sample, the same on every run.
         share = min(1.0, 1.5 * wanted / n)
         rows = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * wanted)
-        sample = np.sort(np.array([r["fp"] for r in rows.collect()], np.int64).view(np.uint64))
+        sample = np.sort(rows.select("fp").toArrow()["fp"].to_numpy().view(np.uint64))
         tree = Tree(sample, shards, max_bits)
     dealt = map_batches(points.select("fp"), deal_batch(tree), "shard bigint, fp bigint")
     return dealt.groupBy("shard").applyInArrow(shard_edges(max_bits), "a bigint, b bigint")
