@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import make_manifest
+from manifests import make_manifest
 import snapweave as sw
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_manifest
+from manifests import make_manifest
 from snapweave.functions import paths as P
 from snapweave.functions.text import size_label
 from snapweave.operators.classify import is_text, name_verdict, with_mime

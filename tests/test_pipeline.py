@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import make_manifest
+from manifests import make_manifest
 from snapweave.plans.snapshot import Snapshot
 from snapweave.queries import QUERIES, docs_manifest
 from snapweave.sinks import write_snapshot

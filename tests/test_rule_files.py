@@ -36,7 +36,7 @@ def test_blocks_merge_same_polarity():
 
 import pytest  # noqa: E402
 
-from conftest import make_manifest  # noqa: E402
+from manifests import make_manifest  # noqa: E402
 from snapweave.operators.scan import Scan  # noqa: E402
 
 

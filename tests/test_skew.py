@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import make_manifest
+from manifests import make_manifest
 from snapweave.operators.classify import file_facts
 from snapweave.operators.rules import apply_rules, rule_files
 from snapweave.operators.scan import Scan, entries

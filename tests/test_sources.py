@@ -93,7 +93,7 @@ def test_bounded_reads():
 
 
 def test_names_are_judged_as_in_the_table(spark):
-    from conftest import make_manifest
+    from manifests import make_manifest
     from snapweave.operators.classify import file_facts
     from snapweave.sources.tree_source import says_name
     names = ["a.py", "x.PNG", "Makefile", "deps.lock", "x.tgz", "x.txt.gz", "x.txt.br", ".bashrc", "n.zzz", "a.svg", "b.mp3",
@@ -143,7 +143,7 @@ def test_unusable_rows_fail_the_job(spark):
 
 
 def test_a_file_that_is_also_a_folder(spark):
-    from conftest import make_manifest
+    from manifests import make_manifest
     snap = Snapshot(make_manifest(spark, [("a", b"one\n"), ("a/b.py", b"two\n")]))
     assert sorted((r["path"], r["is_dir"], r["disposition"]) for r in snap.dispositions.collect()) == [
         ("a", False, "text"), ("a", True, None), ("a/b.py", False, "text")]

@@ -2,7 +2,7 @@ import glob
 import os
 import tempfile
 
-from conftest import make_manifest
+from manifests import make_manifest
 from snapweave.streaming.incremental import start_snapshot_stream
 
 
