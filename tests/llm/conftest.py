@@ -5,26 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from helpers import duck, write_tables  # noqa: E402
-
-SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-#: Extra columns named like columns that operators use inside.
-CLASH = ("id", "t", "w", "row", "digest", "fp", "split", "rank", "kept", "copies", "k", "epoch", "source_", "quality",
-         "salt", "norm", "end", "root")
-LONG = "lorem ipsum dolor sit amet " * 20_000
-
-
-def edge_rows():
-    prose = " ".join(f"word{i} and{i * 7} more{i * 3}" for i in range(40))
-    return [
-        (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \t\n\x0b\x0c\r ", None, None, 7),
-        (None, prose, "fr", "b", None), (4, prose, "fr", "b", 9), (4, prose, "fr", "b", 9), (5, prose, None, "b", 9),
-        (6, prose.replace(" ", "\n\n"), "de", None, 3), (7, prose + " tail", "en", "b", 3), (8, LONG, "en", "c", 1),
-        (4, "other text under a repeated id " * 30, "en", "a", 2), (None, None, None, None, None),
-        (9, "é\U0001f600 x" * 60, "es", "a", 5), (10, "a", "en", "a", 1), (11, "A", "en", "a", 1),
-    ]
-
+from helpers import CLASH, DOCS, LONG, SF, duck, edge_rows, write_tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def edge_dir(spark, tmp_path_factory):

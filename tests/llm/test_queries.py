@@ -1,8 +1,7 @@
 """Every registered query: against its DuckDB twin, on edge cases, and on empty tables."""
 
 import pytest
-from conftest import SF, edge_rows
-from helpers import duck, same_rows
+from helpers import SF, duck, edge_rows, same_rows
 
 import corpus_pipeline
 from snapweave.llm import queries as Q
