@@ -3,8 +3,11 @@
 The standard library's parser streams its events into lines: a line is the text between two tags of
 block elements, with the number of tags it took. A line's ratio is its characters by its tags;
 lines inside elements that are boilerplate by their tag or their class, id or role (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) have ratio 0. The
-ratios are smoothed with a Gaussian and clustered by a threshold, their standard deviation; lines at
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) have ratio 0. A class or
+id is a cue as a whole name (``related-posts``, not ``related-work``); ids of headings, paragraphs and
+sections, which generators make from headings, only if they name a page part for certain. Doubtful
+cues (forms, headers of articles, a class that only starts or ends with a cue word, topic words) hold
+unless the element has a line of prose in the content cluster of the article. The ratios are smoothed with a Gaussian and clustered by a threshold, their standard deviation; lines at
 or above it are content. The content lines select the region of the page: the article or main
 elements that hold some, else the smallest container that holds all of them. The text is every line
 of that region that is not boilerplate, short ones included, so that the threshold places the
@@ -30,12 +33,15 @@ from .common import map_batches, table, text_or_empty
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose tags are part of a line; all others end it.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q "
-                   "ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+                   "ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle "
+                   "merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts "
+                   "mprescripts mtable mtr mtd mlabeledtr maction".split())
+#: A formula's source beside the formula, never shown.
+UNSEEN = frozenset(("annotation", "annotation-xml"))
 #: Never article text, whatever they hold.
 HARD = frozenset("script style noscript template head title nav footer aside button select textarea iframe svg "
-                 "math canvas object audio video menu dialog datalist".split())
-#: Boilerplate unless an article or main element inside says otherwise.
-SOFT = frozenset("header form".split())
+                 "canvas object audio video menu dialog datalist".split())
 CONTENT = frozenset(("article", "main"))
 NEVER = frozenset(("html", "body", *CONTENT))
 CONTAINERS = frozenset("html body main article section div td center fieldset table tbody tr".split())
@@ -45,6 +51,26 @@ CUES = frozenset("ad ads advert adverts advertisement advertisements advertising
                  "subscription signup share sharing social related recommended widget toolbar login search "
                  "copyright pagination pager disclaimer".split())
 COMMENTS = frozenset("comment comments disqus respond reply replies discussion".split())
+#: Words that name a place or a part; beside a cue word they leave it a whole cue name.
+PLACES = frozenset("site page top bottom left right main primary secondary global local mobile desktop box bar block "
+                   "container wrapper wrap area list lists link links button buttons icon icons inner outer form item "
+                   "items post posts article articles story stories content section panel text title heading message "
+                   "media card this us cta module unit slot row col column group inline sticky floating modal "
+                   "thread feed author body meta".split())
+#: Cue words that are also topics: an id of one alone is in doubt, the last ones a class as well.
+TOPICS = frozenset("advertising advertisement advertisements promotion sponsor banner navigation cookie cookies consent "
+                   "gdpr alert newsletter subscribe subscription login search social related share sharing recommended "
+                   "copyright toolbar notice notices disclaimer discussion respond reply replies comment".split())
+DOUBT = frozenset("notice notices alert disclaimer discussion respond".split())
+#: Ids that say for certain what a section is.
+SURE = frozenset("comments disqus_thread related-posts related-articles related-stories related-content related-links "
+                 "cookie-notice cookie-banner cookie-consent share-buttons social-links social-share sidebar footer "
+                 "navbar breadcrumbs newsletter-signup".split())
+BLOCKS = frozenset("div section td center fieldset table tbody tr ul ol dl aside article form".split())
+NO, DOUBTFUL, SOFT, CUE, HIDDEN = range(5)
+#: Least characters of a line that answers for a doubtful element, and how many times more of them than
+#: of other content make such elements the page's text.
+PROSE, OUTWEIGH = 40, 3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,36 +82,52 @@ RADIUS, SIGMA = 2, 1.0
 
 
 class Line:
-    __slots__ = ("text", "tags", "path", "skip", "heading")
-
-    def __init__(self, text, tags, path, skip, heading):
-        self.text, self.tags, self.path, self.skip, self.heading = text, tags, path, skip, heading
-
-
-def boilerplate(tag: str, attrs: list) -> int:
-    """0: no; 1: unless it holds an article; 2: yes."""
+    __slots__ = ("text", "tags", "path", "skip", "doubts", "heading")
+
+    def __init__(self, text, tags, path, skip, doubts, heading):
+        self.text, self.tags, self.path, self.skip, self.doubts, self.heading = text, tags, path, skip, doubts, heading
+
+
+def cue(name: str, tag: str, is_id: bool, section: bool) -> int:
+    """What a class or id says of its element."""
+    if is_id and section:
+        return CUE if name.lower() in SURE else NO
+    if is_id and tag not in BLOCKS:
+        return NO
+    parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    if not parts or not {"has", "with", "no"}.isdisjoint(parts):
+        return NO
+    ends = {parts[0], parts[-1]}
+    words = {p for p in parts if not p.isdigit()}
+    comments = bool(ends & COMMENTS) and tag not in ("html", "body", "main")
+    if not comments and (tag in NEVER or not ends & CUES):
+        return NO
+    if not words <= CUES | COMMENTS | PLACES:
+        # An article is no container of its page's parts.
+        return DOUBTFUL if tag in BLOCKS and tag != "article" and not is_id else NO
+    if words <= DOUBT or is_id and len(parts) == 1 and words <= TOPICS:
+        return NO if tag == "article" or tag not in BLOCKS else DOUBTFUL
+    return HIDDEN if comments else CUE
+
+
+def boilerplate(tag: str, attrs: list, in_article: bool) -> int:
+    """``NO``; ``DOUBTFUL``: unless it holds prose of the article; ``SOFT``: unless it holds an article;
+    ``CUE``: an article in it is in doubt; ``HIDDEN``: whatever it holds."""
     if tag in HARD:
-        return 2
-    names: list[str] = []
+        return HIDDEN
+    level = {"header": DOUBTFUL if in_article else SOFT, "form": DOUBTFUL}.get(tag, NO)
+    names: list[tuple[str, bool]] = []
     for k, v in attrs:
         v = v or ""
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            return 2
+            return HIDDEN
         if k == "role" and v in ROLES:
-            return 1
+            level = CUE
         if k in ("class", "id"):
-            names += v.split()
-    soft = 1 if tag in SOFT else 0
-    for n in names:
-        parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", n) if p]
-        if not parts or parts[0] in ("has", "with", "no"):
-            continue
-        ends = {parts[0], parts[-1]}
-        if ends & COMMENTS:
-            return 2
-        if ends & CUES and tag not in NEVER:
-            soft = 1
-    return soft
+            names += [(n, k == "id") for n in v.split()]
+    # Document generators mark sections by the element or by a class.
+    section = tag == "section" or any(not i and re.fullmatch(r"section|level[1-6]|sect[1-6]", n) for n, i in names)
+    return max([level, *[cue(n, tag, i, section) for n, i in names]])
 
 
 class Lines(HTMLParser):
@@ -93,7 +135,8 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = [("html", 0, 0)]  # tag, element number, boilerplate level
+        # Tag, element number, boilerplate level, the doubtful elements it is or is in.
+        self.open: list[tuple[str, int, int, tuple[int, ...]]] = [("html", 0, NO, ())]
         self.kinds = ["html"]
         self.lines: list[Line] = []
         self.parts: list[str] = []
@@ -103,9 +146,9 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            tags = [t for t, _, _ in self.open]
-            self.lines.append(Line(text, self.tags, tuple(n for _, n, _ in self.open), self.open[-1][2],
-                                   "h1" in tags))
+            tags = [x[0] for x in self.open]
+            self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.open), self.open[-1][2] > DOUBTFUL,
+                                   self.open[-1][3], "h1" in tags))
             self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -114,14 +157,21 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if tag in ("html", "body") and any(t == tag for t, _, _ in self.open) or tag in VOID:
+        if tag in ("html", "body") and any(x[0] == tag for x in self.open) or tag in VOID:
             return
         self.close_implied(tag)
-        level = boilerplate(tag, attrs)
-        above = self.open[-1][2]
-        if tag in CONTENT and above == 1 and not level:
-            above = 0
-        self.open.append((tag, len(self.kinds), max(level, above)))
+        level = boilerplate(tag, attrs, tag == "header" and any(x[0] in CONTENT for x in self.open))
+        number, (_, _, above, doubts) = len(self.kinds), self.open[-1]
+        if tag == "main" and above < HIDDEN:
+            above, doubts = NO, ()
+        elif tag == "article" and above < HIDDEN:
+            doubts = tuple(n for n in doubts if self.kinds[n] != "form")
+            if above == CUE:
+                doubts += (number,)
+            above = NO
+        if level == DOUBTFUL:
+            level, doubts = NO, doubts + (number,)
+        self.open.append((tag, number, max(level, above), doubts))
         self.kinds.append(tag)
 
     def close_implied(self, tag):
@@ -150,7 +200,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if self.open[-1][0] not in UNSEEN:
+            self.parts.append(data)
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -161,13 +212,14 @@ def smoothed(ratios: list[float]) -> list[float]:
             for i in range(n)]
 
 
-def content_lines(lines: list[Line]) -> list[int]:
+def content_lines(lines: list[Line], doubtful: bool) -> list[int]:
     """The numbers of the lines whose smoothed ratio reaches the threshold."""
-    smooth = smoothed([0.0 if x.skip else len(x.text) / max(1, x.tags) for x in lines])
+    off = [x.skip or bool(x.doubts) and not doubtful for x in lines]
+    smooth = smoothed([0.0 if o else len(x.text) / max(1, x.tags) for x, o in zip(lines, off)])
     mean = sum(smooth) / len(smooth)
     limit = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    found = [i for i, s in enumerate(smooth) if s >= limit and not lines[i].skip]
-    return found or [i for i, x in enumerate(lines) if not x.skip]
+    found = [i for i, s in enumerate(smooth) if s >= limit and not off[i]]
+    return found or [i for i, o in enumerate(off) if not o]
 
 
 def region(lines: list[Line], content: list[int], kinds: list[str]) -> set[int]:
@@ -194,10 +246,20 @@ def main_text(html: str) -> str:
     p.feed(html)
     p.close()
     p.end_line()
-    if not any(not x.skip for x in p.lines):
+    lines = p.lines
+    if not any(not x.skip for x in lines):
+        return ""
+    # Places of the article by what is not in doubt, unless nearly all prose is in doubt.
+    content, wide = content_lines(lines, False), content_lines(lines, True)
+    prose = [i for i in wide if lines[i].doubts and len(lines[i].text) >= PROSE]
+    if sum(len(lines[i].text) for i in prose) > OUTWEIGH * sum(len(lines[i].text) for i in content):
+        content = wide
+    if not content:
         return ""
-    inside = region(p.lines, content_lines(p.lines), p.kinds)
-    return " ".join(x.text for x in p.lines if not x.skip and not inside.isdisjoint(x.path))
+    inside = region(lines, content, p.kinds)
+    heads = [i for i, x in enumerate(lines) if x.heading and any(p.kinds[n] in CONTENT for n in x.path)]
+    kept = {n for i in (*prose, *heads) if not inside.isdisjoint(lines[i].path) for n in lines[i].doubts}
+    return " ".join(x.text for x in lines if not x.skip and kept.issuperset(x.doubts) and not inside.isdisjoint(x.path))
 
 
 def extract_batch(batch) -> dict:

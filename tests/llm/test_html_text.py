@@ -67,3 +67,30 @@ def test_query_over_real_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", re.sub("</?b>", "", m[1].replace("<br>", " ")))
         want = " ".join(t for t in (" ".join(html.unescape(p).split()) for p in parts) if t)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{0}<section id='discussion'><h2>Discussion</h2><p>{1}</p></section></article>",
+    "<article>{0}<div class='section' id='discussion'><h2>Discussion</h2><p>{1}</p></div></article>",
+    "<article>{0}<div id='social-impact'><h2>Discussion</h2><p>{1}</p></div></article>",
+    "<article>{0}<section id='login'><h2>Discussion</h2><p>{1}</p></section></article>",
+    "<article>{0}<h2 id='related-work'>Discussion</h2><p class='notice-period'>{1}</p></article>",
+    "<article>{0}<h3 id='search'>Discussion</h3><p>{1}</p></article>",
+    "<article>{0}<div class='notice'><h2>Discussion</h2><p>{1}</p></div></article>",
+    "<body class='comments-open'><main id='discussion'>{0}<h2>Discussion</h2><p>{1}</p></main></body>",
+])
+def test_topics_are_no_boilerplate(page):
+    assert H.main_text(page.format(ARTICLE, P2)) == f"{WANT} Discussion {P2}"
+
+
+@pytest.mark.parametrize("junk", ["<section id='comments'>{}</section>", "<div class='related-posts'>{}</div>",
+                                  "<div id='comment-12' class='comment'>{}</div>", "<ul class='share-buttons'><li>{}</ul>",
+                                  "<section class='widget_2'>{}</section>"])
+def test_whole_cue_names_are(junk):
+    assert H.main_text(f"<article>{ARTICLE}{junk.format('<p>' + P1 + '</p>')}</article>") == WANT
+
+
+def test_formulas_stay():
+    page = f"<article>{ARTICLE}<p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m" \
+           "</annotation></semantics></math>, as is known.</p></article>"
+    assert H.main_text(page) == WANT + " So E=m, as is known."
