@@ -9,7 +9,8 @@ sections, which generators make from headings, only if they name a page part for
 cues (forms, headers of articles, a class that only starts or ends with a cue word, topic words) hold
 unless the element has a line of prose in the content cluster of the article. The ratios are smoothed with a Gaussian and clustered by a threshold, their standard deviation; lines at
 or above it are content. The content lines select the region of the page: the article or main
-elements that hold some, else the smallest container that holds all of them. The text is every line
+elements if they hold most of the content's characters (main if it holds more than its articles do),
+else the smallest container that holds all of them; a headline outside belongs to it. The text is every line
 of that region that is not boilerplate, short ones included, so that the threshold places the
 article and does not thin it out.
 
@@ -55,8 +56,8 @@ COMMENTS = frozenset("comment comments disqus respond reply replies discussion".
 PLACES = frozenset("site page top bottom left right main primary secondary global local mobile desktop box bar block "
                    "container wrapper wrap area list lists link links button buttons icon icons inner outer form item "
                    "items post posts article articles story stories content section panel text title heading message "
-                   "media card this us cta module unit slot row col column group inline sticky floating modal "
-                   "thread feed author body meta".split())
+                   "media card this us cta module unit slot row col column group inline sticky floating thread feed "
+                   "author body meta".split())
 #: Cue words that are also topics: an id of one alone is in doubt, the last ones a class as well.
 TOPICS = frozenset("advertising advertisement advertisements promotion sponsor banner navigation cookie cookies consent "
                    "gdpr alert newsletter subscribe subscription login search social related share sharing recommended "
@@ -71,6 +72,8 @@ NO, DOUBTFUL, SOFT, CUE, HIDDEN = range(5)
 #: Least characters of a line that answers for a doubtful element, and how many times more of them than
 #: of other content make such elements the page's text.
 PROSE, OUTWEIGH = 40, 3
+#: Share of the content's characters that elements must hold to be the page's text.
+MOST = 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -224,23 +227,34 @@ def content_lines(lines: list[Line], doubtful: bool) -> list[int]:
 
 def region(lines: list[Line], content: list[int], kinds: list[str]) -> set[int]:
     """The element numbers whose lines are the text."""
-    marked = set()
-    for kind in ("main", "article"):
-        tops = {next((n for n in lines[i].path if kinds[n] == kind), None) for i in content} - {None}
-        if tops and not (kind == "main" and any(kinds[n] == "article" for i in content for n in lines[i].path)):
-            marked = tops
-            break
+    tops = {kind: {i: n for i in content if (n := next((n for n in lines[i].path if kinds[n] == kind), None))}
+            for kind in ("main", "article")}
+    mass = sum(len(lines[i].text) for i in content)
+    holds = {kind: sum(len(lines[i].text) for i in found) >= MOST * mass for kind, found in tops.items()}
+    heads = [x for x in lines if x.heading and not x.skip]  # a headline above the text belongs to it
+    marked: set[int] = set()
+    if holds["main"] and not tops["main"].keys() <= tops["article"].keys():
+        marked = set(tops["main"].values())
+    elif holds["article"]:
+        # Articles side by side are one text, also those too short for a content line.
+        chosen = set(tops["article"].values())
+        above = {parent(lines[i].path, n) for i, n in tops["article"].items()}
+        marked = chosen | {n for x in lines for n in x.path if kinds[n] == "article" and parent(x.path, n) in above}
     if marked:
+        inside = [x for x in heads if not marked.isdisjoint(x.path)]
+        if not inside:
+            marked |= {n for x in heads if not x.doubts for n in x.path if kinds[n] == "h1"}
         return marked
     shared = lines[content[0]].path
-    for i in content:
-        shared = [n for n, m in zip(shared, lines[i].path) if n == m]
-    for x in lines:  # a headline above the text belongs to it
-        if x.heading and not x.skip:
-            shared = [n for n, m in zip(shared, x.path) if n == m]
+    for x in [*(lines[i] for i in content), *heads]:
+        shared = [n for n, m in zip(shared, x.path) if n == m]
     return {next(n for n in reversed(shared) if kinds[n] in CONTAINERS)}
 
 
+def parent(path: tuple[int, ...], n: int) -> int:
+    return path[path.index(n) - 1]
+
+
 def main_text(html: str) -> str:
     p = Lines()
     p.feed(html)

@@ -94,3 +94,24 @@ def test_formulas_stay():
     page = f"<article>{ARTICLE}<p>So <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m" \
            "</annotation></semantics></math>, as is known.</p></article>"
     assert H.main_text(page) == WANT + " So E=m, as is known."
+
+
+CARD = f"<article><p>{'About the author, at length. ' * 9}</p><p>{'More about the author here. ' * 10}</p></article>"
+LONG_TEXT = f"<h1>Headline</h1>{f'<p>{P1}</p><p>Short.</p><p>{P2}</p>' * 2}"
+LONG_WANT = WANT + WANT[len("Headline"):]
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<main><h1>Headline</h1><article>{ARTICLE[17:]}</article></main>", WANT),
+    (f"<div><h1>Headline</h1><div>x</div></div><article>{ARTICLE[17:]}</article>", WANT),
+    (f"<main><article>{ARTICLE}</article><p>{P2}</p></main>", f"{WANT} {P2}"),
+    (f"<body><article>{ARTICLE}</article><p>{P1}</p><p>{P2}</p></body>", f"{WANT}{WANT[8:].replace(' Short.', '')}"),
+    (f"<div><article>{ARTICLE}</article><article><h2>Next</h2></article></div>", f"{WANT} Next"),
+    (f"<div class='post'>{LONG_TEXT}</div><div class='related'>{CARD}</div>", LONG_WANT),
+])
+def test_region_by_mass(page, want):
+    assert H.main_text(page) == want
+
+
+def test_card_in_the_text():
+    assert H.main_text(f"<div class='post'>{LONG_TEXT}{CARD}</div>").startswith(LONG_WANT + " About the author")
