@@ -12,7 +12,8 @@ Base kinds, leftmost and non-overlapping per kind, failing values dropped and no
 * ``card``: at a digit, digits with single blanks or hyphens between, 16 to 19 that pass Luhn;
 * ``phone``: at a plus sign, to the last digit of the run of digits, blanks and ``().-``, 8 to 15.
 
-Added kinds, each after a cue only: ``iban`` (ISO 13616 check), ``ssn`` (area, group and serial
+Added kinds, each after a cue in any case: ``iban`` (ISO 13616: the country's length and the check; for
+a country not listed the longest run of words that passes the check), ``ssn`` (area, group and serial
 rules), ``account`` (6 to 17 digits) and ``login`` (``user:password@`` after ``://``). An added span
 that a base span holds is left out.
 
@@ -34,7 +35,7 @@ from .common import map_batches, table, text_or_empty
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "account", "login"]
 BASE = 4
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: What the automaton looks for: anchors by what their parser starts from, cues in three cases.
+#: What the automaton looks for: anchors by what their parser starts from, cues in lower case.
 CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,7 +44,14 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 FILLER = r"(?:[ ]?(?:number|no\.?|nr\.?|num|id|#))?[ ]?(?:is)?[ ]?[:#=]?[ ]?"
-IBAN = re.compile(FILLER + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.I)
+IBAN = re.compile(FILLER + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.I | re.A)
+IBAN_CHAR = re.compile(r"[A-Za-z0-9]")
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 SSN = re.compile(FILLER + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.I)
 ACCOUNT = re.compile(FILLER + r"([0-9](?:[ -]?[0-9]){5,16})(?![0-9]|[ -][0-9])", re.I)
 LOGIN = re.compile(r"([^\s/@:?#]+:[^\s/@?#]+)@[A-Za-z0-9]")
@@ -58,8 +66,7 @@ def automaton() -> ahocorasick.Automaton:
     for d in "0123456789":
         a.add_word(d, ("digit", 1))
     for cue, kind in CUES.items():
-        for form in (cue, cue.upper(), cue.title()):
-            a.add_word(form, (kind, len(form)))
+        a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -81,6 +88,16 @@ def valid_iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the IBAN from ``start`` ends, at ``end`` at the latest; the words after it may look like more of it."""
+    ends = [m.end() for m in IBAN_CHAR.finditer(text, start, end)]
+    length = IBAN_LENGTHS.get(text[start:start + 2].upper())
+    for e in (ends[length - 1:length] if length else reversed(ends[14:])):
+        if not IBAN_CHAR.match(text, e) and valid_iban(text[start:e]):
+            return e
+    return None
+
+
 def valid_ssn(s: str) -> bool:
     area, group, serial = s.split("-")
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -90,7 +107,9 @@ def spans_of(text: str) -> list[list[tuple[int, int]]]:
     """The spans of each kind of ``KINDS`` in order of start."""
     out: list[list[tuple[int, int]]] = [[] for _ in KINDS]
     email = ip = card = phone = 0  # where the next match of each kind may start
-    for last, (anchor, width) in automaton().iter(text):
+    # Bytes lower ASCII only, so that places stay.
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for last, (anchor, width) in automaton().iter(lower):
         at, after = last - width + 1, last + 1
         if anchor == "digit":
             if at >= card:
@@ -119,8 +138,8 @@ def spans_of(text: str) -> list[list[tuple[int, int]]]:
                 if 8 <= len(only_digits(m[0])) <= 15:
                     out[3].append((at, phone))
         elif anchor == "iban":
-            if (m := IBAN.match(text, after)) and valid_iban(m[1]):
-                out[4].append(m.span(1))
+            if (m := IBAN.match(text, after)) and (end := iban_end(text, *m.span(1))):
+                out[4].append((m.start(1), end))
         elif anchor == "ssn":
             if (m := SSN.match(text, after)) and valid_ssn(m[1]):
                 out[5].append(m.span(1))

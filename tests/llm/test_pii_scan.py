@@ -59,3 +59,24 @@ def test_invalid_values_are_left(text):
 def test_very_long_runs():
     assert P.spans_of("9" * 200_000 + " " + "a" * 200_000)[:P.BASE] == [[], [], [], []]
     assert P.spans_of("a" * 100_000 + "@b.c")[0] == [(0, 100_004)]
+
+
+@pytest.mark.parametrize("text,kind,value", [
+    ("IBAN: DE89370400440532013000 for the payment", "iban", "DE89370400440532013000"),
+    ("IBAN GB82 WEST 1234 5698 7654 32 is mine", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("İ iBAN no. no93 8601 1117 947 and so on and on and on and on", "iban", "no93 8601 1117 947"),
+    ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S a b c", "iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"),
+    ("IBAN XX89 1234 5678 9012 is of a country that is not listed", "iban", "XX89 1234 5678 9012"),
+    ("Social security number: 123-45-6789", "ssn", "123-45-6789"),
+    ("sOCIAL sECURITY 123-45-6789", "ssn", "123-45-6789"),
+    ("İ aCCt 12345678", "account", "12345678"),
+])
+def test_words_after_and_cues_in_any_case(text, kind, value):
+    found = P.spans_of(text)[P.KINDS.index(kind)]
+    assert [text[a:b] for a, b in found] == [value]
+
+
+@pytest.mark.parametrize("text", ["IBAN DE89370400440532013001 for the payment", "IBAN DE8937040044053201300 0000",
+                                  "IBAN DE89370400440532013000x", "IBAN GB82 KEST 1234 5698 7654 32"])
+def test_ibans_that_are_none(text):
+    assert P.spans_of(text)[P.KINDS.index("iban")] == []
