@@ -13,6 +13,16 @@ shard, ``MAX_SHARDS`` shards at most) and sent to the tasks; every point is deal
 the same tree over its shard down to leaves of ``LEAF`` points, where distances are computed
 exactly, in blocks.
 
+Dense groups. A node is split only if its children have at most ``GAIN`` of its pairs between them:
+at depth ``d`` of a tree of ``s`` shards at most ``s**2 * GAIN**d`` nodes are split, none is deeper
+than ``2 * log(s) / log(1 / GAIN)``, and all pairs of the shards are never more than those of the
+points. The fullest node is split first; the tree has ``MAX_NODES`` nodes and ``MAX_HELD`` sample points
+at most, whatever the data. A shard that stays larger than two of ``SHARD`` points (a dense ball, whose
+points no radius parts) is dealt to sub-shards by a salt, and every pair of sub-shards is a group of its
+own, so that all its points meet and no task holds more than two sub-shards. A task compares a node that
+does not split in blocks: points that differ in one bit are linked by look-up, and the points that are
+not yet in the largest component by then are compared with all.
+
 A shard gives a spanning forest of its links (each point to the least point of its part), never
 all pairs of a dense group. Components over shards come from rounds of large-star and small-star
 steps on these edges as DataFrames, each round written to the shared folder.
@@ -27,6 +37,8 @@ ids lose against any other id; an empty table gives no rows; other columns do no
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +54,8 @@ SHINGLE, MAX_BITS, SEED = 3, 3, 42
 SHARD, LEAST_SHARDS = 131_072, 16
 LEAF, BLOCK = 1_024, 4_096
 SAMPLE_PER_SHARD, MAX_SHARDS = 32, 1 << 15
+#: Share of a node's pairs that its children may have; bounds of the tree that is sent to the tasks.
+GAIN, MAX_NODES, MAX_HELD = 0.9, 1 << 17, 1 << 24
 
 
 # --- fingerprints ------------------------------------------------------------------------------
@@ -84,58 +98,100 @@ def distances(points: np.ndarray, v) -> np.ndarray:
 
 
 def split(points: np.ndarray, max_bits: int) -> tuple[np.uint64, int] | None:
-    """Vantage point and radius that leave the larger child smallest; None if no child is smaller
-    than the node. Candidates are spread over the points."""
-    best, found = len(points), None
+    """Vantage point and radius that leave the larger child smallest; None if the children would have
+    more than ``GAIN`` of the node's pairs. Candidates are spread over the points."""
+    best, found, pairs = len(points), None, GAIN * len(points) ** 2
     for v in points[np.linspace(0, len(points) - 1, num=min(6, len(points)), dtype=np.int64)]:
         n = np.bincount(distances(points, v), minlength=65).cumsum()
         for r in range(64):
             inside, outside = int(n[r]), len(points) - (int(n[r - max_bits]) if r >= max_bits else 0)
-            if max(inside, outside) < best and inside:
+            if max(inside, outside) < best and inside and inside ** 2 + outside ** 2 <= pairs:
                 best, found = max(inside, outside), (v, r)
     return found
 
 
 class Tree:
     """A fitted tree as arrays: vantage point, radius, children; a negative child ``-1 - s`` is
-    shard ``s``."""
+    shard ``s``. ``weights``: share of the sample in each shard. ``parts``: sub-shards of each shard;
+    the groups of a shard, one or all pairs of its sub-shards, start at ``first``."""
 
     def __init__(self, sample: np.ndarray, shards: int, max_bits: int):
         self.vantage, self.radius, self.inside, self.outside = [], [], [], []
-        self.shards, self.max_bits = 0, max_bits
-        self.root = self.fit(sample, max(2, len(sample) // max(1, shards))) if shards > 1 else self.leaf()
-
-    def leaf(self) -> int:
-        self.shards += 1
-        return -self.shards
-
-    def fit(self, sample: np.ndarray, enough: int) -> int:
-        found = split(sample, self.max_bits) if len(sample) > enough else None
-        if found is None:
-            return self.leaf()
-        v, r = found
-        node = len(self.vantage)
-        for a, x in ((self.vantage, v), (self.radius, r), (self.inside, 0), (self.outside, 0)):
-            a.append(x)
-        d = distances(sample, v)
-        self.inside[node] = self.fit(sample[d <= r], enough)
-        self.outside[node] = self.fit(sample[d > r - self.max_bits], enough)
-        return node
+        self.max_bits, self.weights = max_bits, []
+        self.root = -1
+        self.fit(sample, max(2, len(sample) // max(1, shards)) if shards > 1 else len(sample))
+        self.shards = len(self.weights)
+        self.size_parts(0, 1)
+
+    def fit(self, sample: np.ndarray, enough: int) -> None:
+        held, total = len(sample), max(1, len(sample))
+        # Nodes by size, the largest first: size, number of entry, sample, the child it is.
+        todo = [(-len(sample), 0, sample, None)]
+        entries = 1
+        while todo:
+            _, _, points, child = heapq.heappop(todo)
+            found = None
+            if len(points) > enough and len(self.vantage) < MAX_NODES and held < MAX_HELD:
+                found = split(points, self.max_bits)
+            if found is None:
+                self.put(child, -1 - len(self.weights))
+                self.weights.append(len(points) / total)
+                continue
+            v, r = found
+            node = len(self.vantage)
+            self.put(child, node)
+            for a, x in ((self.vantage, v), (self.radius, r), (self.inside, 0), (self.outside, 0)):
+                a.append(x)
+            d = distances(points, v)
+            for side, at in ((self.inside, d <= r), (self.outside, d > r - self.max_bits)):
+                some = points[at]
+                heapq.heappush(todo, (-len(some), entries, some, (side, node)))
+                entries += 1
+                held += len(some)
+            held -= len(points)
+
+    def put(self, child: tuple[list, int] | None, node: int) -> None:
+        if child is None:
+            self.root = node
+        else:
+            child[0][child[1]] = node
+
+    def size_parts(self, n: int, shard: int) -> None:
+        """Sub-shards of about ``shard`` points for shards of more than two such, ``n`` points in all."""
+        sizes = np.array(self.weights) * n
+        self.parts = np.where(sizes > 2 * shard, np.ceil(sizes / shard), 1).astype(np.int64)
+        groups = np.maximum(1, self.parts * (self.parts - 1) // 2)
+        self.first = np.cumsum(groups) - groups
 
     def deal(self, points: np.ndarray):
-        """``(shard, numbers of its points)`` for every shard that gets some."""
+        """``(group, numbers of its points)`` for every group that gets some; any two points of a shard
+        are together in a group."""
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             node, at = todo.pop()
             if not len(at):
                 continue
             if node < 0:
-                yield -1 - node, at
+                yield from self.deal_parts(-1 - node, points, at)
                 continue
             d = distances(points[at], self.vantage[node])
             todo.append((self.inside[node], at[d <= self.radius[node]]))
             todo.append((self.outside[node], at[d > self.radius[node] - self.max_bits]))
 
+    def deal_parts(self, shard: int, points: np.ndarray, at: np.ndarray):
+        first, parts = int(self.first[shard]), int(self.parts[shard])
+        if parts == 1:
+            yield first, at
+            return
+        # Multiplying spreads near points over the salts.
+        salt = (points[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+        of = [at[salt == np.uint64(i)] for i in range(parts)]
+        for j in range(1, parts):
+            for i in range(j):
+                both = np.concatenate((of[i], of[j]))
+                if len(both):
+                    yield first + j * (j - 1) // 2 + i, both
+
 
 class Forest:
     """Union-find over the points of a shard."""
@@ -155,6 +211,50 @@ class Forest:
                 self.up[max(a, b)] = min(a, b)
 
 
+def join_labels(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``up`` (least member of each point's component) after linking ``a`` with ``b``."""
+    while True:
+        a, b = up[a], up[b]
+        differ = a != b
+        if not differ.any():
+            return up
+        a, b = a[differ], b[differ]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up != (up := up[up])).any():
+            pass
+
+
+def near_labels(points: np.ndarray, max_bits: int) -> np.ndarray:
+    """The least member of each point's component, for a node that is not split further."""
+    n = len(points)
+    up, most = np.arange(n), -1
+    if n > LEAF and max_bits:
+        order = np.argsort(points)
+        ranked = points[order]
+        for bit in range(64):
+            other = ranked ^ np.uint64(1 << bit)
+            at = np.minimum(np.searchsorted(ranked, other), n - 1)
+            hit = ranked[at] == other
+            up = join_labels(up, order[hit], order[at[hit]])
+        most = int(np.bincount(up).argmax())
+    for i in range(0, n, LEAF):
+        rows = np.arange(i, min(n, i + LEAF))
+        if most >= 0:
+            # Rows of the largest component need no look: points outside it are compared with it.
+            rows = rows[up[rows] != up[most]]
+        found = []
+        for j in range(0, n if len(rows) else 0, LEAF):
+            a, b = np.nonzero(np.bitwise_count(points[rows, None] ^ points[j:j + LEAF]) <= max_bits)
+            a, b = up[rows[a]], up[b + j]
+            differ = a != b
+            if differ.any():
+                found.append(np.unique(a[differ] * n + b[differ]))
+        if found:
+            pairs = np.concatenate(found)
+            up = join_labels(up, pairs // n, pairs % n)
+    return up
+
+
 def link_all(points: np.ndarray, max_bits: int) -> Forest:
     """Links all points of a shard within ``max_bits``: the tree goes on down to leaves; a node that
     does not split (a dense group) is compared in blocks."""
@@ -163,19 +263,13 @@ def link_all(points: np.ndarray, max_bits: int) -> Forest:
     while todo:
         at = todo.pop()
         found = split(points[at], max_bits) if len(at) > LEAF else None
-        if found is not None and len(at) > 0:
+        if found is not None:
             d = distances(points[at], found[0])
-            inside, outside = at[d <= found[1]], at[d > found[1] - max_bits]
-            if max(len(inside), len(outside)) < 0.95 * len(at):
-                todo += [inside, outside]
-                continue
-        for i in range(0, len(at), LEAF):
-            rows = points[at[i:i + LEAF], None]
-            for j in range(i, len(at), LEAF):
-                a, b = np.nonzero(np.bitwise_count(rows ^ points[at[j:j + LEAF]]) <= max_bits)
-                if i == j:
-                    a, b = a[a < b], b[a < b]
-                forest.link(at[i:i + LEAF][a], at[j:j + LEAF][b])
+            todo += [at[d <= found[1]], at[d > found[1] - max_bits]]
+            continue
+        up = near_labels(points[at], max_bits)
+        linked = np.flatnonzero(up != np.arange(len(at)))
+        forest.link(at[linked], at[up[linked]])
     return forest
 
 
@@ -217,6 +311,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, shard: int = SHARD) -> Da
         rows = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * wanted)
         sample = np.sort(rows.select("fp").toArrow()["fp"].to_numpy().view(np.uint64))
         tree = Tree(sample, shards, max_bits)
+        tree.size_parts(n, shard)
     dealt = map_batches(points.select("fp"), deal_batch(tree), "shard bigint, fp bigint")
     return dealt.groupBy("shard").applyInArrow(shard_edges(max_bits), "a bigint, b bigint")
 

@@ -108,3 +108,56 @@ def test_keep_one_of_repeated_ids(spark):
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.text.lower() for r in kept.collect()) == ["a b c d", "something else entirely", "x y z w v"]
+
+
+def skewed_points(n, seed=4):
+    """A third of the distinct fingerprints in one ball, four flipped bits from its centre on average."""
+    rng = np.random.default_rng(seed)
+    ball = np.repeat(rng.integers(0, 2**63, 1, dtype=np.uint64), n)
+    flips = rng.poisson(4, n)
+    for i in range(flips.max()):
+        more = flips > i
+        ball[more] ^= np.uint64(1) << rng.integers(0, 64, more.sum()).astype(np.uint64)
+    ball = rng.permutation(np.unique(ball))[:n // 3]
+    return np.unique(np.concatenate([rng.integers(0, 2**63, 2 * len(ball), dtype=np.uint64) * 2, ball]))
+
+
+def test_tree_of_a_dense_ball_is_small():
+    points = skewed_points(6000)
+    tree = S.Tree(points[::2], 30, 3)
+    uniform = S.Tree(np.sort(np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64) * 2), 30, 3)
+    assert 20 < len(tree.vantage) < 2 * len(uniform.vantage)
+    assert sum(tree.weights) < 2 * sum(uniform.weights)
+    tree.size_parts(len(points), 300)
+    assert tree.parts.max() > 2
+    homes = [set() for _ in points]
+    for s, at in tree.deal(points):
+        assert len(at) < 900
+        for i in at:
+            homes[i].add(s)
+    assert all(homes)
+    for i in range(len(points)):
+        for j in np.flatnonzero(np.bitwise_count(points[i] ^ points) <= 3):
+            assert homes[i] & homes[j]
+
+
+def test_bounds_of_the_tree(monkeypatch):
+    points = skewed_points(6000)
+    monkeypatch.setattr(S, "MAX_NODES", 10)
+    tree = S.Tree(points, 60, 3)
+    assert len(tree.vantage) == 10 and tree.shards == 11
+
+
+def test_links_of_a_dense_ball(spark, monkeypatch):
+    points = skewed_points(6000)
+    monkeypatch.setattr(S, "LEAF", 256)
+    forest = S.link_all(points, 3)
+    want = brute_roots(points)
+    assert ([forest.root(i) for i in range(len(points))] == want).all()
+    table = cut_lineage(spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp bigint"))
+    roots = {r.node: r.root for r in S.components(S.links(table, 3, shard=600)).collect()}
+    groups = {}
+    for p, w in zip(points.view(np.int64).tolist(), want.tolist()):
+        groups.setdefault(w, set()).add(roots.get(p, p))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set().union(*groups.values())) == len(groups)
