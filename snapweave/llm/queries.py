@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, lm_score, mixing, packing, pii_scan, quality_rules, secret_scan, simhash, warc_index
+from . import exact_dedup, html_text, lm_score, mixing, packing, pii_scan, quality_rules, secret_scan, simhash, spelling, warc_index
 
 QUERIES = {
     "op1_temperature_mix": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii_scan": pii_scan.query,
     "op9_warc_index": warc_index.query,
     "op10_lm_score": lm_score.query,
+    "op11_spelling_variants": spelling.query,
 }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.sql(),
         "op6_exact_dedup": exact_dedup.SQL,
         "op9_warc_index": warc_index.SQL,
+        "op11_spelling_variants": spelling.SQL,
     }
