@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from helpers import CLASH, DOCS, LONG, SF, duck, edge_rows, write_tables  # noqa: E402
+from helpers import CLASH, DOCS, LONG, SF, duck, edge_rows, edge_vectors, write_tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def edge_dir(spark, tmp_path_factory):
@@ -21,12 +21,15 @@ def edge_dir(spark, tmp_path_factory):
          (None, None, None)], "page_id long, url string, html string").withColumn("id", F.lit("x")).withColumn("key", F.lit(1))
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (8, None, 0), (None, 1, 0), (99, 1, 1)],
                                    "doc_id long, quality int, toxic int")
-    return write_tables(spark, tmp_path_factory.mktemp("edge"), documents=docs, pages=pages, labels=labels)
+    vectors = spark.createDataFrame(edge_vectors(), "vec_id long, embedding array<float>")
+    vectors = vectors.select("*", *[F.lit("x").alias(c) for c in ("id", "v", "q", "rank", "score", "dim", "row", "column")])
+    return write_tables(spark, tmp_path_factory.mktemp("edge"), documents=docs, pages=pages, labels=labels,
+                        embeddings=vectors)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge_dir, tmp_path_factory):
-    frames = {t: spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0) for t in ("documents", "pages", "labels")}
+    frames = {t: spark.read.parquet(f"{edge_dir}/{t}.parquet").limit(0) for t in ("documents", "pages", "labels", "embeddings")}
     return write_tables(spark, tmp_path_factory.mktemp("empty"), **frames)
 
 

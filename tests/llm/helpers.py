@@ -4,12 +4,12 @@ import os
 
 import duckdb
 
-TABLES = ("documents", "pages", "labels", "benchmark")
+TABLES = ("documents", "pages", "labels", "benchmark", "embeddings")
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns named like columns that operators use inside.
 CLASH = ("id", "t", "w", "row", "digest", "fp", "split", "rank", "kept", "copies", "k", "epoch", "source_", "quality",
-         "salt", "norm", "end", "root")
+         "salt", "norm", "end", "root", "word", "run", "n", "a", "b")
 LONG = "lorem ipsum dolor sit amet " * 20_000
 
 
@@ -24,6 +24,15 @@ def edge_rows():
     ]
 
 
+def edge_vectors():
+    nan, inf = float("nan"), float("inf")
+    v = [1.0, 2.0, 3.0]
+    return [(0, v), (0, v), (0, [3.0, 2.0, 1.0]), (50, v), (100, [2.0, 4.0, 6.0]), (150, None), (200, []), (250, [0.0, -0.0, 0.0]),
+            (300, [1.0, None, 2.0]), (350, [1.0, nan, 2.0]), (400, [inf, 1.0, 1.0]), (None, v), (None, [-1.0, -2.0, -3.0]),
+            (450, [1.0, 2.0]), (500, [5.0]), (7, [2.0, 1.0]), (8, [1e-30, 2e-30, 2e-30]), (9, [3e30, 1e30, 0.0]), (-50, [-1.0, 0.0, 0.0]),
+            *[(i, v) for i in range(10, 30)], *[(i, [0.0, 1.0, float(i)]) for i in range(60, 140)]]
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     con.execute("SET threads TO 4")
