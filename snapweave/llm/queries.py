@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, lm_score, mixing, neighbours, packing, pii_scan, quality_rules, secret_scan, simhash, spelling, warc_index
+from . import (collocations, exact_dedup, html_text, lm_score, mixing, neighbours, packing, pii_scan, quality_rules, secret_scan,
+               simhash, spelling, warc_index)
 
 QUERIES = {
     "op1_temperature_mix": mixing.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_warc_index": warc_index.query,
     "op10_lm_score": lm_score.query,
     "op11_spelling_variants": spelling.query,
+    "op12_collocations": collocations.query,
     "op13_nearest_neighbours": neighbours.query,
 }
 
@@ -28,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.SQL,
         "op9_warc_index": warc_index.SQL,
         "op11_spelling_variants": spelling.SQL,
+        "op12_collocations": collocations.SQL,
         "op13_nearest_neighbours": neighbours.SQL,
     }
