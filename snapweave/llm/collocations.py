@@ -5,11 +5,13 @@ much more often it occurs than its two parts would together by chance.
 
 1. Chunks. Tasks turn texts into streams of word numbers, ``CHUNK`` words or more each (whole documents; a
    break after each piece), written once beside the chunk's sorted list of words with their counts.
-2. Orders. The counts of all chunks are summed and those that are frequent get a number. Each chunk gets
+2. Orders. The counts of all chunks are summed and words that are frequent get a number. Each chunk gets
    the numbers of its own frequent words back, and only those, and pairs neighbouring ones: an m-gram is
    named by the numbers of its first and of its last m-1 words, so a phrase is counted only where both of
-   these are frequent (a phrase is never more frequent than its parts, so none is lost). Neighbouring
-   frequent bigrams make trigrams, and so on; streams shrink with each order. Local counts come from sorting.
+   these are frequent (a phrase is never more frequent than its parts, so none is lost). A chunk sorts its
+   pairs in prefix order and sends each bucket of pairs (by a hash of the pair) one packed run of distinct pairs
+   and counts. A task merges the sorted runs of a bucket, numbers the frequent pairs, and answers each chunk
+   with one packed run. Neighbouring frequent bigrams make trigrams, and so on; streams shrink with each order.
 3. Lockstep merge. The frequent phrases of all orders are one count stream. Phrases with each of their
    cuts meet it in prefix order (first part: left counts) and in suffix order (rest: right counts) as
    sort-merge joins; an order's links to the one before, again merged, give the most frequent
@@ -17,9 +19,11 @@ much more often it occurs than its two parts would together by chance.
    it makes every phrase between them as frequent.
 4. Scores are whole numbers from decimals of 38 digits.
 
-Growth: chunk rows grow with the corpus and meet the counts in shuffle joins; nothing is broadcast by
-this module and the driver collects nothing. A task holds one chunk and its own words. The counts per
-language and extension are partial aggregates; the rank limit of a language applies before its shuffle.
+Growth: streams and runs grow with the corpus; nothing is broadcast by this module and the driver gets
+one sum for each order. A task holds a chunk with its words, or a bucket of about ``BUCKET`` pairs; a pair
+that fills the corpus is one entry of each chunk's run. There are chunks times buckets of runs, but
+never more than distinct pairs of chunks. Counts per language and extension are partial
+aggregates; the rank limit of a language applies before its shuffle.
 
 Defined cases: null and empty texts have no words; a null language counts as ``und``; ids do not matter and
 repeated rows count as often as they occur; equal scores go by count, then by the phrase's bytes; a
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,16 +42,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, drop_table, ship_package
-from .common import table
+from .common import mixed, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a chunk, bytes of text that are split at once.
 CHUNK, SLICE = 1_000_000, 1 << 22
+#: Pairs of all chunks that a task merges.
+BUCKET = 2_000_000
 BREAK = b"\xff"  # no byte of UTF-8
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 
 WORDS = "chunk bigint, lang string, stream binary, word binary, local int, n bigint"
-PAIRS = "chunk bigint, stream binary, first bigint, last bigint, local int, n bigint"
+PAIRS = "chunk bigint, bucket bigint, data binary"
+COUNTS = "chunk bigint, data binary, number bigint, first bigint, last bigint, f bigint"
 
 
 # --- chunks ------------------------------------------------------------------------------------
@@ -89,27 +97,36 @@ class Chunk:
         end = len(words) - 1
         counts = np.bincount(stream, minlength=end + 1)[:end]
         stream[stream == end] = -1
-        return {"chunk": chunk, "lang": lang, "stream": squeezed(stream), "columns": {
+        return {"chunk": chunk, "lang": lang, "stream": packed(squeezed(stream)), "columns": {
             "word": words.slice(0, end), "local": np.arange(end, dtype=np.int32), "n": counts}}
 
 
-def squeezed(stream: np.ndarray) -> bytes:
+def squeezed(stream: np.ndarray) -> np.ndarray:
     """Breaks in a row say no more than one."""
     keep = stream >= 0
     keep[1:] |= stream[:-1] >= 0
-    return stream[keep].astype("<i4").tobytes()
+    return stream[keep]
 
 
-def table_of(rows: list[dict], schema: pa.Schema):
-    """Record batches of a chunk: one row with its stream, one for each entry of its columns."""
-    for r in rows:
-        head = {k: v for k, v in r.items() if k != "columns"}
-        yield pa.RecordBatch.from_pydict({f.name: pa.array([head.get(f.name)], f.type) for f in schema}, schema=schema)
-        n = len(r["columns"]["n"])
-        head.pop("stream")
-        columns = [pa.array(r["columns"][f.name], f.type) if f.name in r["columns"]
-                   else pa.array([head.get(f.name)] * n, f.type) for f in schema]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+def packed(*columns: np.ndarray) -> bytes:
+    """Equally long columns of whole numbers, compressed; columns that rise are small as differences."""
+    steps = np.stack([np.diff(c.astype(np.int64), prepend=0) for c in columns])
+    return zstandard.compress(steps.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8")
+    return flat.reshape(columns, -1).cumsum(axis=1)
+
+
+def batches_of(row: dict, schema: pa.Schema):
+    """A chunk's record batches: a row with its stream, and one for each entry of its columns."""
+    head = {k: v for k, v in row.items() if k != "columns"}
+    yield pa.RecordBatch.from_pylist([head], schema=schema)
+    n = len(row["columns"]["n"])
+    head.pop("stream")
+    yield pa.RecordBatch.from_arrays([pa.array(row["columns"][f.name], f.type) if f.name in row["columns"]
+                                      else pa.array([head.get(f.name)] * n, f.type) for f in schema], schema=schema)
 
 
 def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) -> DataFrame:
@@ -122,7 +139,7 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
         def flushed():
             nonlocal number
             for lang, chunk in open_chunks.items():
-                yield from table_of([chunk.rows(task << 32 | number, lang)], schema)
+                yield from batches_of(chunk.rows(task << 32 | number, lang), schema)
                 number += 1
             open_chunks.clear()
 
@@ -141,71 +158,124 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
     return rows.filter("t IS NOT NULL").mapInArrow(run, WORDS)
 
 
-def paired(streams: pa.Table, numbers: pa.Table, schema: pa.Schema) -> pa.Table:
-    """The next order of a chunk: ``streams`` holds its stream, ``numbers`` the frequent entries."""
-    if not (streams.num_rows and numbers.num_rows):
-        return schema.empty_table()
-    stream = np.frombuffer(streams["stream"][0].as_py(), "<i4")
-    local = numbers["local"].to_numpy()
-    # Chunk-wide places of the frequent entries, in order of their numbers in the whole corpus.
-    number = np.sort(numbers["number"].to_numpy())
-    place = np.full(max(int(stream.max(initial=0)), int(local.max())) + 2, -1, np.int64)
-    place[local] = np.searchsorted(number, numbers["number"].to_numpy())
+# --- orders ------------------------------------------------------------------------------------
+
+def paired(chunk: int, stream: np.ndarray, local: np.ndarray, numbers: np.ndarray, buckets: int) -> list[dict]:
+    """The next order of a chunk: its stream, and its distinct pairs with their counts for each bucket.
+    ``local`` and ``numbers``: places in the chunk's list and numbers of the entries that are frequent."""
+    number = np.sort(numbers)
+    place = np.full(max(int(stream.max(initial=0)), int(local.max(initial=0))) + 2, -1, np.int64)
+    place[local] = np.searchsorted(number, numbers)
     now = place[stream]  # the last place is that of breaks (-1) and stays -1
     both = (now[:-1] >= 0) & (now[1:] >= 0)
     pair, at, counts = np.unique(now[:-1][both] * len(number) + now[1:][both], return_inverse=True, return_counts=True)
-    follow = np.full(len(both), -1, np.int32)
+    follow = np.full(len(both), -1, np.int64)
     follow[both] = at
-    rows = {"chunk": streams["of"][0].as_py(), "stream": squeezed(follow) if len(follow) else b"", "columns": {
-        "first": number[pair // len(number)], "last": number[pair % len(number)],
-        "local": np.arange(len(pair), dtype=np.int32), "n": counts}}
-    return pa.Table.from_batches(list(table_of([rows], schema)), schema=schema)
+    first, last = number[pair // max(1, len(number))], number[pair % max(1, len(number))]
+    bucket = (mixed(mixed(first) + last.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    out = [{"chunk": chunk, "bucket": None, "data": packed(squeezed(follow))}]
+    order = np.argsort(bucket, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        if len(some):
+            out.append({"chunk": chunk, "bucket": int(bucket[some[0]]),
+                        "data": packed(first[some], some, last[some], counts[some])})
+    return out
+
+
+def counted(bucket: int, chunks: list[int], data: list[bytes], least: int) -> list[dict]:
+    """All pairs of a bucket, merged in prefix order: the frequent ones with their numbers, and for each
+    chunk the numbers of those it holds."""
+    runs = [unpacked(d, 4) for d in data]
+    first, local, last, n = np.concatenate(runs, axis=1)
+    of = np.repeat(np.arange(len(runs)), [r.shape[1] for r in runs])
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order], starts)
+    often = sums >= least
+    number = np.where(often, np.cumsum(often) - 1 + (bucket << 32), -1)
+    out = [{"first": first[starts[often]], "last": last[starts[often]], "number": number[often], "f": sums[often]}]
+    each = np.empty(len(order), np.int64)
+    each[order] = np.repeat(number, np.diff(np.append(starts, len(order))))
+    told = np.flatnonzero(each >= 0)
+    for some in np.split(told, np.flatnonzero(np.diff(of[told])) + 1):
+        if len(some):
+            out.append({"chunk": chunks[of[some[0]]], "data": packed(local[some], each[some])})
+    return out
+
+
+def next_pairs(streams: DataFrame, numbers: DataFrame, tasks: int, buckets: int, packed_numbers: bool) -> DataFrame:
+    """``(chunk, bucket, data)``: streams (no bucket) and pairs of the next order. ``streams``: ``(chunk, data)``;
+    ``numbers``: ``(chunk, local, number)`` or ``(chunk, data)``."""
+    schema = to_arrow_schema(StructType.fromDDL(PAIRS))
 
+    def run(stream: pa.Table, told: pa.Table) -> pa.Table:
+        if not (stream.num_rows and told.num_rows):
+            return schema.empty_table()
+        if packed_numbers:
+            local, number = np.concatenate([unpacked(d, 2) for d in told["data"].to_pylist()], axis=1)
+        else:
+            local, number = told["local"].to_numpy(), told["number"].to_numpy()
+        return pa.Table.from_pylist(paired(stream["of"][0].as_py(), unpacked(stream["data"][0].as_py(), 1)[0], local, number,
+                                           buckets), schema=schema)
 
-# --- orders ------------------------------------------------------------------------------------
+    return streams.withColumnRenamed("chunk", "of").repartition(tasks, "of").groupBy("of").cogroup(
+        numbers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(run, PAIRS)
 
-def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """``(number, *key, f)`` of the keys that occur ``least`` times or more, as a written table."""
-    counts = rows.filter("n IS NOT NULL").groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return cut_lineage(counts.select(F.monotonically_increasing_id().alias("number"), *key, "f"))
 
+def next_counts(pairs: DataFrame, tasks: int, least: int) -> DataFrame:
+    """Frequent pairs ``(number, first, last, f)`` and answers to chunks ``(chunk, data)``, as one table."""
+    schema = to_arrow_schema(StructType.fromDDL(COUNTS))
 
-def next_order(rows: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
-    """Streams and pairs of the next order, columns as ``PAIRS``, as a written table."""
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    streams = rows.filter("stream IS NOT NULL").select(F.col("chunk").alias("of"), "stream")
-    numbers = rows.filter("n IS NOT NULL").join(counts, key).select("chunk", "local", "number")
-    schema = to_arrow_schema(StructType.fromDDL(PAIRS))
-    pairs = streams.repartition(tasks, "of").groupBy("of").cogroup(
-        numbers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(lambda s, n: paired(s, n, schema), PAIRS)
-    return cut_lineage(pairs)
+    def run(group: pa.Table) -> pa.Table:
+        found, *answers = counted(group["bucket"][0].as_py(), group["chunk"].to_pylist(), group["data"].to_pylist(), least)
+        n = len(found["f"])
+        rows = pa.table([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(n, f.type) for f in schema],
+                        schema=schema)
+        return pa.concat_tables([rows, pa.Table.from_pylist(answers, schema=schema)])
+
+    asked = pairs.filter("bucket IS NOT NULL")
+    return asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, COUNTS)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST,
-                  longest: int = LONGEST, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
+                  longest: int = LONGEST, chunk: int = CHUNK, bucket: int = BUCKET) -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``, and for each order a written table of its frequent phrases: ``lang, number, phrase, end``
     (its last word), ``f``, and from order 2 on ``first`` and ``last``, the numbers of the phrases
     without the last and without the first word."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     rows = cut_lineage(chunked(docs, text_col, lang_col, chunk))
-    sizes = cut_lineage(rows.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")))
-    counts = frequent(rows, ["lang", "word"], least)
+    words = rows.filter("n IS NOT NULL")
+    sizes = cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    counts = cut_lineage(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+                         .select(F.monotonically_increasing_id().alias("number"), "lang", "word", "f"))
     word = F.col("word").cast("string")
     orders = [counts.select("lang", "number", word.alias("phrase"), word.alias("end"), "f")]
-    key = ["lang", "word"]
-    for _ in range(longest - 1):
-        before, rows = rows, next_order(rows, counts, key)
-        drop_table(before)
-        key = ["first", "last"]
-        counts = frequent(rows, key, least)
+    streams = rows.filter("stream IS NOT NULL").select("chunk", F.col("stream").alias("data"))
+    numbers = words.join(counts, ["lang", "word"]).select("chunk", "local", "number")
+    used = [rows]
+    for order in range(2, longest + 1):
+        # A pair for each occurrence of a frequent phrase at most.
+        places = orders[-1].agg(F.sum("f")).first()[0] or 0
+        pairs = cut_lineage(next_pairs(streams, numbers, tasks, max(1, -(-places // bucket)), order > 2))
+        found = cut_lineage(next_counts(pairs, tasks, least))
+        for before in used:
+            drop_table(before)
+        used = [pairs, found]
+        streams = pairs.filter("bucket IS NULL").select("chunk", "data")
+        numbers = found.filter("data IS NOT NULL").select("chunk", "data")
         shorter = orders[-1]
         first = shorter.select("lang", F.col("number").alias("first"), F.col("phrase").alias("start"))
         last = shorter.select(F.col("number").alias("last"), "end")
-        named = counts.join(first, "first").join(last, "last")
+        named = found.filter("f IS NOT NULL").join(first, "first").join(last, "last")
         orders.append(cut_lineage(named.select("lang", "number", F.concat_ws(" ", "start", "end").alias("phrase"), "end", "f",
                                                "first", "last")))
-    drop_table(rows)
+    for before in used:
+        drop_table(before)
     return sizes, orders
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_table
-from .common import map_batches, table, text_or_empty
+from .common import map_batches, mixed, table, text_or_empty
 
 LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: One in so many occurrences has a letter deleted.
@@ -76,14 +76,6 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # --- signatures --------------------------------------------------------------------------------
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Well-mixed 64-bit hashes of 64-bit numbers."""
-    x = x.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return x ^ x >> np.uint64(31)
-
-
 class Letters:
     """The letters of a batch of words as flat arrays: code point, number of the word, place in it."""
 
