@@ -3,15 +3,15 @@
 A phrase of 2 to 5 words is a candidate if it occurs often enough; it is scored at its weakest cut by how
 much more often it occurs than its two parts would together by chance.
 
-1. Chunks. Tasks turn texts into streams of word numbers, ``CHUNK`` words or more each (whole documents; a
+1. Chunks. Tasks turn texts into streams of word places, ``CHUNK`` words or more each (whole documents; a
    break after each piece), written once beside the chunk's sorted list of words with their counts.
-2. Orders. The counts of all chunks are summed and words that are frequent get a number. Each chunk gets
-   the numbers of its own frequent words back, and only those, and pairs neighbouring ones: an m-gram is
+2. Orders. A chunk sends each bucket of words (by a hash of the word) one packed run of its distinct
+   words and counts. A task merges the runs of a bucket, numbers the words that are frequent, and answers
+   each chunk with the numbers of its own. The chunk pairs neighbouring frequent words; an m-gram is
    named by the numbers of its first and of its last m-1 words, so a phrase is counted only where both of
-   these are frequent (a phrase is never more frequent than its parts, so none is lost). A chunk sorts its
-   pairs in prefix order and sends each bucket of pairs (by a hash of the pair) one packed run of distinct pairs
-   and counts. A task merges the sorted runs of a bucket, numbers the frequent pairs, and answers each chunk
-   with one packed run. Neighbouring frequent bigrams make trigrams, and so on; streams shrink with each order.
+   these are frequent (a phrase is never more frequent than its parts, so none is lost). Pairs go the same
+   way, runs sorted in prefix order and merged by sorting; neighbouring frequent bigrams make trigrams,
+   and so on. Streams shrink with each order.
 3. Lockstep merge. The frequent phrases of all orders are one count stream. Phrases with each of their
    cuts meet it in prefix order (first part: left counts) and in suffix order (rest: right counts) as
    sort-merge joins; an order's links to the one before, again merged, give the most frequent
@@ -32,6 +32,8 @@ document longer than a chunk is a chunk of its own; an empty table gives no rows
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -47,12 +49,14 @@ from .common import mixed, table
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a chunk, bytes of text that are split at once.
 CHUNK, SLICE = 1_000_000, 1 << 22
-#: Pairs of all chunks that a task merges.
-BUCKET = 2_000_000
+#: Words or pairs of all chunks that a task merges.
+BUCKET = 1_000_000
 BREAK = b"\xff"  # no byte of UTF-8
 MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 
-WORDS = "chunk bigint, lang string, stream binary, word binary, local int, n bigint"
+CHUNKS = "chunk bigint, lang string, size bigint, entries bigint, stream binary, words binary, counts binary"
+WORD_RUNS = "bucket bigint, chunk bigint, lang string, words binary, data binary"
+WORD_COUNTS = "chunk bigint, data binary, lang string, number bigint, word binary, f bigint"
 PAIRS = "chunk bigint, bucket bigint, data binary"
 COUNTS = "chunk bigint, data binary, number bigint, first bigint, last bigint, f bigint"
 
@@ -85,20 +89,23 @@ class Chunk:
             self.runs.append(pa.array(some, pa.binary()).dictionary_encode())
             self.words += len(some)
 
-    def rows(self, chunk: int, lang: str) -> dict:
+    def row(self, chunk: int, lang: str) -> dict:
         runs = pa.chunked_array(self.runs).unify_dictionaries()
-        words = runs.chunk(0).dictionary
+        words = np.array(runs.chunk(0).dictionary.to_pylist(), object)
         local = np.concatenate([c.indices.to_numpy() for c in runs.chunks])
-        order = np.array(words.to_pylist(), object).argsort()
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        stream, words = place[local], words.take(pa.array(order))
-        # The break's byte is beyond all of UTF-8, so it sorts last.
-        end = len(words) - 1
-        counts = np.bincount(stream, minlength=end + 1)[:end]
-        stream[stream == end] = -1
-        return {"chunk": chunk, "lang": lang, "stream": packed(squeezed(stream)), "columns": {
-            "word": words.slice(0, end), "local": np.arange(end, dtype=np.int32), "n": counts}}
+        counts = np.bincount(local, minlength=len(words))
+        counts[words == BREAK] = -1
+        # Frequent words have small places, the break the last one.
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        stream = place[local]
+        stream[stream == len(words) - 1] = -1
+        words, counts = words[order[:-1]], counts[order[:-1]]
+        ranked = words.argsort()
+        return {"chunk": chunk, "lang": lang, "size": int(counts.sum()), "entries": len(words),
+                "stream": packed(squeezed(stream)), "words": joined(words[ranked]),
+                "counts": packed(ranked, counts[ranked])}
 
 
 def squeezed(stream: np.ndarray) -> np.ndarray:
@@ -108,30 +115,30 @@ def squeezed(stream: np.ndarray) -> np.ndarray:
     return stream[keep]
 
 
+def joined(words) -> bytes:
+    """Words in order, compressed; no word holds a line feed."""
+    return zstandard.compress(b"\n".join(words), 1)
+
+
 def packed(*columns: np.ndarray) -> bytes:
-    """Equally long columns of whole numbers, compressed; columns that rise are small as differences."""
-    steps = np.stack([np.diff(c.astype(np.int64), prepend=0) for c in columns])
-    return zstandard.compress(steps.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+    """Equally long columns of whole numbers, compressed by bytes of equal weight."""
+    whole = np.stack([c.astype(np.int64) for c in columns])
+    return zstandard.compress(whole.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
 
 
 def unpacked(data: bytes, columns: int) -> np.ndarray:
     flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8")
-    return flat.reshape(columns, -1).cumsum(axis=1)
+    return flat.reshape(columns, -1)
 
 
-def batches_of(row: dict, schema: pa.Schema):
-    """A chunk's record batches: a row with its stream, and one for each entry of its columns."""
-    head = {k: v for k, v in row.items() if k != "columns"}
-    yield pa.RecordBatch.from_pylist([head], schema=schema)
-    n = len(row["columns"]["n"])
-    head.pop("stream")
-    yield pa.RecordBatch.from_arrays([pa.array(row["columns"][f.name], f.type) if f.name in row["columns"]
-                                      else pa.array([head.get(f.name)] * n, f.type) for f in schema], schema=schema)
+def steps(rising: np.ndarray) -> np.ndarray:
+    """The differences of sorted numbers, which pack better; sums restore them."""
+    return np.diff(rising, prepend=0)
 
 
 def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) -> DataFrame:
-    """Streams and words of all chunks, columns as ``WORDS``."""
-    schema = to_arrow_schema(StructType.fromDDL(WORDS))
+    """All chunks: streams, lists of words, and counts, columns as ``CHUNKS``."""
+    schema = to_arrow_schema(StructType.fromDDL(CHUNKS))
 
     def run(batches):
         task, number, open_chunks, held = TaskContext.get().partitionId(), 0, {}, 0
@@ -139,7 +146,7 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
         def flushed():
             nonlocal number
             for lang, chunk in open_chunks.items():
-                yield from batches_of(chunk.rows(task << 32 | number, lang), schema)
+                yield pa.RecordBatch.from_pylist([chunk.row(task << 32 | number, lang)], schema=schema)
                 number += 1
             open_chunks.clear()
 
@@ -155,11 +162,61 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
         yield from flushed()
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("t"))
-    return rows.filter("t IS NOT NULL").mapInArrow(run, WORDS)
+    return rows.filter("t IS NOT NULL").mapInArrow(run, CHUNKS)
 
 
 # --- orders ------------------------------------------------------------------------------------
 
+def runs_of(buckets: np.ndarray):
+    """``(bucket, its entries)`` of each bucket that has some, entries in order."""
+    order = np.argsort(buckets, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
+        if len(some):
+            yield int(buckets[some[0]]), some
+
+
+def word_runs(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The words of each chunk as a run ``(bucket, chunk, lang, words, data)`` for each bucket."""
+    schema = to_arrow_schema(StructType.fromDDL(WORD_RUNS))
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                words = zstandard.decompress(r["words"]).split(b"\n") if r["entries"] else []
+                local, n = unpacked(r["counts"], 2)
+                of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                rows = [{"bucket": bucket, "chunk": r["chunk"], "lang": r["lang"], "words": joined([words[i] for i in some]),
+                         "data": packed(local[some], n[some])} for bucket, some in runs_of(of)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return chunks.select("chunk", "lang", "entries", "words", "counts").mapInArrow(run, WORD_RUNS)
+
+
+def counted_words(rows: list[dict], least: int) -> list[dict]:
+    """All words of a bucket: those that are frequent with their numbers, and for each chunk the numbers of
+    those it holds."""
+    out, told, number = [], [], rows[0]["bucket"] << 32
+    for lang in sorted({r["lang"] for r in rows}):
+        some = [r for r in rows if r["lang"] == lang]
+        lists = [zstandard.decompress(r["words"]).split(b"\n") for r in some]
+        words = pa.chunked_array([pa.array(x, pa.binary()) for x in lists]).combine_chunks().dictionary_encode()
+        at = words.indices.to_numpy()
+        local, n = np.concatenate([unpacked(r["data"], 2) for r in some], axis=1)
+        sums = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(sums, at, n)
+        often = np.flatnonzero(sums >= least)
+        numbers = np.full(len(sums), -1, np.int64)
+        numbers[often] = number + np.arange(len(often))
+        number += len(often)
+        out += [{"lang": lang, "word": w, "number": k, "f": f} for w, k, f in zip(
+            words.dictionary.take(pa.array(often)).to_pylist(), numbers[often].tolist(), sums[often].tolist())]
+        ends = np.cumsum([len(x) for x in lists])
+        for r, a, b in zip(some, ends - [len(x) for x in lists], ends):
+            mine = numbers[at[a:b]]
+            told.append({"chunk": r["chunk"], "data": packed(local[a:b][mine >= 0], mine[mine >= 0])})
+    return out + told
+
+
 def paired(chunk: int, stream: np.ndarray, local: np.ndarray, numbers: np.ndarray, buckets: int) -> list[dict]:
     """The next order of a chunk: its stream, and its distinct pairs with their counts for each bucket.
     ``local`` and ``numbers``: places in the chunk's list and numbers of the entries that are frequent."""
@@ -174,19 +231,16 @@ def paired(chunk: int, stream: np.ndarray, local: np.ndarray, numbers: np.ndarra
     first, last = number[pair // max(1, len(number))], number[pair % max(1, len(number))]
     bucket = (mixed(mixed(first) + last.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     out = [{"chunk": chunk, "bucket": None, "data": packed(squeezed(follow))}]
-    order = np.argsort(bucket, kind="stable")
-    for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if len(some):
-            out.append({"chunk": chunk, "bucket": int(bucket[some[0]]),
-                        "data": packed(first[some], some, last[some], counts[some])})
-    return out
+    return out + [{"chunk": chunk, "bucket": b, "data": packed(steps(first[some]), steps(some), last[some], counts[some])}
+                  for b, some in runs_of(bucket)]
 
 
 def counted(bucket: int, chunks: list[int], data: list[bytes], least: int) -> list[dict]:
     """All pairs of a bucket, merged in prefix order: the frequent ones with their numbers, and for each
     chunk the numbers of those it holds."""
     runs = [unpacked(d, 4) for d in data]
-    first, local, last, n = np.concatenate(runs, axis=1)
+    first, local = (np.concatenate([r[i].cumsum() for r in runs]) for i in (0, 1))
+    last, n = (np.concatenate([r[i] for r in runs]) for i in (2, 3))
     of = np.repeat(np.arange(len(runs)), [r.shape[1] for r in runs])
     order = np.lexsort((last, first))
     first, last = first[order], last[order]
@@ -200,24 +254,18 @@ def counted(bucket: int, chunks: list[int], data: list[bytes], least: int) -> li
     each = np.empty(len(order), np.int64)
     each[order] = np.repeat(number, np.diff(np.append(starts, len(order))))
     told = np.flatnonzero(each >= 0)
-    for some in np.split(told, np.flatnonzero(np.diff(of[told])) + 1):
-        if len(some):
-            out.append({"chunk": chunks[of[some[0]]], "data": packed(local[some], each[some])})
-    return out
+    return out + [{"chunk": chunks[run], "data": packed(local[told[some]], each[told[some]])} for run, some in runs_of(of[told])]
 
 
-def next_pairs(streams: DataFrame, numbers: DataFrame, tasks: int, buckets: int, packed_numbers: bool) -> DataFrame:
-    """``(chunk, bucket, data)``: streams (no bucket) and pairs of the next order. ``streams``: ``(chunk, data)``;
-    ``numbers``: ``(chunk, local, number)`` or ``(chunk, data)``."""
+def next_pairs(streams: DataFrame, numbers: DataFrame, tasks: int, buckets: int) -> DataFrame:
+    """``(chunk, bucket, data)``: streams (no bucket) and pairs of the next order. ``streams``, ``numbers``:
+    ``(chunk, data)``."""
     schema = to_arrow_schema(StructType.fromDDL(PAIRS))
 
     def run(stream: pa.Table, told: pa.Table) -> pa.Table:
         if not (stream.num_rows and told.num_rows):
             return schema.empty_table()
-        if packed_numbers:
-            local, number = np.concatenate([unpacked(d, 2) for d in told["data"].to_pylist()], axis=1)
-        else:
-            local, number = told["local"].to_numpy(), told["number"].to_numpy()
+        local, number = np.concatenate([unpacked(d, 2) for d in told["data"].to_pylist()], axis=1)
         return pa.Table.from_pylist(paired(stream["of"][0].as_py(), unpacked(stream["data"][0].as_py(), 1)[0], local, number,
                                            buckets), schema=schema)
 
@@ -248,20 +296,24 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark = docs.sparkSession
     ship_package(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    rows = cut_lineage(chunked(docs, text_col, lang_col, chunk))
-    words = rows.filter("n IS NOT NULL")
-    sizes = cut_lineage(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    counts = cut_lineage(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-                         .select(F.monotonically_increasing_id().alias("number"), "lang", "word", "f"))
+    chunks = cut_lineage(chunked(docs, text_col, lang_col, chunk))
+    sizes = cut_lineage(chunks.groupBy("lang").agg(F.sum("size").alias("n")))
+    buckets = -(-(chunks.agg(F.sum("entries")).first()[0] or 1) // bucket)
+    schema = to_arrow_schema(StructType.fromDDL(WORD_COUNTS))
+
+    def run(group: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(counted_words(group.to_pylist(), least), schema=schema)
+
+    counts = cut_lineage(word_runs(chunks, buckets).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, WORD_COUNTS))
     word = F.col("word").cast("string")
-    orders = [counts.select("lang", "number", word.alias("phrase"), word.alias("end"), "f")]
-    streams = rows.filter("stream IS NOT NULL").select("chunk", F.col("stream").alias("data"))
-    numbers = words.join(counts, ["lang", "word"]).select("chunk", "local", "number")
-    used = [rows]
-    for order in range(2, longest + 1):
+    orders = [cut_lineage(counts.filter("f IS NOT NULL").select("lang", "number", word.alias("phrase"), word.alias("end"), "f"))]
+    streams = chunks.select("chunk", F.col("stream").alias("data"))
+    numbers = counts.filter("data IS NOT NULL").select("chunk", "data")
+    used = [chunks, counts]
+    for _ in range(longest - 1):
         # A pair for each occurrence of a frequent phrase at most.
         places = orders[-1].agg(F.sum("f")).first()[0] or 0
-        pairs = cut_lineage(next_pairs(streams, numbers, tasks, max(1, -(-places // bucket)), order > 2))
+        pairs = cut_lineage(next_pairs(streams, numbers, tasks, max(1, -(-places // bucket))))
         found = cut_lineage(next_counts(pairs, tasks, least))
         for before in used:
             drop_table(before)
