@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -50,6 +51,8 @@ BLOCK_LINES = 3000
 FILE_LINES = 100_000
 OPEN_FILES = 64
 LEVEL = 1
+#: Characters that keys and headers hold only percent-encoded.
+UNSAFE = re.compile("[\\x00-\\x20\\x7f]")
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -57,19 +60,22 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # --- records -----------------------------------------------------------------------------------
 
 def url_key(url: str) -> str:
-    """The URL with its host reversed by labels, lower-cased, without scheme, user and port."""
+    """The URL with its host reversed by labels, lower-cased, without scheme, user and port. Spaces and
+    control characters are percent-encoded, so that no key holds the index's separators or sorts below
+    them."""
     try:
         parts = urlsplit(url)
         host = (parts.hostname or "").rstrip(".")
+        path = parts.path or "/"
+        key = ",".join(reversed(host.split("."))) + ")" + path + ("?" + parts.query if parts.query else "")
     except ValueError:
-        return ")" + url
-    path = parts.path or "/"
-    return ",".join(reversed(host.split("."))) + ")" + path + ("?" + parts.query if parts.query else "")
+        key = ")" + url
+    return UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", key)
 
 
 def clean(url: str) -> str:
-    """A header value: no line ends."""
-    return url.replace("\r", "%0D").replace("\n", "%0A")
+    """A header value: no line ends or other control characters, no space at its ends."""
+    return UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)
 
 
 def record_id(page: str) -> str:
@@ -329,8 +335,13 @@ def look_ups(archive: Archive, keys: DataFrame) -> DataFrame:
 
 
 def read_all(archive: Archive) -> DataFrame:
-    """Every record of the archive, read back through the index."""
-    return look_ups(archive, archive.lines.select("key").distinct())
+    """Every record of the archive, read back through the index, as a written table; raises if any
+    record that was written is not found, or is found twice."""
+    found = cut_lineage(look_ups(archive, archive.lines.select("key").distinct()))
+    written, read = archive.lines.count(), found.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written and {read} read back")
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def edge_dir(spark, tmp_path_factory):
          (3, "not a url \n", "plain text & more"), (4, "http://c.example/", "<p>" + "same payload " * 100),
          (5, "http://c.example/", "<p>" + "same payload " * 100), (5, "http://c.example/", "<p>" + "same payload " * 100),
          (6, "http://[bad/", "<p>" + "same payload " * 100), (7, "http://d.example/", "<article><p>" + LONG),
+         (8, "http://a.com/x", "p"), (9, "http://a.com/x 5\x01z", "q"), (10, "http://[bad\tx", "r"), (11, "http://b.com/\x00", "s"),
          (None, None, None)], "page_id long, url string, html string").withColumn("id", F.lit("x")).withColumn("key", F.lit(1))
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (8, None, 0), (None, 1, 0), (99, 1, 1)],
                                    "doc_id long, quality int, toxic int")

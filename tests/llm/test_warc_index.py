@@ -11,6 +11,8 @@ def test_url_keys():
     assert W.url_key("http://www.Example.com:80/a/b?q=1") == "com,example,www)/a/b?q=1"
     assert W.url_key("https://example.com") == "com,example)/"
     assert W.url_key("http://[bad/") == ")http://[bad/"
+    assert W.url_key("http://[bad\tx y") == ")http://[bad%09x%20y"
+    assert W.url_key("http://a.com/x 5\x01z\x7f") == "com,a)/x%205%01z%7F"
 
 
 def test_record_round_trip():
@@ -48,3 +50,29 @@ def test_keys_that_span_blocks(spark, tmp_path, monkeypatch, lines):
                                   "page_id long, url string, html string").coalesce(1)
     archive = W.write_archive(pages, f"file://{tmp_path}/archive")
     assert W.read_all(archive).count() == 11
+
+
+ODD = ["http://a.com/x", "http://a.com/x 5\x01z", "http://b.com/", "http://[bad\tx", "http://[bad", "http://a.com/x\x01", "http://a.com/x\t",
+       "http://a.com/x\x00y", " http://a.com/ ", "\t", "\x7f", "http://a.com/x!", "http://a.com/\r\nWARC-Type: x", "", None, "http://a b.com/",
+       "http://a.com/\u2028\x85é", "http://user:p w@a.com:99999/", "http://a.com:bad/", "http://\x01\x02/", "a\x1fb"]
+
+
+@pytest.mark.parametrize("lines, parts", [(1, 1), (2, 3), (3000, 1)])
+def test_odd_urls_lose_no_record(spark, tmp_path, monkeypatch, lines, parts):
+    monkeypatch.setattr(W, "BLOCK_LINES", lines)
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(ODD * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    archive = W.write_archive(pages, f"file://{tmp_path}/archive")
+    found = W.read_all(archive).collect()
+    assert sorted(int(r["headers_id"][10:-1]) for r in found) == list(range(len(rows)))
+    for r in found:
+        body = rows[int(r["headers_id"][10:-1])][2].encode()
+        assert r["intact"] and r["payload_digest"] == hashlib.sha1(body).hexdigest() and r["payload_bytes"] == len(body)
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x") for i in range(5)], "page_id long, url string, html string")
+    archive = W.write_archive(pages, f"file://{tmp_path}/archive")
+    more = W.Archive(archive.lines.unionByName(archive.lines.limit(1)), archive.directory)
+    with pytest.raises(RuntimeError, match="6 records were written and 5 read back"):
+        W.read_all(more)
