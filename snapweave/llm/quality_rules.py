@@ -12,9 +12,6 @@ guarantee that at most ``max_false`` of a stratum's good texts are rejected; the
 with the largest ``bad rejected - 10 * good rejected``, the more lenient of equals, and none if
 that is not positive. A stratum with too few labels to certify anything keeps all it has.
 
-Beyond 10,000 rejected good texts the binomial sum gives way to the Chernoff bound, which is never
-smaller, so the guarantee stays.
-
 Three-word windows are compared by 64-bit hashes within one text.
 
 Defined cases: null text has no words and fails the base rule; null strata count as ''; labels
@@ -106,18 +103,28 @@ def measure(rule: str) -> Column:
     return F.expr(RULES[rule][0]).cast("double")
 
 
+def log_factorial(n: Column) -> Column:
+    """``ln(n!)`` by Stirling's series at ``n + 9``, less the factors in between."""
+    z = n.cast("double") + 9.0
+    series = 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - 1 / (1680 * z ** 7)
+    between = F.lit(0.0)
+    for i in range(1, 9):
+        between = between + F.log(n + F.lit(float(i)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - between
+
+
 def too_few(k: Column, n: Column, limit: float) -> Column:
-    """P(X <= k) of a binomial with ``n`` trials of chance ``limit``, 1 where k exceeds its mean."""
+    """P(X <= k) of a binomial with ``n`` trials of chance ``limit``, 1 where k reaches its mean. Summed
+    downwards from ``k`` in log space; terms 12 standard deviations below the largest no longer matter."""
     odds, miss = math.log(limit / (1 - limit)), math.log1p(-limit)
-    step = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), k),
-        F.struct((n * F.lit(miss)).alias("term"), F.lit(0.0).alias("total")),
-        lambda s, i: F.struct(
-            (s["term"] + F.log((n - i) / (i + 1)) + F.lit(odds)).alias("term"),
-            (s["total"] + F.exp(s["term"])).alias("total")))["total"]
-    share = k / n
-    chernoff = F.exp(-n * (share * F.log(share / limit) + (1 - share) * F.log((1 - share) / (1 - limit))))
-    return F.when((n == 0) | (k >= n * limit), F.lit(1.0)).when(k <= 10_000, step).otherwise(chernoff)
+    largest = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.lit(odds) + n * F.lit(miss)
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * F.lit(limit))) + 64)
+    total = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), terms),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
+        lambda s, i: F.struct((s["term"] * ((k - i) / (n - k + i + 1)) * F.lit(math.exp(-odds))).alias("term"),
+                              (s["total"] + s["term"]).alias("total")))["total"]
+    return F.when((n == 0) | (k >= n * limit), F.lit(1.0)).otherwise(F.exp(largest) * total)
 
 
 def cutoffs(labelled: DataFrame, max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
@@ -179,11 +186,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns; texts are not shuffled."""
-    cut = fitted(docs, labels)
-    rows = rows_of(docs, text=F.col("text"), lang=text_or_empty("lang"))
-    f = features(rows, keep=[F.col("row"), F.col("lang")])
-    return f.join(cut, f["_1"] == cut["stratum"], "left").filter(verdict()).select("_0.*")
+    """The rows of ``docs`` that the rules keep, all columns; texts are not shuffled. Rows and counts are
+    written once, for the fit (which reads the counts alone) and for the verdicts."""
+    rows = rows_of(docs, id=F.col("doc_id"), text=F.col("text"), lang=text_or_empty("lang"))
+    f = cut_lineage(features(rows, keep=[F.col("id"), F.col("lang"), F.col("row")]))
+    cut = fitted(docs, labels, f)
+    return f.join(cut, f["_1"] == cut["stratum"], "left").filter(verdict()).select("_2.*")
 
 
 def query(spark, sf_dir):
