@@ -7,7 +7,9 @@ footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) ha
 id is a cue as a whole name (``related-posts``, not ``related-work``); ids of headings, paragraphs and
 sections, which generators make from headings, only if they name a page part for certain. Doubtful
 cues (forms, headers of articles, a class that only starts or ends with a cue word, topic words) hold
-unless the element has a line of prose in the content cluster of the article. The ratios are smoothed with a Gaussian and clustered by a threshold, their standard deviation; lines at
+unless the element has a line of prose in the content cluster of the article. No cue holds for an element with
+nearly all of the page's content (computed as if there were no cues) if no prose of an article is outside of
+it; a main role and the common classes of articles count as the element. The ratios are smoothed with a Gaussian and clustered by a threshold, their standard deviation; lines at
 or above it are content. The content lines select the region of the page: the article or main
 elements if they hold most of the content's characters (main if it holds more than its articles do),
 else the smallest container that holds all of them; a headline outside belongs to it. The text is every line
@@ -17,7 +19,8 @@ article and does not thin it out.
 Defined cases: null html counts as empty and gives the empty text; a page without markup is one
 line; unclosed and stray tags are tolerated; character references are decoded; null ids and URLs pass
 through; repeated rows are extracted one by one; an empty table gives no rows; other columns do not
-matter. A page is held in memory by one task at a time.
+matter. A page is held in memory by one task at a time; time and memory are linear in its size, however deep
+its elements are.
 """
 
 from __future__ import annotations
@@ -67,13 +70,18 @@ DOUBT = frozenset("notice notices alert disclaimer discussion respond".split())
 SURE = frozenset("comments disqus_thread related-posts related-articles related-stories related-content related-links "
                  "cookie-notice cookie-banner cookie-consent share-buttons social-links social-share sidebar footer "
                  "navbar breadcrumbs newsletter-signup".split())
+#: Prefixes that page software gives its names.
+VENDORS = frozenset("jp wp fb js".split())
+#: Classes that say an element is the article, as the element does.
+ARTICLES = frozenset("hentry h-entry entry-content post-body".split())
 BLOCKS = frozenset("div section td center fieldset table tbody tr ul ol dl aside article form".split())
 NO, DOUBTFUL, SOFT, CUE, HIDDEN = range(5)
 #: Least characters of a line that answers for a doubtful element, and how many times more of them than
 #: of other content make such elements the page's text.
 PROSE, OUTWEIGH = 40, 3
-#: Share of the content's characters that elements must hold to be the page's text.
-MOST = 0.9
+#: Share of the content's characters that elements must hold to be the page's text, or to be no boilerplate
+#: whatever their names say.
+MOST, NEARLY = 0.9, 0.95
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -84,11 +92,13 @@ BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset foo
 RADIUS, SIGMA = 2, 1.0
 
 
-class Line:
-    __slots__ = ("text", "tags", "path", "skip", "doubts", "heading")
-
-    def __init__(self, text, tags, path, skip, doubts, heading):
-        self.text, self.tags, self.path, self.skip, self.doubts, self.heading = text, tags, path, skip, doubts, heading
+def compound(word: str) -> list[str]:
+    """A name's part as its two words, where it is a cue word and a place run together."""
+    if word not in CUES | COMMENTS | PLACES:
+        for i in range(2, len(word)):
+            if word[:i] in CUES | COMMENTS and word[i:] in PLACES:
+                return [word[:i], word[i:]]
+    return [word]
 
 
 def cue(name: str, tag: str, is_id: bool, section: bool) -> int:
@@ -97,7 +107,9 @@ def cue(name: str, tag: str, is_id: bool, section: bool) -> int:
         return CUE if name.lower() in SURE else NO
     if is_id and tag not in BLOCKS:
         return NO
-    parts = [p.lower() for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
+    parts = [q for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p for q in compound(p.lower())]
+    if len(parts) > 1 and parts[0] in VENDORS:
+        del parts[0]
     if not parts or not {"has", "with", "no"}.isdisjoint(parts):
         return NO
     ends = {parts[0], parts[-1]}
@@ -113,34 +125,47 @@ def cue(name: str, tag: str, is_id: bool, section: bool) -> int:
     return HIDDEN if comments else CUE
 
 
-def boilerplate(tag: str, attrs: list, in_article: bool) -> int:
+def boilerplate(tag: str, attrs: list, in_article: bool) -> tuple[int, bool]:
     """``NO``; ``DOUBTFUL``: unless it holds prose of the article; ``SOFT``: unless it holds an article;
-    ``CUE``: an article in it is in doubt; ``HIDDEN``: whatever it holds."""
+    ``CUE``: an article in it is in doubt; ``HIDDEN``: whatever it holds. And whether a class, id or role
+    alone says so."""
     if tag in HARD:
-        return HIDDEN
+        return HIDDEN, False
     level = {"header": DOUBTFUL if in_article else SOFT, "form": DOUBTFUL}.get(tag, NO)
     names: list[tuple[str, bool]] = []
+    by_name = NO
     for k, v in attrs:
         v = v or ""
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            return HIDDEN
+            return HIDDEN, False
         if k == "role" and v in ROLES:
-            level = CUE
+            by_name = CUE
         if k in ("class", "id"):
             names += [(n, k == "id") for n in v.split()]
     # Document generators mark sections by the element or by a class.
     section = tag == "section" or any(not i and re.fullmatch(r"section|level[1-6]|sect[1-6]", n) for n, i in names)
-    return max([level, *[cue(n, tag, i, section) for n, i in names]])
+    by_name = max([by_name, *[cue(n, tag, i, section) for n, i in names]])
+    return max(level, by_name), by_name > max(level, DOUBTFUL)
+
+
+class Line:
+    """A line's text, its tags, and the element it is in; once the page is read, whether it is off and
+    its chain of doubtful elements."""
+
+    __slots__ = ("text", "tags", "element", "skip", "doubts")
+
+    def __init__(self, text, tags, element):
+        self.text, self.tags, self.element, self.skip, self.doubts = text, tags, element, False, 0
 
 
-class Lines(HTMLParser):
-    """Collects the lines of a page."""
+class Page(HTMLParser):
+    """The lines of a page and its elements, which have numbers: a parent's is less than its child's."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # Tag, element number, boilerplate level, the doubtful elements it is or is in.
-        self.open: list[tuple[str, int, int, tuple[int, ...]]] = [("html", 0, NO, ())]
-        self.kinds = ["html"]
+        self.kinds, self.parents, self.levels, self.named, self.tags_of = ["html"], [0], [NO], [False], ["html"]
+        self.open = [0]
+        self.places = {"html": [0]}  # where in ``open`` the elements of a tag are
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -149,9 +174,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            tags = [x[0] for x in self.open]
-            self.lines.append(Line(text, self.tags, tuple(x[1] for x in self.open), self.open[-1][2] > DOUBTFUL,
-                                   self.open[-1][3], "h1" in tags))
+            self.lines.append(Line(text, self.tags, self.open[-1]))
             self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -160,33 +183,41 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if tag in ("html", "body") and any(x[0] == tag for x in self.open) or tag in VOID:
+        if tag in ("html", "body") and self.places.get(tag) or tag in VOID:
             return
         self.close_implied(tag)
-        level = boilerplate(tag, attrs, tag == "header" and any(x[0] in CONTENT for x in self.open))
-        number, (_, _, above, doubts) = len(self.kinds), self.open[-1]
-        if tag == "main" and above < HIDDEN:
-            above, doubts = NO, ()
-        elif tag == "article" and above < HIDDEN:
-            doubts = tuple(n for n in doubts if self.kinds[n] != "form")
-            if above == CUE:
-                doubts += (number,)
-            above = NO
-        if level == DOUBTFUL:
-            level, doubts = NO, doubts + (number,)
-        self.open.append((tag, number, max(level, above), doubts))
-        self.kinds.append(tag)
+        kind = tag
+        for k, v in attrs:
+            if k == "role" and v == "main":
+                kind = "main"
+            elif k == "class" and kind not in CONTENT and not ARTICLES.isdisjoint((v or "").lower().split()):
+                kind = "article"
+        inside = tag == "header" and any(self.places.get(k) for k in CONTENT)
+        level, named = boilerplate(tag, attrs, inside)
+        if kind != tag and named:
+            level, named = NO, False
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(len(self.kinds))
+        self.parents.append(self.open[-2])
+        for values, value in ((self.kinds, kind), (self.levels, level), (self.named, named), (self.tags_of, tag)):
+            values.append(value)
+
+    def close(self, at: int | None = None):
+        """Closes the elements from place ``at`` on; without one, ends the page."""
+        if at is None:
+            super().close()
+            return
+        for n in self.open[at:]:
+            self.places[self.tags_of[n]].pop()
+        del self.open[at:]
+
+    def last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
 
     def close_implied(self, tag):
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS_CLOSE_P else set())
-        if not ends:
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in ends:
-                del self.open[i:]
-                return
-            if self.open[i][0] in SCOPES:
-                return
+        if ends and (at := self.last(ends)) > 0 and at >= self.last(SCOPES):
+            self.close(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -197,15 +228,101 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if (at := self.last((tag,))) > 0:
+            self.close(at)
 
     def handle_data(self, data):
-        if self.open[-1][0] not in UNSEEN:
+        if self.tags_of[self.open[-1]] not in UNSEEN:
             self.parts.append(data)
 
+    # --- the page once it is read ---
+
+    def tops(self, kind: str) -> list[int]:
+        """For each element the outermost one of ``kind`` that it is or is in, -1 if none."""
+        out = []
+        for n, (k, up) in enumerate(zip(self.kinds, self.parents)):
+            above = out[up] if n else -1
+            out.append(above if above >= 0 else n if k == kind else -1)
+        return out
+
+    def within(self, marked) -> list[bool]:
+        out = []
+        for n, up in enumerate(self.parents):
+            out.append(n in marked or n > 0 and out[up])
+        return out
+
+    def sums(self, weights: dict[int, int] | list[int]) -> list[int]:
+        """The weight of each element with all that is in it."""
+        total = [0] * len(self.kinds)
+        for n, w in weights.items():
+            total[n] += w
+        for n in range(len(total) - 1, 0, -1):
+            total[self.parents[n]] += total[n]
+        return total
+
+    def weighed(self, lines) -> list[int]:
+        weights: dict[int, int] = {}
+        for x in lines:
+            weights[x.element] = weights.get(x.element, 0) + len(x.text)
+        return self.sums(weights)
+
+    def judge(self, void: set[int]) -> None:
+        """Sets what lines are off or in doubt; cues of the elements of ``void`` do not count."""
+        # Chains of doubtful elements, and the same without forms: an article in a form is not in doubt.
+        self.doubtful, self.next = [0], [0]
+        state = [(NO, 0, 0)]
+        for n in range(1, len(self.kinds)):
+            above, doubts, formless = state[self.parents[n]]
+            kind, level = self.kinds[n], NO if n in void else self.levels[n]
+            if kind == "main" and above < HIDDEN:
+                above, doubts, formless = NO, 0, 0
+            elif kind == "article" and above < HIDDEN:
+                doubts = formless
+                if above == CUE:
+                    doubts = formless = self.chain(n, formless)
+                above = NO
+            if level == DOUBTFUL:
+                level = NO
+                same = doubts == formless
+                doubts = self.chain(n, doubts)
+                if kind != "form":
+                    formless = doubts if same else self.chain(n, formless)
+            state.append((max(level, above), doubts, formless))
+        for x in self.lines:
+            level, x.doubts, _ = state[x.element]
+            x.skip = level > DOUBTFUL
+
+    def chain(self, n: int, rest: int) -> int:
+        self.doubtful.append(n)
+        self.next.append(rest)
+        return len(self.next) - 1
+
+    def voided(self) -> set[int]:
+        """Elements whose cue is void: as long as no line of an article is seen, the outermost one with
+        most content, if what is seen is next to nothing beside it (comments: if nothing is seen)."""
+        cues = [n for n, c in enumerate(self.named) if c]
+        void: set[int] = set()
+        if not cues:
+            return void
+        self.judge(set(cues))
+        if all(x.skip for x in self.lines):
+            return void
+        # The content that the page would have if it had no cues.
+        content = self.weighed([self.lines[i] for i in content_lines(self.lines, True)])
+        marked = [max(m, a) for m, a in zip(self.tops("main"), self.tops("article"))]
+        while True:
+            self.judge(void)
+            seen = [x for x in self.lines if not x.skip]
+            if any(marked[x.element] >= 0 for x in seen):
+                return void
+            hidden = self.within(set(cues) - void)
+            outer = [n for n in cues if n not in void and not hidden[self.parents[n]]]
+            best = max(outer, key=lambda n: (self.levels[n] != HIDDEN, content[n], -n), default=0)
+            shown = sum(len(x.text) for x in seen if len(x.text) >= PROSE)
+            if not best or not content[best] or shown > (1 - NEARLY) * content[best] or shown and self.levels[best] == HIDDEN:
+                return void
+            void.add(best)
+
 
 def smoothed(ratios: list[float]) -> list[float]:
     kernel = [math.exp(-i * i / (2 * SIGMA * SIGMA)) for i in range(-RADIUS, RADIUS + 1)]
@@ -217,7 +334,7 @@ def smoothed(ratios: list[float]) -> list[float]:
 
 def content_lines(lines: list[Line], doubtful: bool) -> list[int]:
     """The numbers of the lines whose smoothed ratio reaches the threshold."""
-    off = [x.skip or bool(x.doubts) and not doubtful for x in lines]
+    off = [x.skip or x.doubts > 0 and not doubtful for x in lines]
     smooth = smoothed([0.0 if o else len(x.text) / max(1, x.tags) for x, o in zip(lines, off)])
     mean = sum(smooth) / len(smooth)
     limit = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
@@ -225,42 +342,43 @@ def content_lines(lines: list[Line], doubtful: bool) -> list[int]:
     return found or [i for i, o in enumerate(off) if not o]
 
 
-def region(lines: list[Line], content: list[int], kinds: list[str]) -> set[int]:
-    """The element numbers whose lines are the text."""
-    tops = {kind: {i: n for i in content if (n := next((n for n in lines[i].path if kinds[n] == kind), None))}
-            for kind in ("main", "article")}
-    mass = sum(len(lines[i].text) for i in content)
-    holds = {kind: sum(len(lines[i].text) for i in found) >= MOST * mass for kind, found in tops.items()}
-    heads = [x for x in lines if x.heading and not x.skip]  # a headline above the text belongs to it
+def region(page: Page, content: list[int]) -> list[bool]:
+    """Whether the lines of each element are the text's."""
+    lines, kinds, parents = page.lines, page.kinds, page.parents
+    chosen = [lines[i] for i in content]
+    top = {kind: page.tops(kind) for kind in ("main", "article", "h1")}
+    tops = {kind: {n for x in chosen if (n := top[kind][x.element]) >= 0} for kind in CONTENT}
+    mass = sum(len(x.text) for x in chosen)
+    holds = {kind: sum(len(x.text) for x in chosen if top[kind][x.element] >= 0) >= MOST * mass for kind in CONTENT}
+    heads = [x for x in lines if top["h1"][x.element] >= 0 and not x.skip]  # a headline above the text belongs to it
     marked: set[int] = set()
-    if holds["main"] and not tops["main"].keys() <= tops["article"].keys():
-        marked = set(tops["main"].values())
+    if holds["main"] and not tops["main"] <= tops["article"]:
+        marked = tops["main"]
     elif holds["article"]:
         # Articles side by side are one text, also those too short for a content line.
-        chosen = set(tops["article"].values())
-        above = {parent(lines[i].path, n) for i, n in tops["article"].items()}
-        marked = chosen | {n for x in lines for n in x.path if kinds[n] == "article" and parent(x.path, n) in above}
+        above = {parents[n] for n in tops["article"]}
+        filled = page.weighed(lines)
+        marked = tops["article"] | {n for n, k in enumerate(kinds) if k == "article" and parents[n] in above and filled[n]}
     if marked:
-        inside = [x for x in heads if not marked.isdisjoint(x.path)]
-        if not inside:
-            marked |= {n for x in heads if not x.doubts for n in x.path if kinds[n] == "h1"}
-        return marked
-    shared = lines[content[0]].path
-    for x in [*(lines[i] for i in content), *heads]:
-        shared = [n for n, m in zip(shared, x.path) if n == m]
-    return {next(n for n in reversed(shared) if kinds[n] in CONTAINERS)}
-
-
-def parent(path: tuple[int, ...], n: int) -> int:
-    return path[path.index(n) - 1]
+        inside = page.within(marked)
+        if not any(inside[x.element] for x in heads):
+            inside = page.within(marked | {top["h1"][x.element] for x in heads if not x.doubts})
+        return inside
+    # The smallest container of all of them.
+    held = page.sums({x.element: 1 for x in (*chosen, *heads)})
+    n = max(n for n, c in enumerate(held) if c == held[0])
+    while kinds[n] not in CONTAINERS:
+        n = parents[n]
+    return page.within({n})
 
 
 def main_text(html: str) -> str:
-    p = Lines()
-    p.feed(html)
-    p.close()
-    p.end_line()
-    lines = p.lines
+    page = Page()
+    page.feed(html)
+    page.close()
+    page.end_line()
+    lines = page.lines
+    page.judge(page.voided())
     if not any(not x.skip for x in lines):
         return ""
     # Places of the article by what is not in doubt, unless nearly all prose is in doubt.
@@ -270,10 +388,21 @@ def main_text(html: str) -> str:
         content = wide
     if not content:
         return ""
-    inside = region(lines, content, p.kinds)
-    heads = [i for i, x in enumerate(lines) if x.heading and any(p.kinds[n] in CONTENT for n in x.path)]
-    kept = {n for i in (*prose, *heads) if not inside.isdisjoint(lines[i].path) for n in lines[i].doubts}
-    return " ".join(x.text for x in lines if not x.skip and kept.issuperset(x.doubts) and not inside.isdisjoint(x.path))
+    inside = region(page, content)
+    marked, title = [max(m, a) for m, a in zip(page.tops("main"), page.tops("article"))], page.tops("h1")
+    heads = [i for i, x in enumerate(lines) if title[x.element] >= 0 and marked[x.element] >= 0]
+    # Doubtful elements that hold prose or the headline of the text, and with them whole chains.
+    kept, seen = set(), {0}
+    for i in (*prose, *heads):
+        link = lines[i].doubts if inside[lines[i].element] else 0
+        while link not in seen:
+            seen.add(link)
+            kept.add(page.doubtful[link])
+            link = page.next[link]
+    fine = [True]
+    for n, rest in zip(page.doubtful[1:], page.next[1:]):
+        fine.append(n in kept and fine[rest])
+    return " ".join(x.text for x in lines if not x.skip and fine[x.doubts] and inside[x.element])
 
 
 def extract_batch(batch) -> dict:

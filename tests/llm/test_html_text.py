@@ -115,3 +115,65 @@ def test_region_by_mass(page, want):
 
 def test_card_in_the_text():
     assert H.main_text(f"<div class='post'>{LONG_TEXT}{CARD}</div>").startswith(LONG_WANT + " About the author")
+
+
+POST = f"{ARTICLE}<p>{P1}</p><p>{P2}</p>"
+POST_WANT = f"{WANT} {WANT[9:].replace(' Short.', '')}"
+COMMENT = "<p>A reader says at length what readers say, and goes on to say it again at even greater length.</p>" * 2
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='widget Blog'><div class='blog-posts'><div class='post'>{}</div></div></div>",
+    "<div id='page' class='sidebar-right'>{}</div>",
+    "<div class='container right-sidebar'><div>{}</div></div>",
+    "<div class='modal-content'>{}</div>",
+    "<div class='notice-content'>{}</div>",
+    "<div role='main' class='widget'>{}</div>",
+    "<div class='widget Blog'><div class='hentry'>{}</div></div>",
+    "<div class='post-body entry-content'>{}</div>",
+])
+@pytest.mark.parametrize("junk", ["", "<ol class='commentlist'><li>{}</li></ol>", "<div id='jp-relatedposts'>{}</div>",
+                                  "<div id='comments'>{}</div>", "<div class='sidebar'>{}</div>"])
+def test_a_cue_around_the_article(page, junk):
+    body = page.format(POST) + junk.format(COMMENT)
+    assert H.main_text(f"<html><body><nav><a href=x>Home</a></nav>{body}<footer>All rights</footer></body></html>") == POST_WANT
+
+
+@pytest.mark.parametrize("junk", ["<div class='sidebar'>{}</div>", "<div id='comments'>{}</div>", "<div role='complementary'>{}</div>"])
+def test_long_boilerplate_beside_a_short_article(junk):
+    assert H.main_text(f"<body><article>{ARTICLE}</article>{junk.format(COMMENT * 20)}</body>") == WANT
+
+
+@pytest.mark.parametrize("open_tags", ["<font>x ", "<div>x ", "<div><p>x", "<form>x ", "<div class='notice'>x ", "<article><form>x ",
+                                       "<font></b>x ", "<p><font>x "])
+def test_unclosed_tags_take_linear_time(open_tags):
+    import time
+    import tracemalloc
+    page = open_tags * 16_000
+    start = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - start < 5
+    tracemalloc.start()
+    H.main_text(open_tags * 4_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+
+
+def test_threshold_against_a_plain_version():
+    import random
+
+    import numpy as np
+    rng = random.Random(4)
+    for _ in range(50):
+        lines = []
+        for _ in range(rng.randint(1, 40)):
+            x = H.Line("x" * rng.randint(1, 300), rng.randint(0, 20), 0)
+            x.skip, x.doubts = rng.random() < 0.2, int(rng.random() < 0.2)
+            lines.append(x)
+        ratio = np.array([0 if x.skip or x.doubts else len(x.text) / max(1, x.tags) for x in lines])
+        kernel = np.exp(-np.arange(-2, 3) ** 2 / 2)
+        smooth = np.convolve(np.pad(ratio, 2), kernel / kernel.sum(), mode="valid")
+        on = [i for i, x in enumerate(lines) if not (x.skip or x.doubts)]
+        want = [i for i in on if smooth[i] >= smooth.std() - 1e-12]
+        assert H.content_lines(lines, False) == (want or on)
