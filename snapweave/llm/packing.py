@@ -6,14 +6,16 @@
    the ids of the words it has met (at most ``CACHE`` of them) and encodes only new ones.
 2. Histogram. Only the number of pieces of each length goes to the driver: at most ``capacity``
    rows, whatever the input.
-3. Linear program. A configuration is a multiset of lengths that fits one sequence. Multiplicative
-   weights price the lengths by how far they are still uncovered; a knapsack dynamic program over
-   the capacity finds the configurations of the highest price; each takes its share of the demand;
-   repeat until every length is covered. That is at most about one configuration per length, whatever
-   the input.
-4. Rounding. Each configuration is used as many whole times as its share says; what remains (a few
-   pieces per configuration, so bounded by the capacity, not by the input) is packed best-fit
-   decreasing.
+3. Linear program. A configuration is a multiset of lengths that fits one sequence. In rounds,
+   multiplicative weights price the lengths by how far they are still uncovered; a knapsack dynamic program
+   over the capacity finds the configurations of the highest price through the longest open lengths;
+   each is used until one of its lengths is covered. A phase covers all demand with about one configuration a
+   length, whatever the input. Prices also prove a bound on any packing (the program's dual, by the same
+   knapsack); phases are repeated, with lengths that left room priced up, until the number is within ``GAP``
+   of the bound, or ``PHASES`` times; the best one counts.
+4. Rounding. Each configuration is used as many whole times as its share says; what remains is packed
+   best-fit decreasing, by counts, into the room that is left and then into new sequences. If best-fit
+   decreasing of everything needs fewer sequences, its plan is taken: the result is never worse.
 5. Assignment. The plan says for each length which ranks go to which sequences at which offset. Pieces
    are ranked within their length in two levels (salted groups of about ``GROUP``, and running sums
    over groups), so that a length that a third of the pieces have is never one task's, and each
@@ -26,7 +28,7 @@ matter.
 
 from __future__ import annotations
 
-import heapq
+import json
 import os
 import re
 import unicodedata
@@ -48,14 +50,31 @@ CAPACITY, END_ID = 2048, 0
 CACHE = 1_000_000
 GROUP = 2_048
 ANCHORS, RATE = 16, 1.0
+#: The linear program ends within this of its bound, or after so many phases.
+GAP, PHASES = 0.001, 8
 
 
 # --- tokens ------------------------------------------------------------------------------------
 
+#: The tokenizer's own rules, which :func:`words_of` and the table of words rely on.
+EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 @lru_cache(maxsize=1)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
+    found = Tokenizer.from_file(path)
+    rules = json.loads(found.to_str())
+    if any(rules[part] != rule for part, rule in EXPECTED.items()):
+        raise ValueError(f"{path}: words are split here as by a lower-casing tokenizer that drops white space; its rules differ")
+    return found
 
 
 #: A full stop or comma between an ASCII letter and the end of a word is a token of its own, so it may
@@ -162,10 +181,10 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 # --- the linear program ----------------------------------------------------------------------------
 
-def priced(size: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+def priced(size: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Knapsack dynamic program over the capacity: for each room the number of the length that the
-    best filling of that room takes last, -1 where it is the filling of one token less. Of equal
-    fillings it takes the longest length."""
+    best filling of that room takes last, -1 where it is the filling of one token less; and the values of
+    the fillings. Of equal fillings it takes the longest length."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1, np.int64)
     ends = np.searchsorted(size, np.arange(capacity + 1), side="right")
@@ -177,7 +196,7 @@ def priced(size: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
             j = n - 1 - int(gain[::-1].argmax())
             if gain[j] > best[c]:
                 best[c], took[c] = gain[j], j
-    return took
+    return took, best
 
 
 def filling(took: np.ndarray, size: np.ndarray, room: int) -> Counter:
@@ -211,19 +230,18 @@ def configuration(first: int, took: np.ndarray, open_: np.ndarray, lengths: np.n
         room -= int(lengths[j])
 
 
-def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, anchors: int = ANCHORS,
-               rate: float = RATE) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how many times each is used, covering ``demand`` up to less than one piece
-    of each length. A length's price is its size times a weight that falls exponentially with its covered
-    share. One knapsack table per round gives the best configurations through the ``anchors`` longest
-    uncovered lengths; each is used until one of its lengths is covered, so there are at most about
-    as many configurations as lengths."""
+def covered(lengths: np.ndarray, demand: np.ndarray, price: np.ndarray, capacity: int, anchors: int = ANCHORS,
+            rate: float = RATE) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """One phase: configurations and how many times each is used, covering ``demand`` up to less than one
+    piece of each length, and what is left. A length's weight falls exponentially with its covered share.
+    One knapsack table per round gives the best configurations through the ``anchors`` longest uncovered
+    lengths; each is used until one of its lengths is covered."""
     left = demand.astype(float)
     used: dict[tuple, float] = defaultdict(float)
     while (left >= 1).any():
         open_ = np.flatnonzero(left >= 1)
         size = lengths[open_]
-        took = priced(size, size * np.exp(rate * (left[open_] / demand[open_] - 1)), capacity)
+        took, _ = priced(size, price[open_] * np.exp(rate * (left[open_] / demand[open_] - 1)), capacity)
         for first in range(len(open_) - 1, max(-1, len(open_) - 1 - anchors), -1):
             if left[open_[first]] >= 1:
                 config = configuration(first, took, open_, lengths, left, capacity)
@@ -231,44 +249,104 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, anchors:
                 used[tuple(sorted(config.items()))] += times
                 for j, k in config.items():
                     left[j] -= k * times
-    return [(dict(c), x) for c, x in used.items()]
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item into the fullest bin that still takes it."""
-    bins: list[list[int]] = []
-    by_room: dict[int, list[int]] = defaultdict(list)
-    open_rooms: list[bool] = [False] * (capacity + 1)
-    for x in sorted(items, reverse=True):
-        r = next((r for r in range(x, capacity + 1) if open_rooms[r]), None)
-        if r is None:
-            b, r = len(bins), capacity
-            bins.append([])
-        else:
-            b = heapq.heappop(by_room[r])
-            open_rooms[r] = bool(by_room[r])
-        bins[b].append(x)
-        heapq.heappush(by_room[r - x], b)
-        open_rooms[r - x] = r > x
-    return bins
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """``(lengths in one sequence, number of such sequences)`` that use up the histogram."""
-    out = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    rest = {n: c for n, c in sorted(histogram.items()) if n != capacity and c > 0}
+    return [(dict(c), x) for c, x in used.items()], left
+
+
+def threshold_bound(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> float:
+    """The best bound by prices with a threshold: 1 for lengths that leave less than the threshold's room,
+    none below the threshold, and the share of the capacity between (no sequence holds more than 1)."""
+    best = 0.0
+    for t in range(capacity // 2 + 1):
+        price = np.where(lengths > capacity - t, 1.0, np.where(lengths < t, 0.0, lengths / capacity))
+        best = max(best, float(price @ demand))
+    return best
+
+
+def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP,
+               phases: int = PHASES) -> tuple[list[tuple[dict[int, int], float]], float, float]:
+    """The best phase's configurations, their number, and the bound that prices prove for the demand it
+    covers. Prices start as sizes; after a phase, lengths in sequences with room left get dearer by a factor
+    that is exponential in that room, so the next one serves them first. Any prices prove a bound: the
+    demand's worth over that of the dearest configuration, which the knapsack finds; so do thresholds. Phases end when
+    the number is within ``gap`` of the bound."""
+    price = lengths.astype(float)
+    best = None
+    for _ in range(phases):
+        used, left = covered(lengths, demand, price, capacity)
+        number = sum(x for _, x in used)
+        done = demand - left
+        dearest = priced(lengths, price, capacity)[1][capacity]
+        bound = max(float(done @ price) / dearest, threshold_bound(lengths, done, capacity))
+        if best is None or number - bound < best[1] - best[2]:
+            best = used, number, bound
+        if number <= (1 + gap) * bound:
+            break
+        loss = np.zeros(len(lengths))
+        for config, x in used:
+            room = 1 - sum(int(lengths[j]) * k for j, k in config.items()) / capacity
+            for j, k in config.items():
+                loss[j] += room * k * x / demand[j]
+        price = price * np.exp(loss)
+    return best
+
+
+Groups = list[tuple[list[int], int]]
+
+
+def best_fit(histogram: dict[int, int], capacity: int, begun: Groups = ()) -> Groups:
+    """Best-fit decreasing by counts: each piece into the fullest sequence that still takes it, into those
+    ``begun`` first. Equal pieces fill a sequence one after the other, so equal sequences stay together
+    and there are at most about three groups a length."""
+    by_room: dict[int, list] = defaultdict(list)
+    for config, times in begun:
+        by_room[capacity - sum(config)].append((list(config), times))
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        for room in sorted(r for r in by_room if r >= n):
+            each = room // n
+            while left and by_room[room]:
+                config, times = by_room[room].pop()
+                full = min(times, left // each)
+                if full:
+                    by_room[room - each * n].append((config + [n] * each, full))
+                    left -= full * each
+                    times -= full
+                if times and left:  # less than one sequence's worth
+                    by_room[room - left * n].append((config + [n] * left, 1))
+                    left, times = 0, times - 1
+                if times:
+                    by_room[room].append((config, times))
+                    break
+            if not by_room[room]:
+                del by_room[room]
+            if not left:
+                break
+        each = capacity // n
+        if left >= each:
+            by_room[capacity - each * n].append(([n] * each, left // each))
+        if left % each:
+            by_room[capacity - left % each * n].append(([n] * (left % each), 1))
+    return [g for groups in by_room.values() for g in groups]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Groups:
+    """``(lengths in one sequence, number of such sequences)`` that use up the histogram: the rounded
+    linear program, or best-fit decreasing where that needs fewer."""
+    rest = {n: c for n, c in sorted(histogram.items()) if c > 0}
     if not rest:
-        return out
+        return []
     lengths, demand = np.array(list(rest)), np.array(list(rest.values()))
     left = demand.copy()
-    for config, x in sorted(fractional(lengths, demand, capacity), key=lambda c: -c[1]):
+    rounded = []
+    for config, x in sorted(fractional(lengths, demand, capacity)[0], key=lambda c: -c[1]):
         times = min([int(x + 1e-9)] + [int(left[j] // k) for j, k in config.items()])
         if times > 0:
-            out.append(([int(lengths[j]) for j, k in sorted(config.items(), reverse=True) for _ in range(k)], times))
+            rounded.append(([int(lengths[j]) for j, k in sorted(config.items(), reverse=True) for _ in range(k)], times))
             for j, k in config.items():
                 left[j] -= k * times
-    items = [int(n) for n, k in zip(lengths, left) for _ in range(int(k))]
-    return out + [(b, 1) for b in best_fit(items, capacity)]
+    rounded = best_fit({int(n): int(k) for n, k in zip(lengths, left) if k}, capacity, rounded)
+    plain = best_fit(rest, capacity)
+    return min(rounded, plain, key=lambda groups: sum(times for _, times in groups))
 
 
 def slots(bins: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
