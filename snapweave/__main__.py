@@ -32,7 +32,7 @@ def main(argv=None) -> int:
     opts = Options(max_depth=args.max_depth, prune_folders=args.prune_folders)
     snap = Snapshot(manifest_from_tree(spark, args.roots), now_timestamp(), options=opts)
     write_snapshot(snap.sections(), f"{args.out}/documents")
-    write_stats(snap.stats, f"{args.out}/stats")
+    write_stats(snap.stats, f"{args.out}/stats", f"{args.out}/documents")
     drop_materialized(spark)
     for row in spark.read.parquet(f"{args.out}/stats").orderBy("repo").toLocalIterator():
         print(json.dumps(row.asDict()))

@@ -128,7 +128,8 @@ def header_text(repo: Column, timestamp: str, text_files: Column, ignored: Colum
 
 def snapshot_stats(disp: DataFrame, small_rows: DataFrame, timestamp: str) -> DataFrame:
     """A1-A5: ``(repo, text_files, binary_files, ignored_items, total_files, total_chars,
-    errors)``. One aggregation over a union of per-entry and per-row contributions (no joins)."""
+    errors, timestamp)``. One aggregation over a union of per-entry and per-row contributions (no joins).
+    The document's place is the sink's to add (:func:`..sinks.write_stats`)."""
     d = F.col("disposition")
     per_entry = disp.select(
         "repo",
@@ -148,7 +149,7 @@ def snapshot_stats(disp: DataFrame, small_rows: DataFrame, timestamp: str) -> Da
         "repo", F.col("t").alias("text_files"), F.col("b").alias("binary_files"),
         F.col("i").alias("ignored_items"), F.col("t").alias("total_files"),
         (F.col("c") + F.length(head)).cast("bigint").alias("total_chars"),
-        F.col("e").alias("errors"))
+        F.col("e").alias("errors"), F.lit(timestamp).alias("timestamp"))
 
 
 def header_rows(disp: DataFrame, timestamp: str) -> DataFrame:

@@ -4,26 +4,24 @@ Data movement, for a manifest of ``(repo, path, content)`` at any size:
 
 * The scan and every metadata section work on ``(repo, path)`` plus small facts; ``content`` is
   read map side once for classification and character counts.
-* File bodies are attached without a join. The metadata rows (header, tree, kept-file decisions,
-  report) and the manifest's candidate bodies are unioned and partitioned once by ranges of
-  ``(repo, section, key)``. The ranges come from metadata (keys weighted by size), so no pass over
-  the bodies is needed to sample them, as Spark's own range partitioning would. A decision and its
-  body share their key, so they land in the same task; a window over the same columns (satisfied by
-  the partitioning, no extra exchange) tells each body whether it was kept. Bodies are read and
-  shuffled exactly once, and the output is already in document order for the sink: a giant
-  repository spans many ordered tasks instead of one.
+* Every row of the document (header, tree, report, kept-file decisions) is metadata and gets its
+  place from running sums of sizes over all of them in document order, in two levels
+  (:func:`.prefix.running_before`): ranges of about equal bytes, as a column, with nothing gathered on the
+  driver. Bodies meet their decision by an equi-join on ``(repo, path)`` (one row per file on either
+  side, so no hot key; the written decisions are broadcast while they are below Spark's own threshold)
+  and go to their range by ``repartitionById``: the output is in document order for the sink, and a giant
+  repository spans many ordered tasks. Content is read twice in all, and moved once, or twice where
+  the decisions are too many to broadcast.
 * Candidate bodies are pre-filtered map side with what needs no metadata (classified binary,
   reserved folder, default rules), so most dropped files never reach the shuffle.
 """
 
 from __future__ import annotations
 
-import bisect
 import datetime as _dt
 from functools import cached_property
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -34,7 +32,8 @@ from ..operators.rules import default_hit
 from ..operators.scan import Scan, files_of
 from ..operators.tree import tree_lines
 from ..options import DEFAULT, Options
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage
+from .prefix import running_before
 
 #: Kept bytes of one partition of the document.
 BODY_PARTITION_BYTES = 128 << 20
@@ -56,69 +55,28 @@ def body_candidates(manifest: DataFrame, options: Options = DEFAULT) -> DataFram
     return m.filter(keep).select("repo", "path", "content")
 
 
-def boundaries(keyed: DataFrame, n: int) -> list[tuple]:
-    """At most ``n - 1`` keys that cut ``keyed`` (repo, section, key, weight) into ranges of about
-    equal weight, from a sample whose chances are proportional to the weights (about 20 rows a
-    range, at most two million in all)."""
-    total = keyed.agg(F.sum("weight")).first()[0] or 0
-    if n < 2 or not total:
-        return []
-    step = total / n
-    unit = step / max(2, min(20, 1_000_000 // n))
-    chance = F.pmod(F.xxhash64("repo", "section", "key"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = keyed.filter(F.col("weight") > chance * F.lit(unit)).collect()
-    out, seen, due = [], 0.0, step
-    for r in sorted(rows, key=_place):
-        if len(out) < n - 1 and seen >= due and (not out or out[-1] < _place(r)):
-            out.append(_place(r))
-            due = max(due + step, seen)
-        seen += max(r["weight"], unit)
-    return out
-
-
-def _place(r) -> tuple:
-    return (r["repo"] or "", r["section"], r["key"] or "")
-
-
-def range_number(bounds: list[tuple]):
-    """UDF ``(repo, section, key)`` to the number of its range, by binary search."""
-    def run(repo: pd.Series, section: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(bounds.value, (r or "", s, k or ""))
-                          for r, s, k in zip(repo, section, key)], dtype="int32")
-
-    return F.pandas_udf(run, "int")
+ORDER = ["repo", "section", "key"]
 
 
 def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
              num_partitions: int | None = None, options: Options = DEFAULT) -> DataFrame:
     """``(repo, section, key, text, n_chars, counted)`` in document order per partition."""
-    spark = manifest.sparkSession
-    ship_package(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nul_s, nul_b = F.lit(None).cast("string"), F.lit(None).cast("binary")
-    meta = meta_rows.select("repo", "section", "key", F.lit(0).alias("tag"), "text", "counted",
-                            nul_s.alias("path"), nul_b.alias("content"))
-    dec = decisions.select("repo", F.lit(SEC_CONTENT).alias("section"), "key",
-                           F.lit(0).alias("tag"), nul_s.alias("text"), F.lit(True).alias("counted"),
-                           "path", nul_b.alias("content"))
-    body = body_candidates(manifest, options).select(
-        "repo", F.lit(SEC_CONTENT).alias("section"), P.content_key(F.col("path")).alias("key"),
-        F.lit(1).alias("tag"), nul_s.alias("text"), F.lit(True).alias("counted"), "path", "content")
-    keyed = meta_rows.select("repo", "section", "key", F.length("text").cast("bigint").alias("weight")).unionByName(
-        decisions.select("repo", F.lit(SEC_CONTENT).alias("section"), "key", (F.col("size") + 1).alias("weight")))
-    bounds = spark.sparkContext.broadcast(boundaries(keyed, n))
-    u = meta.unionByName(dec).unionByName(body).withColumn("_range", range_number(bounds)("repo", "section", "key"))
-    u = u.repartitionById(n, "_range")
-    # The range comes last: the window's sort then is document order, and the sink adds none.
-    w = Window.partitionBy("repo", "section", "key", "_range")
-    is_dec = (F.col("tag") == 0) & (F.col("section") == SEC_CONTENT)
-    u = u.withColumn("_kept", F.max(is_dec.cast("int")).over(w))
-    keep = (((F.col("section") != SEC_CONTENT) & (F.col("tag") == 0))
-            | ((F.col("tag") == 1) & (F.col("_kept") == 1)))
-    text = F.when(F.col("section") == SEC_CONTENT,
-                  file_section(F.col("path"), F.col("content"))).otherwise(F.col("text"))
-    out = u.filter(keep).select("repo", "section", "key", text.alias("text"),
-                                F.length(text).cast("bigint").alias("n_chars"), "counted")
+    n = num_partitions or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meta = meta_rows.select(*ORDER, "text", "counted", F.lit(None).cast("string").alias("path"),
+                            F.length("text").cast("bigint").alias("weight"))
+    dec = decisions.select("repo", F.lit(SEC_CONTENT).alias("section"), "key", F.lit(None).cast("string").alias("text"),
+                           F.lit(True).alias("counted"), "path", (F.col("size") + 1).alias("weight"))
+    placed = cut_lineage(running_before(meta.unionByName(dec), ORDER, "weight"))
+    total = placed.agg(F.sum("weight")).first()[0] or 1
+    placed = placed.withColumn("range", (F.col("before") * F.lit(n) / F.lit(total)).cast("int"))
+    body = body_candidates(manifest, options)
+    kept = placed.filter(F.col("section") == SEC_CONTENT).join(body, ["repo", "path"])
+    none = F.lit(None).cast("binary").alias("content")
+    cols = [*ORDER, "text", "counted", "path", "range"]
+    u = placed.filter(F.col("section") != SEC_CONTENT).select(*cols, none).unionByName(kept.select(*cols, "content"))
+    u = u.repartitionById(n, F.least("range", F.lit(n - 1))).sortWithinPartitions(*ORDER)
+    text = F.when(F.col("section") == SEC_CONTENT, file_section(F.col("path"), F.col("content"))).otherwise(F.col("text"))
+    out = u.select(*ORDER, text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), "counted")
     out._document_order = True  # for the sink; no derived frame has it
     return out
 

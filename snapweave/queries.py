@@ -6,6 +6,7 @@ DuckDB twin of the same name in :mod:`.twins`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from .operators.rules import rule_files, rule_lines, rule_summary
 from .operators.scan import Scan, directory_entries, entries
 from .operators.tree import last_siblings, tree_entries, tree_lines
 from .plans.joins import lookup_side
+from .plans.prefix import running_before, section_offsets
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
 from .session import scratch_path
 from .sinks import write_snapshot, write_stats
@@ -160,7 +162,10 @@ def q_tree_lines(spark, sf_dir):
 
 
 def q_tree_depth_limit(spark, sf_dir):
-    return tree_lines(_site_visible(spark, sf_dir), max_depth=0)
+    """The tree cut at depth 0, 1, 2 and 3."""
+    shown = _site_visible(spark, sf_dir)
+    cut = [tree_lines(shown, max_depth=k).withColumn("max_depth", F.lit(k)) for k in range(4)]
+    return functools.reduce(DataFrame.unionByName, cut)
 
 
 def q_tree_ignored_closed(spark, sf_dir):
@@ -194,17 +199,29 @@ def q_manifest_clashes(spark, sf_dir):
 def q_stats_sink(spark, sf_dir):
     """S5, written and read back."""
     out = scratch_path(spark)
-    write_stats(_snapshot(spark, sf_dir).stats, out)
+    write_stats(_snapshot(spark, sf_dir).stats, out, "documents")
     return spark.read.parquet(out)
 
 
 def q_snapshot_sink(spark, sf_dir):
-    """S4, written and read back: lines and characters of each document."""
+    """S4, written and read back: lines and characters of each document, and a sum that any change of the
+    lines' order would change (line numbers over all part files, by running sums)."""
     out = scratch_path(spark)
     write_snapshot(_snapshot(spark, sf_dir).sections(), out)
-    lines = spark.read.text(out)
-    return lines.groupBy("repo").agg(F.count(F.lit(1)).alias("n_lines"),
-                                     F.sum(F.length("value") + 1).alias("n_chars"))
+    whole = spark.read.text(out, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
+    lines = whole.select("repo", "file", F.posexplode(F.split("value", "\n")).alias("at", "line"),
+                         (F.size(F.split("value", "\n")) - 1).alias("n")).filter("at < n")
+    numbered = running_before(lines.withColumn("one", F.lit(1)), ["repo", "file", "at"], "one", "number")
+    starts = numbered.groupBy("repo").agg(F.min("number").alias("start"))
+    look = F.length("line") + F.ascii("line") + 1
+    return numbered.join(starts, "repo").groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line") + 1).alias("n_chars"),
+        F.sum((F.col("number") - F.col("start") + 1) * look).alias("order_sum"))
+
+
+def q_section_offsets(spark, sf_dir):
+    """Where each section starts in its document."""
+    return section_offsets(_snapshot(spark, sf_dir).sections())
 
 
 # --- content and document ------------------------------------------------------------------------
@@ -263,6 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_clashes": q_manifest_clashes,
     "stats_sink": q_stats_sink,
     "snapshot_sink": q_snapshot_sink,
+    "section_offsets": q_section_offsets,
     "rule_match_default": q_rule_match_default,
     "rule_match_last_wins": q_rule_match_last_wins,
     "reserved_filter": q_reserved_filter,

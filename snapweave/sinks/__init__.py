@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,25 @@ def in_document_order(sections: DataFrame) -> bool:
     return getattr(sections, "_document_order", False)
 
 
-def write_stats(stats: DataFrame, out_dir: str) -> None:
-    """The statistics row of every repository, as Parquet under ``out_dir/repo=<name>/``."""
+def write_stats(stats: DataFrame, out_dir: str, documents_dir: str | None = None) -> None:
+    """The statistics row of every repository, as Parquet under ``out_dir/repo=<name>/``; with
+    ``documents_dir``, each row names its document there as ``output_file``."""
+    if documents_dir is not None:
+        stats = stats.withColumn("output_file", document_of(documents_dir, F.col("repo")))
     _replacing(stats).parquet(out_dir)
 
 
+#: Characters that Spark writes as ``%`` and two hexadecimal digits in the names of partition folders.
+ESCAPED = "%\"#'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32)))
+
+
+def document_of(documents_dir: str, repo: Column) -> Column:
+    """The folder of a repository's document under ``documents_dir``, as the sink names it."""
+    name = repo
+    for c in ESCAPED:
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit(documents_dir.rstrip("/") + "/repo="), name)
+
+
 def _replacing(df: DataFrame):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo")

@@ -321,7 +321,7 @@ def section_ctes() -> list[str]:
         f"UNION ALL SELECT repo, 0, 0, 0, 0, length(text) FROM small WHERE counted) GROUP BY repo)",
         f"hrows AS (SELECT repo, 0 AS section, '' AS key, {head} AS text, true AS counted FROM agg)",
         f"stats AS (SELECT repo, t AS text_files, b AS binary_files, i AS ignored_items, t AS total_files, "
-        f"(c + length({head}))::BIGINT AS total_chars, e AS errors FROM agg)",
+        f"(c + length({head}))::BIGINT AS total_chars, e AS errors, {lit(ts)} AS timestamp FROM agg)",
         "sections AS (SELECT repo, section, key, text, length(text)::BIGINT AS n_chars, counted FROM "
         "(SELECT * FROM hrows UNION ALL SELECT * FROM small UNION ALL SELECT * FROM crows))",
     ]
@@ -378,10 +378,17 @@ def oracle_sql() -> dict[str, str]:
                                               "chr(13), chr(10)) AS text FROM manifest"),
         "manifest_rejects": _with(messy_ctes(), "SELECT repo, given AS path, reason FROM t3 WHERE reason IS NOT NULL"),
         "manifest_clashes": _with(messy_ctes() + scan_ctes(), "SELECT repo, path, is_dir, disposition FROM disp"),
-        "stats_sink": _docs("SELECT repo, text_files, binary_files, ignored_items, total_files, total_chars, errors "
-                            "FROM stats", all_tree),
-        "snapshot_sink": _docs("SELECT repo, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_lines, "
-                               "sum(length(text))::BIGINT AS n_chars FROM sections GROUP BY repo", all_tree),
+        "stats_sink": _docs("SELECT repo, text_files, binary_files, ignored_items, total_files, total_chars, errors, "
+                            "timestamp, 'documents/repo=' || repo AS output_file FROM stats", all_tree),
+        "snapshot_sink": _docs(
+            "SELECT repo, count(*) AS n_lines, sum(length(line) + 1)::BIGINT AS n_chars, "
+            "sum(number * (length(line) + ascii(line) + 1))::BIGINT AS order_sum FROM (SELECT repo, line, "
+            "row_number() OVER (PARTITION BY repo ORDER BY section, key, pos) AS number FROM lines) GROUP BY repo",
+            all_tree + ["cut AS (SELECT repo, section, key, string_split(left(text, length(text) - 1), chr(10)) AS l FROM sections)",
+                        "lines AS (SELECT repo, section, key, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM cut)"]),
+        "section_offsets": _docs(
+            "SELECT repo, section, key, coalesce(sum(n_chars) OVER (PARTITION BY repo ORDER BY section, key "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sections", all_tree),
         "rule_match_default": _docs("SELECT repo, path, is_dir, default_hit FROM flags"),
         "rule_match_last_wins": _docs("SELECT repo, path, is_dir, gitignore_hit, track_ignore_hit, "
                                       "ignored FROM flags"),
@@ -400,7 +407,9 @@ def oracle_sql() -> dict[str, str]:
                                     "n_children::BIGINT AS n_children FROM ranked WHERE rdesc = 1",
                                     tree_ctes()),
         "tree_lines": _pages("SELECT repo, key, line FROM tlines", tree_ctes()),
-        "tree_depth_limit": _pages("SELECT repo, key, line FROM tlines", tree_ctes(max_depth=0)),
+        "tree_depth_limit": " UNION ALL ".join(
+            f"(SELECT *, {k} AS max_depth FROM ({_pages('SELECT repo, key, line FROM tlines', tree_ctes(max_depth=k))}))"
+            for k in range(4)),
         "tree_ignored_closed": _docs("SELECT repo, key, line FROM tlines", tree_ctes()),
         "content_text": _docs(f"SELECT repo, path, {read_text_expr('content')} AS text, "
                               f"length({read_text_expr('content')})::BIGINT AS n_chars FROM manifest"),
@@ -412,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_sections": _docs("SELECT repo, section, key, text, n_chars, counted FROM sections",
                                    all_tree),
         "snapshot_stats": _docs("SELECT repo, text_files, binary_files, ignored_items, total_files, "
-                                "total_chars, errors FROM stats", all_tree),
+                                "total_chars, errors, timestamp FROM stats", all_tree),
         "file_size_label": _with(
             [c.replace("manifest AS", "dm AS", 1) for c in docs_manifest_ctes()]
             + [pages_manifest_ctes()[0].replace("manifest AS", "pm AS", 1)],

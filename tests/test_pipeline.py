@@ -141,16 +141,49 @@ def test_bodies_are_read_and_shuffled_once(spark):
     assert len(re.findall(r"FileScan parquet \[[^\]]*text#[^\]]*\][^\n]*documents", final)) == 1
 
 
+def test_running_sums_over_blocks(spark):
+    from snapweave.plans.prefix import running_before
+    rows = [(None if i % 7 == 0 else "ab"[i % 2], i % 5, f"k{i * 37 % 2000:05d}", i * 13 % 50) for i in range(2000)] + [("b", 9, "", 10**12)]
+    df = spark.createDataFrame(rows, "repo string, section int, key string, weight long").repartition(5)
+    got = {(r.repo, r.section, r.key): r.before for r in running_before(df, ["repo", "section", "key"], "weight").collect()}
+    total = 0
+    for repo, section, key, weight in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        assert got[(repo, section, key)] == total
+        total += weight
+    assert running_before(df.limit(0), ["repo"], "weight").count() == 0
+
+
 def test_ranges_follow_the_weights(spark):
-    from snapweave.plans.snapshot import boundaries
-    rows = [("a", 2, f"k{i:05d}", 10) for i in range(2000)] + [("b", 2, "big", 30_000)] + [("c", 2, f"k{i:05d}", 10) for i in range(1000)]
-    bounds = boundaries(spark.createDataFrame(rows, "repo string, section int, key string, weight bigint"), 6)
-    assert bounds == sorted(bounds) and 3 <= len(bounds) <= 5
-    sizes = [0] * (len(bounds) + 1)
-    import bisect
-    for r in rows:
-        sizes[bisect.bisect_right(bounds, r[:3])] += r[3]
-    assert max(sizes) <= 30_000 + 15_000
+    rows = [("a", f"f{i:04d}.txt", b"x" * 1000) for i in range(300)] + [("b", "big.txt", b"y\n" * 200_000)] + [("c", "z.txt", b"z")]
+    sec = Snapshot(make_manifest(spark, rows), num_partitions=6).sections()
+    from pyspark.sql import functions as F
+    parts = sec.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n_chars").alias("n"), F.min("repo").alias("lo"),
+                                                              F.max("repo").alias("hi")).orderBy("p").collect()
+    assert len(parts) >= 3 and all(a.hi <= b.lo for a, b in zip(parts, parts[1:]))
+    assert max(r.n for r in parts) <= 400_000 + 150_000
+
+
+def test_offsets_are_places_in_the_document(spark):
+    from snapweave.plans.prefix import section_offsets
+    sec = Snapshot(docs_manifest(spark, SF)).sections()
+    starts = {(r.repo, r.section, r.key): r.start for r in section_offsets(sec).collect()}
+    documents, n = {}, 0
+    for r in sorted(sec.collect(), key=lambda r: (r.repo, r.section, r.key)):
+        assert starts[(r.repo, r.section, r.key)] == len(documents.setdefault(r.repo, ""))
+        documents[r.repo] += r.text
+        n += 1
+    assert n == len(starts)
+
+
+def test_statistics_name_the_document(spark, tmp_path):
+    from snapweave.sinks import write_snapshot, write_stats
+    import os
+    names = ["plain", "a b", "c:d=e%f", "x'y\"z#*?[]{^"]
+    snap = Snapshot(make_manifest(spark, [(n, "x.py", b"1") for n in names]))
+    write_snapshot(snap.sections(), f"{tmp_path}/documents")
+    write_stats(snap.stats, f"{tmp_path}/stats", f"{tmp_path}/documents")
+    rows = spark.read.parquet(f"{tmp_path}/stats").collect()
+    assert len(rows) == len(names) and all(os.path.isdir(r["output_file"]) and r["timestamp"] for r in rows)
 
 
 def test_entry_smoke(spark):
@@ -158,7 +191,7 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(df.columns) == {"repo", "text_files", "binary_files", "ignored_items", "total_files",
-                               "total_chars", "errors"}
+                               "total_chars", "errors", "timestamp"}
     assert set(QUERIES) <= set(e.queries()) and set(QUERIES) <= set(e.oracle_sql()) <= set(e.queries())
 
 
