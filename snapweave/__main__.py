@@ -30,7 +30,8 @@ def main(argv=None) -> int:
     spark = local_session(args.master.removeprefix("local[").removesuffix("]")
                           if args.master.startswith("local[") else "*")
     opts = Options(max_depth=args.max_depth, prune_folders=args.prune_folders)
-    snap = Snapshot(manifest_from_tree(spark, args.roots), now_timestamp(), options=opts)
+    manifest = manifest_from_tree(spark, args.roots, prune_folders=args.prune_folders)
+    snap = Snapshot(manifest, now_timestamp(), options=opts)
     write_snapshot(snap.sections(), f"{args.out}/documents")
     write_stats(snap.stats, f"{args.out}/stats", f"{args.out}/documents")
     drop_materialized(spark)

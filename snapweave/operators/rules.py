@@ -139,14 +139,14 @@ def repo_plans(files: DataFrame) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=4096)
-def _compile_plan(plan: str) -> list[tuple[str, list[tuple[bool, re.Pattern]]]]:
+def compile_plan(plan: str) -> list[tuple[str, list[tuple[bool, re.Pattern]]]]:
     """Per rule set its blocks, last one first: the last match wins."""
     blocks = json.loads(plan)
     return [(name, [(b["include"], re.compile(b["regex"])) for b in run][::-1])
             for name, run in itertools.groupby(blocks, key=lambda b: b["rule_set"])]
 
 
-def _verdict(blocks: list[tuple[bool, re.Pattern]], path: str) -> bool:
+def verdict(blocks: list[tuple[bool, re.Pattern]], path: str) -> bool:
     return next((include for include, regex in blocks if regex.match(path)), False)
 
 
@@ -158,8 +158,8 @@ def _eval_plans(plans=None):
         res = {n: np.full(len(path), None, dtype=object) for n in VERDICT_TYPE.names}
         for k, rows in path.groupby(key):
             plan = k if plans is None else plans.value.get(k)
-            for name, blocks in _compile_plan(plan) if plan else ():
-                res[name][rows.index] = [_verdict(blocks, p) for p in rows]
+            for name, blocks in compile_plan(plan) if plan else ():
+                res[name][rows.index] = [verdict(blocks, p) for p in rows]
         return pd.DataFrame(res)
 
     return F.pandas_udf(run, VERDICT_TYPE)

@@ -26,6 +26,7 @@ from ..functions import paths as P
 from ..options import DEFAULT, Options
 from ..plans.joins import lookup_side
 from ..session import cut_lineage
+from .chunks import chunked_facts, placed, summaries
 from .classify import file_facts
 from .rules import apply_rules, rule_files
 
@@ -119,8 +120,17 @@ class Scan:
         self.manifest, self.with_chars = manifest, with_chars
         self.options, self.check_unique = options, check_unique
 
+    @cached_property
+    def chunks(self) -> DataFrame | None:
+        """Of a chunked manifest the summary of each chunk with its place, written; see :mod:`.chunks`."""
+        if "start" not in self.manifest.columns:
+            return None
+        return cut_lineage(placed(cut_lineage(summaries(files_of(self.manifest), self.options))))
+
     @cached_property
     def facts(self) -> DataFrame:
+        if self.chunks is not None:
+            return cut_lineage(chunked_facts(self.chunks, self.options))
         return cut_lineage(file_facts(files_of(self.manifest), with_chars=self.with_chars, options=self.options))
 
     @cached_property

@@ -25,9 +25,10 @@ def running_before(df: DataFrame, order: list[str], weight: str, name: str = "be
 
 
 def section_offsets(sections: DataFrame) -> DataFrame:
-    """``(repo, section, key, start)``: the first character of each section in its repository's document."""
-    rows = sections.select("repo", "section", "key", "n_chars")
-    placed = cut_lineage(running_before(rows, ["repo", "section", "key"], "n_chars", "at"))
+    """``(repo, section, key, start)``: the first character of each section in its repository's document; of
+    a chunked manifest also ``part``."""
+    order = ["repo", "section", "key", *[c for c in ("part",) if c in sections.columns]]
+    placed = cut_lineage(running_before(sections.select(*order, "n_chars"), order, "n_chars", "at"))
     first = cut_lineage(placed.groupBy("repo").agg(F.min("at").alias("first")))
     return placed.join(first, placed["repo"].eqNullSafe(first["repo"])).select(
-        placed["repo"], "section", "key", (F.col("at") - F.col("first")).alias("start"))
+        placed["repo"], *order[1:], (F.col("at") - F.col("first")).alias("start"))

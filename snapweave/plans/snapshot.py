@@ -21,18 +21,21 @@ from __future__ import annotations
 import datetime as _dt
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.constants import FILE_SECTION_CLOSE, FILE_SECTION_OPEN, FILE_SECTION_TAIL
+from ..operators.chunks import piece_text
 from ..operators.classify import is_text, name_verdict, with_mime
-from ..operators.combine import (SEC_CONTENT, content_decisions, file_section, header_rows,
+from ..operators.combine import (SEC_CONTENT, content_decisions, error_section, file_section, header_rows,
                                  ignored_item_rows, report_rows, snapshot_stats, tree_rows)
 from ..operators.rules import default_hit
 from ..operators.scan import Scan, files_of
 from ..operators.tree import tree_lines
 from ..options import DEFAULT, Options
 from ..session import cut_lineage
+from .joins import lookup_side
 from .prefix import running_before
 
 #: Kept bytes of one partition of the document.
@@ -46,41 +49,69 @@ def now_timestamp() -> str:
 
 
 def body_candidates(manifest: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """Manifest rows that may become a file section, decided map side."""
-    m = files_of(manifest).select("repo", "path", "content").withColumn("name", P.name(F.col("path")))
+    """Manifest rows that may become a file section, decided map side; ``part`` is a chunk's place."""
+    chunked = "start" in manifest.columns
+    m = files_of(manifest).withColumn("part", F.col("start") if chunked else F.lit(0).cast("bigint"))
+    m = m.select("repo", "path", "part", "content").withColumn("name", P.name(F.col("path")))
     m = with_mime(m, overrides=options.mime_overrides)
     verdict = name_verdict(F.col("name"), F.col("mime"))
-    keep = (is_text(verdict, F.col("content"), options.strict_boundary)
-            & ~P.is_reserved(F.col("path")) & ~default_hit(F.col("path")))
-    return m.filter(keep).select("repo", "path", "content")
+    # A chunk does not tell what its file's first bytes say.
+    text = verdict.isNull() | (verdict == "text") if chunked else is_text(verdict, F.col("content"), options.strict_boundary)
+    return m.filter(text & ~P.is_reserved(F.col("path")) & ~default_hit(F.col("path"))).select("repo", "path", "part", "content")
 
 
-ORDER = ["repo", "section", "key"]
+def decided_parts(decisions: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """The rows of section 2: ``(repo, key, path, part, n, readable, before, last)``, one a chunk; a whole
+    file, or one that cannot be read, is one part."""
+    whole = decisions.select("repo", "key", "path", F.lit(0).cast("bigint").alias("part"), F.col("size").alias("n"),
+                             "readable", F.lit(bytearray()).alias("before"), F.lit(True).alias("last"))
+    if chunks is None:
+        return whole
+    files = lookup_side(decisions.filter("readable").select("repo", "key", "path", "readable"))
+    parts = chunks.select("repo", "path", F.col("start").alias("part"), "n", "before", "last").join(files, ["repo", "path"])
+    return parts.select(*whole.columns).unionByName(whole.filter("NOT readable"))
 
 
-def assemble(meta_rows: DataFrame, decisions: DataFrame, manifest: DataFrame,
+def assemble(meta_rows: DataFrame, parts: DataFrame, manifest: DataFrame,
              num_partitions: int | None = None, options: Options = DEFAULT) -> DataFrame:
-    """``(repo, section, key, text, n_chars, counted)`` in document order per partition."""
+    """``(repo, section, key, text, n_chars, counted)`` in document order per partition; of a chunked
+    manifest also ``part``, as a file's section then has a row for each chunk."""
     n = num_partitions or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    meta = meta_rows.select(*ORDER, "text", "counted", F.lit(None).cast("string").alias("path"),
+    order = ["repo", "section", "key", "part"]
+    info = ["path", "readable", "before", "last"]
+    meta = meta_rows.select("repo", "section", "key", F.lit(0).cast("bigint").alias("part"), "text", "counted",
+                            *[F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in info],
                             F.length("text").cast("bigint").alias("weight"))
-    dec = decisions.select("repo", F.lit(SEC_CONTENT).alias("section"), "key", F.lit(None).cast("string").alias("text"),
-                           F.lit(True).alias("counted"), "path", (F.col("size") + 1).alias("weight"))
-    placed = cut_lineage(running_before(meta.unionByName(dec), ORDER, "weight"))
+    dec = parts.select("repo", F.lit(SEC_CONTENT).alias("section"), "key", "part", F.lit(None).cast("string").alias("text"),
+                       F.lit(True).alias("counted"), *info, (F.col("n") + 1).alias("weight"))
+    placed = cut_lineage(running_before(meta.unionByName(dec), order, "weight", "before_all"))
     total = placed.agg(F.sum("weight")).first()[0] or 1
-    placed = placed.withColumn("range", (F.col("before") * F.lit(n) / F.lit(total)).cast("int"))
-    body = body_candidates(manifest, options)
-    kept = placed.filter(F.col("section") == SEC_CONTENT).join(body, ["repo", "path"])
-    none = F.lit(None).cast("binary").alias("content")
-    cols = [*ORDER, "text", "counted", "path", "range"]
-    u = placed.filter(F.col("section") != SEC_CONTENT).select(*cols, none).unionByName(kept.select(*cols, "content"))
-    u = u.repartitionById(n, F.least("range", F.lit(n - 1))).sortWithinPartitions(*ORDER)
-    text = F.when(F.col("section") == SEC_CONTENT, file_section(F.col("path"), F.col("content"))).otherwise(F.col("text"))
-    out = u.select(*ORDER, text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), "counted")
+    placed = placed.withColumn("range", (F.col("before_all") * F.lit(n) / F.lit(total)).cast("int"))
+    cols = [*order, "text", "counted", *info, "range"]
+    bodies = body_candidates(manifest, options)
+    kept = placed.filter("readable").join(bodies, ["repo", "path", "part"]).select(*cols, "content")
+    rest = placed.filter("readable IS NOT TRUE").select(*cols, F.lit(None).cast("binary").alias("content"))
+    u = rest.unionByName(kept).repartitionById(n, F.least("range", F.lit(n - 1))).sortWithinPartitions(*order)
+    text = F.when(F.col("readable"), section_part("start" in manifest.columns)).when(
+        F.col("section") == SEC_CONTENT, error_section(F.col("path"))).otherwise(F.col("text"))
+    out = u.select(*order, text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), "counted")
+    if "start" not in manifest.columns:
+        out = out.drop("part")
     out._document_order = True  # for the sink; no derived frame has it
     return out
 
 
+def section_part(chunked: bool) -> Column:
+    """The text of a readable row of section 2."""
+    if not chunked:
+        return file_section(F.col("path"), F.col("content"))
+    nothing = F.lit("")
+    opening = F.concat(F.lit(FILE_SECTION_OPEN), F.col("path"), F.lit(FILE_SECTION_CLOSE))
+    piece = piece_text(F.col("before"), F.col("content"), F.col("last"))
+    return F.concat(F.when(F.col("part") == 0, opening).otherwise(nothing), piece,
+                    F.when(F.col("last"), F.lit(FILE_SECTION_TAIL)).otherwise(nothing))
+
+
 class Snapshot:
     """The frames of a snapshot job, each made when first asked for; those with several readers (the
     scan's, and the metadata sections, read by statistics and the document) are tables in the
@@ -121,7 +152,7 @@ class Snapshot:
 
     def sections(self) -> DataFrame:
         """The document's rows; partitioned and sorted in document order."""
-        return assemble(self.header.unionByName(self.small_rows), self.decisions, self.manifest,
+        return assemble(self.header.unionByName(self.small_rows), decided_parts(self.decisions, self.scan.chunks), self.manifest,
                         self.num_partitions or self.body_partitions(), self.options)
 
     def body_partitions(self) -> int:

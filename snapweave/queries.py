@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .functions.text import read_text, size_label, sniff_is_text
 from .operators import combine as C
+from .operators.chunks import chunked_facts, pieces, placed, summaries
 from .operators.classify import file_facts
 from .functions.globs import java_regex, translate
 from .operators.rules import rule_files, rule_lines, rule_summary
@@ -23,7 +24,7 @@ from .operators.tree import last_siblings, tree_entries, tree_lines
 from .plans.joins import lookup_side
 from .plans.prefix import running_before, section_offsets
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
-from .session import scratch_path
+from .session import cut_lineage, scratch_path
 from .sinks import write_snapshot, write_stats
 from .sources.fixtures import messy_table, repo_manifest, site_manifest
 from .sources.manifest import manifest_from_table, manifest_rejects
@@ -185,6 +186,33 @@ def q_manifest_table(spark, sf_dir):
     return m.select("repo", "path", "size", read_text(F.col("content")).alias("text"))
 
 
+def cut_up(manifest: DataFrame) -> DataFrame:
+    """A chunked manifest from whole files: each is cut after every so many bytes, 1 to 997 by its name,
+    within characters and line ends as it happens."""
+    step = F.pmod(F.xxhash64("repo", "path"), F.lit(997)) + 1
+    at = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.octet_length("content") - 1, F.lit(0)).cast("bigint"), step)
+    each = manifest.select("repo", "path", "size", "content", step.alias("step"), F.explode(at).alias("start"))
+    part = F.substring("content", (F.col("start") + 1).cast("int"), F.col("step").cast("int"))
+    return each.select("repo", "path", "start", part.alias("content"), "size")
+
+
+def q_chunk_text(spark, sf_dir):
+    """X1-X3 over chunks: every file cut up, decoded piece by piece, and put together again."""
+    _, m = _messy(spark, sf_dir, rejects="apart")
+    chunks = cut_up(m)
+    found = pieces(chunks, cut_lineage(placed(cut_lineage(summaries(chunks)))))
+    return found.groupBy("repo", "path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text"),
+        F.sum("n_chars").alias("n_chars"))
+
+
+def q_chunk_facts(spark, sf_dir):
+    """P11, P12 and A5 over chunks."""
+    chunks = cut_up(docs_manifest(spark, sf_dir))
+    return chunked_facts(cut_lineage(placed(cut_lineage(summaries(chunks))))).select(
+        "repo", "path", "size", "readable", "by_name", "sniff_text", "is_text", "text_chars")
+
+
 def q_manifest_rejects(spark, sf_dir):
     t, _ = _messy(spark, sf_dir, rejects="apart")
     return manifest_rejects(t, repo="source", path="full", root="root")
@@ -277,6 +305,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_match_grammar": q_rule_match_grammar,
     "manifest_table": q_manifest_table,
     "manifest_rejects": q_manifest_rejects,
+    "chunk_text": q_chunk_text,
+    "chunk_facts": q_chunk_facts,
     "manifest_clashes": q_manifest_clashes,
     "stats_sink": q_stats_sink,
     "snapshot_sink": q_snapshot_sink,

@@ -13,12 +13,16 @@ def write_snapshot(sections: DataFrame, out_dir: str, num_partitions: int | None
     Rows that ``assemble`` made are range-partitioned and sorted already, and are written as they
     are. Rows from anywhere else (stored and read back, filtered, repartitioned) are brought into
     that order here, as their plan shows. Every section ends with a newline and the text writer
-    adds one per row, so one is taken off first."""
-    order = ["repo", "section", "key"]
+    adds one per row, so one is taken off first; the chunks of a chunked manifest must end lines, too."""
+    chunked = "part" in sections.columns
+    order = ["repo", "section", "key", *["part"] * chunked]
     if not in_document_order(sections):
         n = num_partitions or int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sections = sections.repartitionByRange(n, *order).sortWithinPartitions(*order)
     value = F.expr("substr(text, 1, length(text) - 1)")
+    if chunked:
+        told = F.concat(F.lit("a chunk ends within a line: "), "repo", F.lit("/"), "key")
+        value = F.when(F.col("text").endswith("\n"), value).otherwise(F.raise_error(told).cast("string"))
     _replacing(sections.select("repo", value.alias("value"))).text(out_dir)
 
 

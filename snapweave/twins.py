@@ -376,6 +376,13 @@ def oracle_sql() -> dict[str, str]:
             f"regexp_matches(path, {lit(rx)}) AS hit_{i:02d}" for i, rx in enumerate(GRAMMAR_RX)) + " FROM ent"),
         "manifest_table": _with(messy_ctes(), "SELECT repo, path, size, replace(replace(shown, chr(13) || chr(10), chr(10)), "
                                               "chr(13), chr(10)) AS text FROM manifest"),
+        "chunk_text": _with(
+            messy_ctes(), "SELECT repo, path, text, length(text)::BIGINT AS n_chars FROM (SELECT repo, path, replace(replace(shown, "
+                          "chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM manifest) WHERE text IS NOT NULL"),
+        "chunk_facts": _docs(
+            "SELECT t.repo, t.path, t.size, t.readable, t.by_name, CASE WHEN t.by_name IS NULL THEN t.sniff_text END AS sniff_text, "
+            "t.is_text, CASE WHEN NOT f.reserved AND NOT f.default_hit THEN t.text_chars END AS text_chars "
+            "FROM facts3 t JOIN flags f ON f.repo = t.repo AND f.path = t.path AND NOT f.is_dir"),
         "manifest_rejects": _with(messy_ctes(), "SELECT repo, given AS path, reason FROM t3 WHERE reason IS NOT NULL"),
         "manifest_clashes": _with(messy_ctes() + scan_ctes(), "SELECT repo, path, is_dir, disposition FROM disp"),
         "stats_sink": _docs("SELECT repo, text_files, binary_files, ignored_items, total_files, total_chars, errors, "

@@ -30,7 +30,7 @@ def _tree(base):
 def test_tree_source_keeps_hidden_names(spark):
     base = tempfile.mkdtemp(prefix="snapweave-tree-")
     files = _tree(base)
-    m = manifest_from_tree(spark, [base], repos=["proj"])
+    m = manifest_from_tree(spark, [base], repos=["proj"], prune=False)
     rows = {r["path"]: r for r in m.filter("NOT is_dir").collect()}
     assert set(rows) == set(files)
     assert rows["src/a.py"]["content"] == bytearray(b"print(1)\n")
@@ -80,16 +80,104 @@ def test_unlistable_folders_have_no_entries(monkeypatch):
 def test_bounded_reads():
     from snapweave.sources import tree_source as T
     base = tempfile.mkdtemp(prefix="snapweave-tree-")
-    import re
-    dropped = re.compile("^never$")
     for name, data, want in (("a.zzz", b"\0" * 9000, 4096), ("b.zzz", b"text " * 2000, 10_000), ("c.mp4", b"x" * 9000, None),
-                             ("d.txt", b"\0" * 9000, 9000), ("e.zzz", b"\xff" + b"a" * 8000, 4096)):
+                             ("d.txt", b"\0" * 9000, 9000), ("e.zzz", b"\xff" + b"a" * 8000, 4096), ("f.txt", b"", 0)):
         full = os.path.join(base, name)
         with open(full, "wb") as f:
             f.write(data)
-        got = T.read_bytes(full, name, dropped)
-        assert (None if got is None else len(got)) == want, name
-    assert T.read_bytes(os.path.join(base, "missing"), "missing", dropped) is None
+        got = list(T.read_file(full, name, len(data), False, None, 1 << 20))
+        assert [(s, None if d is None else len(d)) for s, d in got] == [(0, want)], name
+        assert list(T.read_file(full, name, len(data), True, None, 1 << 20)) == [(0, None)]
+    assert list(T.read_file(os.path.join(base, "missing"), "missing", 5, False, None, 99)) == [(0, None)]
+
+
+def test_spans_and_chunks_are_the_file():
+    import io
+    import random
+    from snapweave.sources import tree_source as T
+    rng = random.Random(6)
+    for _ in range(400):
+        data = b"".join(rng.choice([b"a", b"\n", b"\r\n", b"long " * 5]) for _ in range(rng.randint(0, 60)))
+        split, limit = rng.randint(1, 80), rng.randint(1, 40)
+        rows = [r for a in range(0, len(data), split) for r in T.chunks_of(io.BytesIO(data), len(data), (a, min(len(data), a + split)), limit)]
+        at = 0
+        for start, some in rows:
+            assert start == at and some and (some.endswith(b"\n") or start + len(some) == len(data))
+            at += len(some)
+        assert b"".join(x for _, x in rows) == data
+
+
+def test_a_line_too_long_for_a_cell_makes_a_file_unreadable(monkeypatch):
+    from snapweave.sources import tree_source as T
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    with open(os.path.join(base, "x.txt"), "wb") as f:
+        f.write(b"ok\n" + b"y" * 5000 + b"\nrest\n")
+    monkeypatch.setattr(T, "MAX_BYTES", 4000)
+    rows = list(T.read_file(os.path.join(base, "x.txt"), "x.txt", 5009, False, None, 1000))
+    assert rows[-1][1] is None and all(d is None or d.endswith(b"\n") for _, d in rows)
+
+
+def test_large_files_are_many_rows_and_tasks(spark):
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    line = "räksmörgås %06d €\r\n"
+    text = "".join(line % i for i in range(20_000))
+    data = text.encode()
+    for name in ("big.txt", "big.zzz", "sub/big.py"):
+        os.makedirs(os.path.dirname(os.path.join(base, name)), exist_ok=True)
+        with open(os.path.join(base, name), "wb") as f:
+            f.write(data)
+    with open(os.path.join(base, "big.bin9"), "wb") as f:
+        f.write(b"\0" + data)
+    m = manifest_from_tree(spark, [base], repos=["p"], chunk_bytes=30_000, split_bytes=150_000)
+    rows = m.filter("NOT is_dir").select("path", "start", F.octet_length("content").alias("n"), F.spark_partition_id().alias("task")).collect()
+    for name in ("big.txt", "big.zzz", "sub/big.py"):
+        mine = [r for r in rows if r.path == name]
+        assert sum(r.n for r in mine) == len(data) and len(mine) > 10 and max(r.n for r in mine) < 31_000
+        assert len({r.task for r in mine}) == -(-len(data) // 150_000)
+    assert [(r.start, r.n) for r in rows if r.path == "big.bin9"] == [(0, 4096)]
+    snap = Snapshot(m)
+    st = snap.stats.first()
+    assert (st.text_files, st.binary_files, st.errors) == (3, 1, 0)
+    sec = snap.sections().filter("section = 2").orderBy("key", "part").collect()
+    want = text.replace("\r\n", "\n")
+    documents = "".join(r.text for r in sec)
+    assert documents.count(want) == 3 and len(sec) > 30
+
+
+def test_pruned_folders_are_not_listed(monkeypatch):
+    from snapweave.sources import tree_source as T
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    _tree(base)
+    for rel in ("node_modules/pkg/deep/er/x.js", "build_out/a/b.txt", "keep/k.py"):
+        p = os.path.join(base, rel)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        open(p, "wb").close()
+    with open(os.path.join(base, ".gitignore"), "ab") as f:
+        f.write(b"build_out\n")
+    listed, real = [], os.scandir
+    monkeypatch.setattr(T.os, "scandir", lambda p: listed.append(os.path.relpath(p, base)) or real(p))
+    for target in ("1", "256"):
+        for prune, never in (("true", {"node_modules/pkg", "build_out", ".codebase"}), ("false", set())):
+            listed.clear()
+            reader = T.TreeReader({"paths": f'["{base}"]', "repos": '["p"]', "prune": prune, "targetPartitions": target})
+            rows = {r[1]: r for part in reader.partitions() for r in reader.read(part)}
+            assert never.isdisjoint(listed) and not any(p.startswith("node_modules/pkg/") for p in listed if never)
+            assert {"node_modules/pkg", "build_out", ".codebase/track_ignore.txt", "keep/k.py"} <= set(rows)
+            assert ("node_modules/pkg/deep/er/x.js" in rows) == (prune == "false")
+            assert (rows["src/a.py"][3] is None) == (prune == "true")  # dropped by the repository's own rule
+
+
+def test_pruning_changes_no_document(spark):
+    base = tempfile.mkdtemp(prefix="snapweave-tree-")
+    _tree(base)
+    os.makedirs(os.path.join(base, "node_modules/pkg/deep"))
+    for as_git in (False, True):
+        from snapweave.options import Options
+        a, b = (Snapshot(manifest_from_tree(spark, [base], repos=["p"], prune=prune, prune_folders=as_git),
+                         options=Options(prune_folders=as_git)) for prune in (True, False))
+        order = ["section", "key"]
+        assert a.sections().orderBy(*order).collect() == b.sections().orderBy(*order).collect()
+        assert a.stats.collect() == b.stats.collect()
 
 
 def test_names_are_judged_as_in_the_table(spark):
@@ -163,7 +251,7 @@ def test_tree_source_splits_large_folders(spark):
             fh.write(b"%d" % i)
     want = set(files) | {f"src/big/f{i}.py" for i in range(30)}
     for target, per, least in ((1, 5000, 1), (4, 7, 3), (256, 7, 10)):
-        m = manifest_from_tree(spark, [base], repos=["proj"], target_partitions=target, files_per_partition=per)
+        m = manifest_from_tree(spark, [base], repos=["proj"], target_partitions=target, files_per_partition=per, prune=False)
         got = [r["path"] for r in m.filter("NOT is_dir").collect()]
         assert sorted(got) == sorted(want)  # each file exactly once
         assert m.rdd.getNumPartitions() >= least
