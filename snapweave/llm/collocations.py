@@ -3,8 +3,8 @@
 A phrase of 2 to 5 words is a candidate if it occurs often enough; it is scored at its weakest cut by how
 much more often it occurs than its two parts would together by chance.
 
-1. Chunks. Tasks turn texts into streams of word places, ``CHUNK`` words or more each (whole documents; a
-   break after each piece), written once beside the chunk's sorted list of words with their counts.
+1. Chunks. Tasks turn texts into streams of word places, ``CHUNK`` words or more each (whole documents of one
+   language; a break after each piece), written once beside the chunk's sorted list of words with their counts.
 2. Orders. A chunk sends each bucket of words (by a hash of the word) one packed run of its distinct
    words and counts. A task merges the runs of a bucket, numbers the words that are frequent, and answers
    each chunk with the numbers of its own. The chunk pairs neighbouring frequent words; an m-gram is
@@ -49,6 +49,8 @@ from .common import mixed, table
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a chunk, bytes of text that are split at once.
 CHUNK, SLICE = 1_000_000, 1 << 22
+#: Chunks' worth of words that a task holds of all languages.
+HELD = 4
 #: Words or pairs of all chunks that a task merges.
 BUCKET = 1_000_000
 BREAK = b"\xff"  # no byte of UTF-8
@@ -143,12 +145,12 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
     def run(batches):
         task, number, open_chunks, held = TaskContext.get().partitionId(), 0, {}, 0
 
-        def flushed():
-            nonlocal number
-            for lang, chunk in open_chunks.items():
-                yield pa.RecordBatch.from_pylist([chunk.row(task << 32 | number, lang)], schema=schema)
-                number += 1
-            open_chunks.clear()
+        def flushed(lang: str):
+            nonlocal number, held
+            chunk = open_chunks.pop(lang)
+            held -= chunk.words
+            number += 1
+            return pa.RecordBatch.from_pylist([chunk.row(task << 32 | number, lang)], schema=schema)
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("t")):
@@ -156,10 +158,12 @@ def chunked(docs: DataFrame, text_col: str, lang_col: str, size: int = CHUNK) ->
                 held -= chunk.words
                 chunk.add(text.as_py())
                 held += chunk.words
-                if held >= size:
-                    yield from flushed()
-                    held = 0
-        yield from flushed()
+                if chunk.words >= size:
+                    yield flushed(lang)
+                while held >= HELD * size:  # many languages: the largest goes
+                    yield flushed(max(open_chunks, key=lambda x: open_chunks[x].words))
+        for lang in list(open_chunks):
+            yield flushed(lang)
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("t"))
     return rows.filter("t IS NOT NULL").mapInArrow(run, CHUNKS)
