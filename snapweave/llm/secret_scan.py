@@ -50,15 +50,17 @@ CLASSES = (
     CharClass("base64", "A-Za-z0-9+/_=-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9),
 )
 #: Candidates of these shapes are no secrets: words and their compounds, numbers and dates, rulers,
-#: constants in capitals, UUIDs, and strings that name themselves as samples.
+#: constants in capitals, and UUIDs.
 ALLOW = (
     r"^[A-Z]?[a-z]+([-_/=+]+[A-Z]?[a-z]+)*[-_/=+]*$",
     r"^[0-9]+([-_/+=][0-9]+)*$",
     r"^[-_/=+]+$",
     r"^[A-Z]+([-_/=+]+[A-Z]+)*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)(example|sample|placeholder|changeme|xxxx)",
 )
+#: Spans that name themselves as samples are none either. Tested is the longest piece between ``/`` and ``=`` of
+#: the span, as its candidate may be a path with ``examples/`` in it.
+SAMPLE = r"(?i)(example|sample|placeholder|changeme|xxxx)"
 
 
 def allowed(candidate: Column) -> Column:
@@ -107,9 +109,14 @@ def entropy_spans(text: Column, c: CharClass, kind: int) -> Column:
     found = matches(text, pattern, kind, pattern, lambda m: ~allowed(m))
     hot = F.transform(found, lambda s: F.struct(
         s.alias("s"), hot_windows(F.substring(text, s["start"] + 1, s["end"] - s["start"]), c).alias("hot")))
-    return F.transform(F.filter(hot, lambda h: h["hot"]["first"].isNotNull()), lambda h: F.struct(
+    spans = F.transform(F.filter(hot, lambda h: h["hot"]["first"].isNotNull()), lambda h: F.struct(
         (h["s"]["start"] + h["hot"]["first"] - c.width).alias("start"), h["s"]["kind"].alias("kind"),
         (h["s"]["start"] + h["hot"]["last"]).alias("end")))
+    return F.filter(spans, lambda s: ~longest_piece(F.substring(text, s["start"] + 1, s["end"] - s["start"])).rlike(SAMPLE))
+
+
+def longest_piece(span: Column) -> Column:
+    return F.array_max(F.transform(F.split(span, "[/=]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
 
 
 def outside(spans: Column, others: Column) -> Column:
@@ -170,10 +177,12 @@ def sql() -> str:
         n = f"c_{c.name}"
         parts.append(found(n, f"[{c.chars}]{{{c.width},}}", 3, f"NOT ({allow})"))
         parts.append(f"""{n}_win AS (
-  SELECT rid, s, i, list_aggregate(string_split(substr(m, i, {c.width}), ''), 'entropy') AS h
+  SELECT rid, s, m, i, list_aggregate(string_split(substr(m, i, {c.width}), ''), 'entropy') AS h
   FROM (SELECT *, unnest(range(1, len(m) - {c.width} + 2)) AS i FROM {n}_kept)),
 {n}_hot AS (SELECT rid, 3 AS kind, s + min(i) - 1 AS s, s + max(i) - 1 + {c.width} AS e
-            FROM {n}_win WHERE h >= {c.bits} - 1e-9 GROUP BY rid, {n}_win.s),
+            FROM {n}_win WHERE h >= {c.bits} - 1e-9 GROUP BY rid, {n}_win.s, m
+            HAVING NOT regexp_matches(list_max(list_transform(string_split_regex(
+                substr(m, min(i), max(i) - min(i) + {c.width}), '[/=]'), lambda p: {{'n': len(p), 'p': p}})).p, '{SAMPLE}')),
 {n}_new AS (SELECT * FROM {n}_hot h WHERE NOT EXISTS (
               SELECT 1 FROM {held} b WHERE b.rid = h.rid AND b.s <= h.s AND b.e >= h.e)),
 {n}_all AS (SELECT rid, kind, s, e FROM {held} UNION ALL SELECT rid, kind, s, e FROM {n}_new)""")

@@ -30,7 +30,8 @@ def brute(t):
                 h = -sum(x / c.width * math.log2(x / c.width) for x in n.values())
                 if h >= c.bits - 1e-9:
                     hot.append(i)
-            if hot:
+            if hot and not re.search(
+                    S.SAMPLE, max((len(p), p) for p in re.split("[/=]", m[0][hot[0]:hot[-1] + c.width]))[1]):
                 new.append((m.start() + hot[0], 3, m.start() + hot[-1] + c.width))
         added += [s for s in new if not any(b[0] <= s[0] and b[2] >= s[2] for b in base + added)]
     return sorted(base), sorted(added)
@@ -63,3 +64,14 @@ def test_spans(spark):
 def test_allow_list(spark, word):
     df = spark.createDataFrame([(1, f"see {word} here")], "doc_id long, text string")
     assert S.scan(df).first()["added"] == []
+
+
+KEY = "q7Zk0vXr2LmN9sTbW4yHcJ8dFgP1aQeU3iOxVuBw"
+
+
+@pytest.mark.parametrize("text,found", [(f"see examples/config/{KEY}", True), (f"sample-values/{KEY}", True), (f"x{KEY[:20]}example{KEY[20:]}", False),
+                                        (f"a/very/plain/path/of/xxxx/things/{KEY}", True)])
+def test_sample_names_count_in_the_span_only(spark, text, found):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = S.scan(df).first()["added"]
+    assert bool(spans) == found and all(text[s.start:s.end].find(KEY[-10:]) >= 0 for s in spans)
