@@ -325,15 +325,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         before = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        # The sides with one row a node are written: a node may be the centre of most edges, and AQE splits hot
+        # keys only of shuffles that the planner inserts.
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .filter("a <> b").distinct()
         large = cut_lineage(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        drop_table(least)
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                                             F.col("m").alias("b")).filter("a <> b").distinct()
         edges = cut_lineage(small)
         drop_table(large)
+        drop_table(low)
         # Done when every node has one edge, to a root: the edges no longer change.
         same = edges.count() == before.count() and edges.join(before, ["a", "b"], "left_anti").isEmpty()
         drop_table(before)
@@ -348,8 +352,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(points, max_bits))
     named = points.join(roots, points["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    least = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_fp = cut_lineage(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
     return marked.join(of_fp, "fp").select("id", "fp", "root", "component_id")
 
 

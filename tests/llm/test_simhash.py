@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from snapweave.llm import simhash as S
 from snapweave.session import cut_lineage
@@ -161,3 +162,40 @@ def test_links_of_a_dense_ball(spark, monkeypatch):
         groups.setdefault(w, set()).add(roots.get(p, p))
     assert all(len(g) == 1 for g in groups.values())
     assert len(set().union(*groups.values())) == len(groups)
+
+
+def test_hot_centres_are_split(spark, monkeypatch):
+    """A third of all points in one component: every join that meets its centre splits it."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "32KB", "spark.sql.files.openCostInBytes": "1KB"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    plans = []
+    plain = S.cut_lineage
+
+    def noted(df):
+        out = plain(df)
+        plans.append(df)
+        return out
+
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 60_001).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") - F.col("id") % 7).alias("a"),
+                                             F.col("id").alias("b")).filter("a <> b").repartition(8)
+        both = plain(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = plain(both.groupBy("a").agg(F.min("b").alias("m")))
+        joined = both.join(least, "a")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(S, "cut_lineage", noted)
+        roots = {r.node: r.root for r in S.components(star).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert all(roots[i] == 0 for i in range(1, 60_001) if i % 3)
+    # The side with a row a node reaches its join through a scan, not an aggregate that is partitioned already.
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not ("Join" in plan and "Aggregate" in plan.split("Join", 1)[1]), plan
