@@ -8,8 +8,8 @@ The recursive renderer of the original becomes flat set operations; no recursion
    with the closing symbol. A partial aggregate, so a giant folder never lands on one task whole.
 3. ``child_prefixes`` (J5, X9): per directory, the prefix its children's lines start with: one
    4-character piece per ancestor-or-self, blank when that ancestor is a last sibling. Built on
-   directories only: explode ancestors-or-self, equi-join with the directories' last flags, and
-   assemble at most ``depth`` pieces per directory.
+   directories only, in as many joins as the logarithm of the greatest depth; a round's rows are as many
+   as the directories, however deep they are, and the side with one row a directory is a written table.
 4. ``tree_lines``: one equi-join of entries with their folder's ``(last child, child prefix)``;
    the line order is the string key of :func:`..functions.paths.tree_key` (O1).
 Ignored directories have no children left after pruning, so they show without expansion (X11).
@@ -24,6 +24,7 @@ from ..functions import paths as P
 from ..functions.constants import (RESERVED_DIR, TREE_BRANCH, TREE_LAST, TREE_ROOT, TREE_SPACE,
                                    TREE_TEE)
 from ..plans.joins import lookup_side
+from ..session import cut_lineage, drop_table
 
 
 def tree_entries(visible: DataFrame, hide_dunder: bool = True) -> DataFrame:
@@ -46,19 +47,19 @@ def last_siblings(te: DataFrame) -> DataFrame:
 
 
 def child_prefixes(te: DataFrame, last: DataFrame) -> DataFrame:
-    """J5 + X9: ``(repo, path, child_prefix)`` for every directory of the tree. """
-    dirs = te.filter(F.col("is_dir"))
-    flags = dirs.join(last.select("repo", "parent", "last"), ["repo", "parent"], "inner").select(
-        "repo", F.col("path").alias("anc"), (_order_struct() == F.col("last")).alias("anc_last"),
-        F.col("depth").alias("anc_depth"))
-    expl = dirs.select("repo", "path", F.explode(
-        F.concat(P.ancestors(F.col("path")), F.array(F.col("path")))).alias("anc"))
-    pieces = expl.join(flags, ["repo", "anc"], "inner").select(
-        "repo", "path", F.struct("anc_depth", F.when(F.col("anc_last"), F.lit(TREE_SPACE))
-                                 .otherwise(F.lit(TREE_BRANCH)).alias("piece")).alias("p"))
-    return pieces.groupBy("repo", "path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "")
-        .alias("child_prefix"))
+    """J5 + X9: ``(repo, path, child_prefix)`` for every directory of the tree, by pointer doubling: each
+    directory holds the pieces from below some ancestor (at first its parent) down to itself; a round puts
+    before them what that ancestor holds. ``last``: the written result of :func:`last_siblings`."""
+    piece = F.when(_order_struct() == F.col("last"), F.lit(TREE_SPACE)).otherwise(F.lit(TREE_BRANCH))
+    held = cut_lineage(te.filter(F.col("is_dir")).join(last.select("repo", "parent", "last"), ["repo", "parent"]).select(
+        "repo", "path", F.col("parent").alias("up"), piece.alias("child_prefix")))
+    while not held.filter("up <> ''").isEmpty():
+        above = held.select("repo", F.col("path").alias("up"), F.col("up").alias("next"), F.col("child_prefix").alias("front"))
+        before, held = held, cut_lineage(held.join(above, ["repo", "up"], "left").select(
+            "repo", "path", F.coalesce("next", F.lit("")).alias("up"),
+            F.concat(F.coalesce("front", F.lit("")), F.col("child_prefix")).alias("child_prefix")))
+        drop_table(before)
+    return held.select("repo", "path", "child_prefix")
 
 
 def tree_lines(visible: DataFrame, max_depth: int | None = None, hide_dunder: bool = True) -> DataFrame:
@@ -66,7 +67,7 @@ def tree_lines(visible: DataFrame, max_depth: int | None = None, hide_dunder: bo
     Sorting by ``(repo, key)`` gives the drawing order. ``max_depth=k`` keeps depths 0..k (P15).
     The per-folder side of the join with entries is a table, so AQE can split a hot folder."""
     te = tree_entries(visible, hide_dunder)
-    last = last_siblings(te)
+    last = lookup_side(last_siblings(te))
     prefixes = child_prefixes(te, last)
     folders = lookup_side(last.join(prefixes.withColumnRenamed("path", "parent"), ["repo", "parent"], "left"))
     shown = te if max_depth is None else te.filter(F.col("depth") <= max_depth)

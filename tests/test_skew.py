@@ -107,3 +107,32 @@ def test_hot_folder_joins_are_split(spark):
 
     # root, big/, 4000 files, sub/, h.log, node_modules/, pkg/, 12 folders with 4 files each
     assert _with_conf(spark, run) == 1 + 1 + 4000 + 1 + 1 + 1 + 1 + 12 * 5
+
+
+def test_hot_folder_of_folders_is_split(spark):
+    """One folder holds most of all folders: the join of folders with their parent's last child splits it."""
+    from snapweave.operators import tree
+    rows = [("r", f"hot/d{i:05d}/x.py", b"") for i in range(6000)] + [("r", f"c{i % 40}/e{i}/y.py", b"") for i in range(400)]
+    te = cut_lineage(tree.tree_entries(entries(file_facts(make_manifest(spark, rows), with_chars=False)).repartition(8)))
+    old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    try:
+        for k, v in SKEW_CONF.items():
+            spark.conf.set(k, v)
+        last = cut_lineage(tree.last_siblings(te))
+        joined = te.filter("is_dir").join(last.select("repo", "parent", "last"), ["repo", "parent"])
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {len(r.child_prefix) // 4 for r in tree.child_prefixes(te, last).collect()} == {1, 2}
+
+
+def test_deep_paths(spark):
+    from snapweave.operators.tree import tree_lines
+    deep = "/".join(f"d{i}" for i in range(500))
+    m = make_manifest(spark, [("r", f"{deep}/x.py", b""), ("r", "a/b/c.py", b""), ("r", "z.py", b"")])
+    lines = [r.line for r in tree_lines(Scan(m, with_chars=False).dispositions).orderBy("key").collect()]
+    assert len(lines) == 1 + 500 + 1 + 2 + 1 + 1
+    at = next(i for i, x in enumerate(lines) if x.endswith("x.py"))
+    assert lines[at] == "\u2502   " + " " * 4 * 499 + "\u2514\u2500\u2500 x.py"
