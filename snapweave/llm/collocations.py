@@ -403,11 +403,18 @@ WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+lists AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, pid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists),
+sizes AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+windows AS (
+    SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4,
+           lead(word, 4) OVER p AS w5 FROM words WINDOW p AS (PARTITION BY pid ORDER BY i)),
 grams AS (
-    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m
-    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) t(m))),
+    SELECT lang, w1 AS phrase, 1 AS m FROM windows
+    UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM windows WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM windows WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM windows WHERE w4 IS NOT NULL
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5 FROM windows WHERE w5 IS NOT NULL),
 counts AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
 parts AS (
     SELECT lang, phrase, f AS a, m, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS lhs,
