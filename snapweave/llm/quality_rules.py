@@ -186,12 +186,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns; texts are not shuffled. Rows and counts are
-    written once, for the fit (which reads the counts alone) and for the verdicts."""
-    rows = rows_of(docs, id=F.col("doc_id"), text=F.col("text"), lang=text_or_empty("lang"))
-    f = cut_lineage(features(rows, keep=[F.col("id"), F.col("lang"), F.col("row")]))
-    cut = fitted(docs, labels, f)
-    return f.join(cut, f["_1"] == cut["stratum"], "left").filter(verdict()).select("_2.*")
+    """The rows of ``docs`` that the rules keep, all columns. The fit counts the labelled documents alone (found
+    by a semi-join without a hint, which moves texts only where the labels are too many to broadcast); the
+    verdicts count every document once, where it is read."""
+    known = cut_lineage(labels_of(labels).select(F.col("doc_id").alias("known_id")))
+    cut = fitted(docs.join(known, docs["doc_id"] == known["known_id"], "left_semi"), labels)
+    rows = rows_of(docs, text=F.col("text"), lang=text_or_empty("lang"))
+    f = features(rows, keep=[F.col("row"), F.col("lang")])
+    return f.join(cut, f["_1"] == cut["stratum"], "left").filter(verdict()).select("_0.*")
 
 
 def query(spark, sf_dir):
