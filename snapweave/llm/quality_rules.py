@@ -32,6 +32,8 @@ from .common import SPACE, SPACES, rows_of, table, text_or_empty, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_FALSE, DELTA, COST = 0.05, 0.05, 10
+#: Hash buckets of labelled ids that are sent to every executor: the bound of that broadcast, whatever the tables' size.
+LABEL_BUCKETS = 1 << 18
 #: Rule -> measure over the counted columns, candidate cutoffs from lenient to strict.
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", [4, 3, 2, 1.5, 1, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1,
@@ -185,12 +187,22 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumnRenamed("_0", "doc_id").drop("_1", "stratum", "cut")
 
 
+def maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id shares one of ``LABEL_BUCKETS`` hash buckets with a labelled id: all labelled
+    rows, and others that :func:`fitted` drops again by its exact join. The buckets, at most ``LABEL_BUCKETS``
+    rows, are broadcast, so no text is moved however many labels there are."""
+    def bucket(doc_id):
+        return F.pmod(F.xxhash64(doc_id.cast("bigint")), F.lit(LABEL_BUCKETS)).cast("int")
+
+    seen = cut_lineage(labels_of(labels).select(bucket(F.col("doc_id")).alias("label_bucket")).distinct())
+    return docs.join(F.broadcast(seen), bucket(docs["doc_id"]) == seen["label_bucket"], "left_semi")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns. The fit counts the labelled documents alone (found
-    by a semi-join without a hint, which moves texts only where the labels are too many to broadcast); the
-    verdicts count every document once, where it is read."""
-    known = cut_lineage(labels_of(labels).select(F.col("doc_id").alias("known_id")))
-    cut = fitted(docs.join(known, docs["doc_id"] == known["known_id"], "left_semi"), labels)
+    """The rows of ``docs`` that the rules keep, all columns. The fit counts the documents that may be labelled
+    and joins their counts, not their texts, with the labels; the verdicts count every document once, where
+    it is read."""
+    cut = fitted(maybe_labelled(docs, labels), labels)
     rows = rows_of(docs, text=F.col("text"), lang=text_or_empty("lang"))
     f = features(rows, keep=[F.col("row"), F.col("lang")])
     return f.join(cut, f["_1"] == cut["stratum"], "left").filter(verdict()).select("_0.*")

@@ -63,3 +63,32 @@ def test_few_labels_certify_nothing(spark):
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
     assert Q.apply_rules(docs, labels).filter("NOT kept").count() == 0
+
+
+def test_pipeline_stage_keeps_what_the_query_keeps(spark):
+    rows = texts(4000, 1)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(None, "x " * 60, "en"), (4, None, None)],
+                                 "doc_id long, text string, lang string").withColumn("label_bucket", F.lit(1))
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] % 2 == 0] + [(None, 1), (10**6, 1), (4, None)],
+                                   "doc_id int, quality int")
+    want = sorted(r.doc_id or -1 for r in Q.apply_rules(docs, labels).filter("kept").collect())
+    got = Q.keep_good(docs, labels)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in got.collect()) == want and len(want) < len(rows)
+
+
+def test_labels_move_no_text(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 50, 5)], "doc_id int, quality int")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        some = Q.maybe_labelled(docs, labels)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, plan
+        assert {r.doc_id for r in some.collect()} == set(range(0, 50, 5))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
