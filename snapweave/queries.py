@@ -25,7 +25,7 @@ from .plans.joins import lookup_side
 from .plans.prefix import running_before, section_offsets
 from .plans.snapshot import DEFAULT_TIMESTAMP, Snapshot
 from .session import cut_lineage, scratch_path
-from .sinks import write_snapshot, write_stats
+from .sinks import read_lines, write_snapshot, write_stats
 from .sources.fixtures import messy_table, repo_manifest, site_manifest
 from .sources.manifest import manifest_from_table, manifest_rejects
 
@@ -233,18 +233,26 @@ def q_stats_sink(spark, sf_dir):
 
 def q_snapshot_sink(spark, sf_dir):
     """S4, written and read back: lines and characters of each document, and a sum that any change of the
-    lines' order would change (line numbers over all part files, by running sums)."""
+    lines' order would change (line numbers over all part files: places within a block of a file, and
+    running sums of the blocks' lines)."""
     out = scratch_path(spark)
     write_snapshot(_snapshot(spark, sf_dir).sections(), out)
-    whole = spark.read.text(out, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    lines = whole.select("repo", "file", F.posexplode(F.split("value", "\n")).alias("at", "line"),
-                         (F.size(F.split("value", "\n")) - 1).alias("n")).filter("at < n")
-    numbered = running_before(lines.withColumn("one", F.lit(1)), ["repo", "file", "at"], "one", "number")
-    starts = numbered.groupBy("repo").agg(F.min("number").alias("start"))
+    return line_sums(read_lines(spark, out))
+
+
+def line_sums(lines: DataFrame) -> DataFrame:
+    """Of each document ``n_lines``, ``n_chars`` and ``order_sum``, the sum over lines of their number in the
+    document times their ``look``. Lines meet only in partial sums by block."""
     look = F.length("line") + F.ascii("line") + 1
+    blocks = lines.groupBy("repo", "file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("line") + 1).alias("chars"), F.min("at").alias("first"),
+        F.sum(look).alias("look"), F.sum(F.col("at") * look).alias("at_look"))
+    numbered = running_before(blocks, ["repo", "file", "block"], "n", "number")
+    starts = numbered.groupBy("repo").agg(F.min("number").alias("start"))
+    before = F.col("number") - F.col("start") - F.col("first") + 1
     return numbered.join(starts, "repo").groupBy("repo").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line") + 1).alias("n_chars"),
-        F.sum((F.col("number") - F.col("start") + 1) * look).alias("order_sum"))
+        F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"),
+        F.sum(F.col("at_look") + before * F.col("look")).alias("order_sum"))
 
 
 def q_section_offsets(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,16 @@ def write_snapshot(sections: DataFrame, out_dir: str, num_partitions: int | None
     _replacing(sections.select("repo", value.alias("value"))).text(out_dir)
 
 
+def read_lines(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The documents of ``write_snapshot`` again, ``(repo, file, block, at, line)``: a row per line, large part files
+    read in blocks by several tasks. Within a block (where in its file a task began to read) ``at`` counts
+    lines up by one, from any number; file, block and ``at`` order a document's lines."""
+    text = spark.read.text(out_dir, lineSep="\n")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its task
+    return text.select("repo", F.col("_metadata.file_name").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"), row.alias("at"), F.col("value").alias("line"))
+
+
 def in_document_order(sections: DataFrame) -> bool:
     """Does the plan end in the range partitioning and sort of ``assemble``?"""
     return getattr(sections, "_document_order", False)
