@@ -43,7 +43,8 @@ def _last(b: Column, n: int) -> Column:
 
 def open_bytes(b: Column) -> Column:
     """How many bytes at the end of ``b`` (0 to 3) are an unfinished UTF-8 sequence."""
-    return F.length(F.regexp_extract(F.hex(_last(b, 3)), _OPEN, 1)) / F.lit(2)
+    n = F.length(F.regexp_extract(F.hex(_last(b, 3)), _OPEN, 1)) / F.lit(2)
+    return F.when(_last(b, 1) < F.lit(bytearray(b"\x80")), F.lit(0.0)).otherwise(n)  # most end with ASCII
 
 
 def _open_part(before: Column) -> Column:
@@ -81,6 +82,7 @@ def summaries(chunks: DataFrame, options: Options = DEFAULT) -> DataFrame:
     n = F.octet_length(c)
     whole = n <= SHORT
     lead = F.length(F.regexp_extract(F.hex(F.substring(c, 1, 3)), f"^((?:{_CONT}){{0,3}})", 1)) / F.lit(2)
+    lead = F.when(F.substring(c, 1, 1) < F.lit(bytearray(b"\x80")), F.lit(0.0)).otherwise(lead)
     rest = F.substring(c, (lead + 1).cast("int"), (n - lead - open_bytes(c)).cast("int"))
     counts = ~whole & (F.col("by_name").isNull() | (F.col("by_name") == "text")) & ~P.is_reserved(p) & ~default_hit(p)
     sniffed = F.col("by_name").isNull() & (F.col("start") <= SNIFF_BYTES)
@@ -93,21 +95,29 @@ def summaries(chunks: DataFrame, options: Options = DEFAULT) -> DataFrame:
         F.when(p.isin(GITIGNORE_PATH, TRACK_IGNORE_PATH), c).alias("rule_bytes"))
 
 
-def states(summary: DataFrame) -> DataFrame:
-    """``(repo, path, start, before)``: the last three bytes before each place where a chunk may start."""
-    end = F.col("start") + F.col("n")
-    sent = summary.filter((F.col("n") > 0) & (end < F.col("size"))).select(
-        "repo", "path", F.explode(F.array(*[F.struct((end + d).alias("start"), end.alias("end"), _last(F.col("tail"), 3 - d).alias("b"))
-                                            for d in range(3)])).alias("s"))
+def states(summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last three bytes before each place where a chunk may start, twice ``(repo, path, start, ...)``: ``code``, as
+    a number, where a chunk of three bytes or more ends (a sum of its own in a hash map, no list), and
+    ``parts``, put together, where shorter ones end. Of a longer chunk only an open sequence is sent further
+    than to its end, as nothing else has a part in what comes there."""
+    end, tail, n = F.col("start") + F.col("n"), F.col("tail"), F.col("n")
+    sending = summary.filter((n > 0) & (end < F.col("size")))
+    code = F.conv(F.hex(tail), 16, 10).cast("bigint")
+    long = sending.filter(n >= 3).groupBy("repo", "path", end.alias("start")).agg(F.max(code).alias("code"))
+    to = [F.struct((end + d).alias("start"), end.alias("end"), _last(tail, 3 - d).alias("b")) for d in range(3)]
+    sent = sending.filter((n < 3) | (open_bytes(tail) > 0)).select(
+        "repo", "path", F.explode(F.when(n < 3, F.array(*to)).otherwise(F.array(*to[1:]))).alias("s"))
     got = sent.groupBy("repo", "path", F.col("s.start").alias("start")).agg(
         F.array_sort(F.collect_list(F.struct("s.end", "s.b"))).alias("parts"))  # three at most
     before = F.aggregate("parts", F.lit(bytearray()), lambda a, x: F.concat(a, x["b"]))
-    return got.select("repo", "path", "start", _last(before, 3).alias("before"))
+    return long, got.select("repo", "path", "start", _last(before, 3).alias("parts"))
 
 
 def placed(summary: DataFrame) -> DataFrame:
     """The written summaries with ``before``, ``last`` and ``chars``, the characters of the chunk's piece."""
-    x = summary.join(states(summary), KEY, "left").withColumn("before", F.coalesce("before", F.lit(bytearray())))
+    long, parts = states(summary)
+    known = F.coalesce(F.unhex(F.lpad(F.hex("code"), 6, "0")), F.col("parts"), F.lit(bytearray()))
+    x = summary.join(long, KEY, "left").join(parts, KEY, "left").withColumn("before", known).drop("code", "parts")
     x = x.withColumn("last", ~F.col("readable") | (F.col("start") + F.col("n") >= F.col("size")))
     before, short = F.col("before"), F.col("short")
     cut = (_last(before, 1) == F.lit(bytearray(b"\r"))) & F.col("feed")
